@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import exact_dedup
+from opsweave.llm import bpe, exact_dedup, packing
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -32,3 +32,13 @@ def query(name: str, sql: str | None = None):
 )
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe")
+def op3_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
