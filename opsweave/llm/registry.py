@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, packing
+from opsweave.llm import bpe, exact_dedup, packing, sharding
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op3_bpe(spark, sf_dir):
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
