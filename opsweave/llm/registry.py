@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, packing, sharding
+from opsweave.llm import bpe, exact_dedup, packing, sharding, substring_dedup
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ def op6_best_fit_packing(spark, sf_dir):
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest_removals(table(spark, sf_dir, "documents"))
