@@ -73,3 +73,19 @@ def width_of(values: np.ndarray) -> int:
     """Bytes that the largest value needs."""
     top = int(values.max()) if len(values) else 0
     return max(1, (top.bit_length() + 7) // 8)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending integers as differences of fixed width."""
+    if not len(values):
+        return b""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    width = width_of(steps[1:])
+    return bytes([width]) + int(steps[0]).to_bytes(8, "little") + pack_uint(steps[1:], width)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(data, "<u8", 1, 1)
+    return np.cumsum(np.concatenate([first.astype(np.uint64), unpack_uint(data[9:], data[0])]), dtype=np.uint64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, packing, sharding, substring_dedup
+from opsweave.llm import bpe, exact_dedup, jaccard, packing, sharding, substring_dedup
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op8_sharding(spark, sf_dir):
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.digest_removals(table(spark, sf_dir, "documents"))
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))

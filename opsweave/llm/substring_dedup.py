@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of, pack_uint, unpack_uint, width_of, words_of
+from opsweave.llm.common import bytes_of, pack_sorted, pack_uint, unpack_sorted, unpack_uint, width_of, words_of
 from opsweave.llm.rolling import window_hashes
 
 WIDTH = 20
@@ -35,22 +35,6 @@ BYTES_A_WINDOW = 6
 _NO_ID = -(2**63)
 
 
-def _pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending integers as differences of fixed width."""
-    if not len(values):
-        return b""
-    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    width = width_of(steps[1:])
-    return bytes([width]) + int(steps[0]).to_bytes(8, "little") + pack_uint(steps[1:], width)
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    first = np.frombuffer(data, "<u8", 1, 1)
-    return np.cumsum(np.concatenate([first.astype(np.uint64), unpack_uint(data[9:], data[0])]), dtype=np.uint64)
-
-
 def _pack_docs(ids: np.ndarray, firsts: np.ndarray, prints: np.ndarray | None = None) -> bytes:
     """Ascending ids, the position of each document's first window, and fingerprints if given."""
     parts = [np.diff(ids, prepend=0), np.diff(firsts, prepend=0)] + ([] if prints is None else [prints])
@@ -91,7 +75,7 @@ def _chunk_rows(number: int, docs: list[tuple[int, int, np.ndarray]], bits: int)
         "chunk": number,
         "docs": _pack_docs(ids, firsts, np.array([d[1] for d in docs], np.int64)),
         "hashes": b"",
-        "positions": _pack_sorted(local),
+        "positions": pack_sorted(local),
     }
     unique, at = ordered[head], order[head]
     table = _pack_docs(ids, firsts)
@@ -102,7 +86,7 @@ def _chunk_rows(number: int, docs: list[tuple[int, int, np.ndarray]], bits: int)
             "bucket": bucket,
             "chunk": number,
             "docs": table,
-            "hashes": _pack_sorted(unique[a:b]),
+            "hashes": pack_sorted(unique[a:b]),
             "positions": bytes([width]) + pack_uint(at[a:b], width),
         }
 
@@ -115,7 +99,7 @@ def _later_windows(key: tuple, group: pa.Table) -> pa.Table:
     chunks = group["chunk"].to_pylist()
     if key[0].as_py() < 0:  # what a chunk keeps for itself passes through
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "docs": group["docs"], "positions": group["positions"]})
-    hashes = [_unpack_sorted(x) for x in group["hashes"].to_pylist()]
+    hashes = [unpack_sorted(x) for x in group["hashes"].to_pylist()]
     sizes = [len(x) for x in hashes]
     everything = np.concatenate(hashes)
     del hashes
@@ -148,7 +132,7 @@ def _later_windows(key: tuple, group: pa.Table) -> pa.Table:
     out_chunks, out = [], []
     for i in np.unique(row[later]).tolist():
         out_chunks.append(chunks[i])
-        out.append(_pack_sorted(np.sort(position[later[row[later] == i]])))
+        out.append(pack_sorted(np.sort(position[later[row[later] == i]])))
     return pa.table({"chunk": pa.array(out_chunks, pa.int64()), "docs": pa.array([None] * len(out), pa.binary()), "positions": pa.array(out, pa.binary())})
 
 
@@ -191,7 +175,7 @@ def removal_intervals(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     def collect(key: tuple, group: pa.Table) -> pa.Table:
         docs = next(d for d in group["docs"].to_pylist() if d is not None)
         ids, firsts, prints = _unpack_docs(docs, 3)
-        found = [_unpack_sorted(x).astype(np.int64) for x in group["positions"].to_pylist()]
+        found = [unpack_sorted(x).astype(np.int64) for x in group["positions"].to_pylist()]
         positions = np.sort(np.concatenate(found))
         which = np.searchsorted(firsts, positions, "right") - 1
         out = []
