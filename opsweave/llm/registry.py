@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, jaccard, packing, sharding, substring_dedup
+from opsweave.llm import bpe, exact_dedup, jaccard, line_quality, packing, sharding, substring_dedup
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op2_substring_dedup(spark, sf_dir):
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark, sf_dir):
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_crf")
+def op10_line_crf(spark, sf_dir):
+    return line_quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
