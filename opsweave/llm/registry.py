@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, jaccard, line_quality, packing, sharding, substring_dedup
+from opsweave.llm import bpe, exact_dedup, fertility, jaccard, line_quality, packing, sharding, substring_dedup
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,8 @@ def op4_jaccard_join(spark, sf_dir):
 @query("op10_line_crf")
 def op10_line_crf(spark, sf_dir):
     return line_quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_fertility_rules")
+def op9_fertility_rules(spark, sf_dir):
+    return fertility.quality_rules(table(spark, sf_dir, "documents"))
