@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, fertility, jaccard, line_quality, packing, sharding, substring_dedup
+from opsweave.llm import bpe, exact_dedup, fertility, jaccard, licenses, line_quality, packing, sharding, substring_dedup
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ def op10_line_crf(spark, sf_dir):
 @query("op9_fertility_rules")
 def op9_fertility_rules(spark, sf_dir):
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
