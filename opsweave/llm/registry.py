@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsweave.llm import bpe, exact_dedup, fertility, jaccard, licenses, line_quality, packing, sharding, substring_dedup
+from opsweave.llm import bpe, exact_dedup, fertility, jaccard, licenses, line_quality, packing, sharding, substring_dedup, wrapper
 from opsweave.llm.common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,8 @@ def op9_fertility_rules(spark, sf_dir):
 @query("op5_license_scan")
 def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_wrapper_induction")
+def op7_wrapper_induction(spark, sf_dir):
+    return wrapper.extract(table(spark, sf_dir, "pages"))
