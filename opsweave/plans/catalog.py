@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Modules of this package that add queries.
+FAMILIES = ("series_queries",)
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and the SQL that gives the same rows."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+for _family in FAMILIES:
+    importlib.import_module(f"opsweave.plans.{_family}")
