@@ -8,8 +8,8 @@
 4. Each group is joined exactly by a signature tree: nodes hold OR-combined token bitmaps and
    size ranges, and a dual traversal leaves out node pairs whose maximum possible overlap is too
    small or whose documents are connected already.  Groups beyond ``GROUP_DOCS`` are dealt into
-   parts: each part is joined alone, then representatives across parts, and last only those pairs
-   of parts that are not one component yet.
+   parts: each part is joined together with a few pivots of its group, then those pairs of parts
+   that are not one component yet are joined in full.
 
 The result is exact up to collisions of 64-bit shingle hashes.
 """
@@ -36,6 +36,7 @@ CHUNK_SHINGLES = 2_000_000
 #: Documents, and shingles, that one task joins by a tree.
 GROUP_DOCS = 1_500
 GROUP_SHINGLES = 2_000_000
+PIVOTS = 48
 LEAF = 32
 FANOUT = 4
 MIN_BITS, MAX_BITS = 512, 16_384
@@ -319,43 +320,39 @@ def _joined(groups: DataFrame, keys: list[str], percent: int, across: bool) -> D
     return groups.select(*keys, *[c for c in ("doc_id", "size", "shingles", "label", "part") if c not in keys]).groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
-def links(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) links that connect all survivors that links connect."""
+def linked_components(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) for the survivors that have links."""
     candidates = connected_components(candidate_edges(alive, percent)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "candidate")
     grouped = alive.join(candidates, "doc_id")
     sizes = grouped.groupBy("candidate").agg(F.count("*").alias("docs"), F.sum(F.octet_length("shingles") / 8).alias("held"))
     parts = F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("held") / GROUP_SHINGLES)).cast("int")
-    sizes = stash(sizes.where("docs > 1").select("candidate", parts.alias("parts")), "groups")
+    sizes = sizes.where("docs > 1").withColumn("parts", parts)
     members = grouped.join(sizes, "candidate").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = stash(members.select("candidate", "parts", "part", "doc_id", "size", "shingles"), "members")
-    found = stash(_joined(members.withColumn("label", F.col("doc_id")), ["candidate", "part"], percent, False), "links")
+    members = stash(members.select("candidate", "parts", "part", "docs", "doc_id", "size", "shingles"), "members")
+
+    # Every part of a large group is joined alone, but for about PIVOTS of the group's documents,
+    # which stand in all its parts: what links to one of them is connected across parts.
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("docs")) < PIVOTS)
+    stands = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = members.withColumn("label", F.col("doc_id")).withColumn("part", F.explode(stands))
+    found = stash(_joined(first, ["candidate", "part"], percent, False), "links")
+    components = connected_components(found)
     large = members.where("parts > 1")
-    if sizes.where("parts > 1").isEmpty():
-        return found
-
-    def labelled(links_so_far: DataFrame) -> DataFrame:
-        labels = connected_components(links_so_far).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-        return stash(large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-
-    # One document for each component of a part stands for it in a join across parts.
-    known = labelled(found)
-    stand = known.groupBy("candidate", "part", "label").agg(F.min("doc_id").alias("doc_id"))
-    stand = known.join(stand, ["candidate", "part", "label", "doc_id"], "left_semi")
-    count = stand.groupBy("candidate").agg(F.count("*").alias("stands"))
-    tray = F.pmod(F.xxhash64("label", "part"), F.greatest(F.lit(1), F.ceil(F.col("stands") / GROUP_DOCS))).cast("int")
-    trays = stand.join(count, "candidate").withColumn("tray", tray)
-    found = stash(found.union(_joined(trays, ["candidate", "tray"], percent, True)), "links")
+    if large.isEmpty():
+        return components
 
     # Pairs of parts with more than one component between them are joined in full.
-    known = labelled(found)
+    named = components.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
+    known = large.join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     spread = known.groupBy("candidate", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     other = spread.select("candidate", F.col("part").alias("part_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     open_pairs = spread.join(other, "candidate").where("part < part_b and not (low = high and low_b = high_b and low = low_b)")
     open_pairs = stash(open_pairs.select("candidate", F.col("part").alias("part_a"), "part_b"), "pairs")
     if open_pairs.isEmpty():
-        return found
+        return components
     sides = open_pairs.select("candidate", F.col("part_a").alias("part"), "part_a", "part_b").union(open_pairs.select("candidate", F.col("part_b").alias("part"), "part_a", "part_b"))
-    return found.union(_joined(known.join(sides, ["candidate", "part"]), ["candidate", "part_a", "part_b"], percent, True))
+    across = _joined(known.join(sides, ["candidate", "part"]), ["candidate", "part_a", "part_b"], percent, True)
+    return connected_components(found.union(across))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -367,10 +364,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     classes = stash(shingle_classes(df, id_col, text, words), "classes")
     leaders = classes.where("set_print is not null and doc_id is not null").groupBy("set_print").agg(F.min("doc_id").alias("leader"))
-    leaders = stash(leaders, "leaders")
     alive = survivors(df, id_col, text, words, percent)
     alive = stash(alive.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi"), "survivors")
-    components = connected_components(links(alive, percent))
+    components = linked_components(alive, percent)
     named = leaders.join(components, F.col("leader") == F.col("node"), "left").select("set_print", F.coalesce("component", "leader").alias("component_id"))
     return classes.join(named, "set_print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
