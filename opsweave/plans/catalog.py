@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Modules of this package that add queries.
-FAMILIES = ("series_queries",)
+FAMILIES = ("series_queries", "cluster_queries")
 
 
 def query(name: str, sql: str | None = None):

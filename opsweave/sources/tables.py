@@ -111,17 +111,22 @@ CLUSTER_EVENTS_SQL = """k8s AS (
   FROM events)"""
 
 
+LOG_PREFIXES = ("", "ERROR ", "  at ", "panic: ", "ValueError: ", "", "HTTP 503 - ", "connection refused ", "[WARN] ", "request timed out ", "out of memory ")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pod, container, line_no, line): documents as container logs, lines counted from 0."""
+    """(pod, container, line_no, line): documents as container logs, lines counted from 0.  A prefix
+    by document and line makes some of them errors, warnings or stack lines."""
     docs = read_table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select(F.concat(F.lit("pod-"), F.col("doc_id").cast("string")).alias("pod"), F.col("source").alias("container"), "line_no", "line")
+    prefix = F.element_at(F.array(*map(F.lit, LOG_PREFIXES)), ((F.col("doc_id") + F.col("line_no")) % len(LOG_PREFIXES) + 1).cast("int"))
+    return lines.select(F.concat(F.lit("pod-"), F.col("doc_id").cast("string")).alias("pod"), F.col("source").alias("container"), "line_no", F.concat(prefix, "line").alias("line"))
 
 
-LOG_LINES_SQL = """log_lines AS (
-  SELECT 'pod-' || CAST(doc_id AS VARCHAR) AS pod, source AS container,
-         CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line
-  FROM documents)"""
+LOG_LINES_SQL = f"""raw_lines AS (
+  SELECT doc_id, source, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+log_lines AS (
+  SELECT 'pod-' || CAST(doc_id AS VARCHAR) AS pod, source AS container, line_no, {list(LOG_PREFIXES)}[(doc_id + line_no) % {len(LOG_PREFIXES)} + 1] || line AS line FROM raw_lines)"""
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
