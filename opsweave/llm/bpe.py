@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from opsweave.llm.common import bytes_of
+from opsweave.llm.common import WordCache, bytes_of
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in each cache before it is emptied.
-CACHE_WORDS = 400_000
+#: Words in each generation of a cache.
+CACHE_WORDS = 300_000
 #: Bytes of text whose new words are merged together.
 BATCH_BYTES = 4 << 20
 
@@ -137,8 +137,8 @@ class TextEncoder:
     def __init__(self, words: PairIndexEncoder | LibraryEncoder):
         self.words = words
         self.specials = regex.compile("(" + "|".join(map(regex.escape, words.special)) + ")")
-        self.parts: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.parts = WordCache(CACHE_WORDS)
+        self.pieces = WordCache(CACHE_WORDS)
 
     def _pieces_of(self, part: bytes) -> list[str]:
         found = []
@@ -151,15 +151,13 @@ class TextEncoder:
         return found
 
     def learn(self, parts: set[bytes]) -> None:
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        self.pieces |= {text: i.to_bytes(4, "little") for text, i in self.words.special.items()}
-        split = {part: self._pieces_of(part) for part in parts if part not in self.parts}
-        new = list({piece for pieces in split.values() for piece in pieces if piece not in self.pieces})
-        for piece, ids in zip(new, self.words.encode_words(new)):
+        split = {part: self._pieces_of(part) for part in self.parts.missing(parts)}
+        new = self.pieces.missing({piece for pieces in split.values() for piece in pieces})
+        ordinary = [piece for piece in new if piece not in self.words.special]
+        for piece, ids in zip(ordinary, self.words.encode_words(ordinary)):
             self.pieces[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
+        for piece in set(new) - set(ordinary):
+            self.pieces[piece] = self.words.special[piece].to_bytes(4, "little")
         known = self.pieces
         for part, pieces in split.items():
             self.parts[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])

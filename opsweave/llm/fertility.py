@@ -18,11 +18,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of
+from opsweave.llm.common import WordCache, bytes_of
 from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
-CACHE_WORDS = 400_000
+#: Words in each generation of the cache.
+CACHE_WORDS = 300_000
 BATCH_BYTES = 4 << 20
 REPEAT_WORDS = 8
 MIN_WORDS = 20
@@ -80,12 +81,10 @@ class WordPieces:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.pieces.vocab_size()
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.size)])
-        self.known: dict[bytes, bytes] = {}
+        self.known = WordCache(CACHE_WORDS)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        new = self.known.missing(words)
         for word, ids in zip(new, self.pieces.encode([w.decode() for w in new], num_threads=1)):
             self.known[word] = np.array(ids, "<u2").tobytes()
 
