@@ -132,26 +132,29 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     """(doc_id, size, prefix, shingles): documents that may link, with those of their shingles that
     others share, rarest first, packed as 64-bit integers; the first ``prefix`` name their blocks.
 
-    Of equal sets in a chunk one document stands for all.
+    Of equal sets in a chunk the document with the smallest id stands for all.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, ids, sets, seen = TaskContext.get().partitionId() << 24, 0, [], [], set()
+        number, held, ids, sets, seen = TaskContext.get().partitionId() << 24, 0, [], [], {}
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
                 shingles = shingle_set(body, words)
                 mark = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                if not len(shingles) or mark in seen:
+                if not len(shingles):
+                    continue
+                at = seen.setdefault(mark, len(ids))
+                if at < len(ids):
+                    ids[at] = min(ids[at], doc)
                     continue
-                seen.add(mark)
                 ids.append(doc)
                 sets.append(shingles)
                 held += len(shingles)
                 if held >= CHUNK_SHINGLES:
                     yield from (pa.RecordBatch.from_pylist([r], _SENT) for r in _chunk_rows(number, ids, sets, bits))
-                    number, held, ids, sets, seen = number + 1, 0, [], [], set()
+                    number, held, ids, sets, seen = number + 1, 0, [], [], {}
         if ids:
             yield from (pa.RecordBatch.from_pylist([r], _SENT) for r in _chunk_rows(number, ids, sets, bits))
 

@@ -31,13 +31,14 @@ MAX_ROUNDS = 6
 
 
 def _records(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, size, text_crc32, tie): ``tie`` orders records of one id, here by their text."""
+    """(doc_id, size, text_crc32, tie): ``tie`` orders records of one id, so that even rows which
+    repeat id and text can be cut apart."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col), body).alias("tie"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
     )
 
 
@@ -45,8 +46,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every record, law ``bytes``.
 
     A record's size is its text's UTF-8 bytes (none for null) plus ``OVERHEAD``.  Records are ordered
-    by id (null first), those of one id by a hash of id and text; rows that repeat both lie side by
-    side.  Slots count from 0 within each shard.  An empty table gives no rows.
+    by id (null first), those of one id in any order.  Slots count from 0 within each shard.  An empty table gives no rows.
     """
     spark = df.sparkSession
     records = stash(_records(df, id_col, text), "records").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
