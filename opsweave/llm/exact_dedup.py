@@ -141,7 +141,8 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     again = flagged.where("may_repeat")
     # One row for each hash and id first: ties are settled there, and hot hashes shrink map-side.
     rows = again.withColumn("nth", F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id")))
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written down, so that the join below has a shuffle on either side and Spark can split a hot hash.
+    groups = stash(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     marked = rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256"
     )
