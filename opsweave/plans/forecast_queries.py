@@ -158,9 +158,9 @@ def cost_trend(spark, d):
     _A
     + """, l AS (SELECT series, count(*) AS n, coalesce(stddev_pop(predicted) / nullif(avg(predicted), 0), 0) AS cv, avg(predicted) FILTER (hour(ts) BETWEEN 9 AND 17) AS w, avg(predicted) FILTER (hour(ts) NOT BETWEEN 9 AND 17) AS o FROM b GROUP BY series),
     e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - row_number() OVER (PARTITION BY series, action ORDER BY ts) AS gr FROM b WHERE action <> 'maintain'),
-    runs AS (SELECT series, action, gr, count(*) AS len FROM e GROUP BY ALL), t AS (SELECT series, sum(len) AS recs, max(CASE WHEN action = 'scale_down' THEN len ELSE 0 END) AS ld, sum(CASE WHEN action = 'scale_down' THEN len ELSE 0 END) AS dn FROM runs GROUP BY series)
+    runs AS (SELECT series, action, gr, count(*) AS len FROM e GROUP BY ALL), totals AS (SELECT series, sum(len) AS recs, max(CASE WHEN action = 'scale_down' THEN len ELSE 0 END) AS ld, sum(CASE WHEN action = 'scale_down' THEN len ELSE 0 END) AS dn FROM runs GROUP BY series)
     SELECT series, coalesce(recs, 0) > n * 0.3 AS frequent_scaling, coalesce(ld, 0) >= 3 AS lasting_surplus, cv < 0.1 AS stable_load, cv > 0.5 AS volatile_load,
-      coalesce(dn, 0) / greatest(1, coalesce(recs, 0)) > 0.3 AS spot_capacity, coalesce(n >= 24 AND abs(w - o) / greatest(w, o) > 0.3, false) AS daily_pattern FROM l LEFT JOIN t USING (series)""",
+      coalesce(dn, 0) / greatest(1, coalesce(recs, 0)) > 0.3 AS spot_capacity, coalesce(n >= 24 AND abs(w - o) / greatest(w, o) > 0.3, false) AS daily_pattern FROM l LEFT JOIN totals USING (series)""",
 )
 def optimisation_flags(spark, d):
     return forecast.optimisation_flags(_forecast(spark, d), _plan(spark, d), "series")
