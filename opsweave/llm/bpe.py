@@ -24,9 +24,9 @@ from opsweave.llm.common import WordCache, bytes_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 #: Bytes of text whose new words are merged together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 # Fixed values of the vocabulary's file: its split pattern and white space.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

@@ -23,8 +23,8 @@ from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words in each generation of the cache.
-CACHE_WORDS = 300_000
-BATCH_BYTES = 4 << 20
+CACHE_WORDS = 100_000
+BATCH_BYTES = 1 << 20
 REPEAT_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30

@@ -23,8 +23,10 @@ SAMPLE_LINES = 300
 STEPS = 250
 RATE = 0.05
 PENALTY = 1e-3
-#: Lines that are scored at once.
+#: Lines that are scored at once, and cells of the table (documents by their longest one's lines)
+#: that forward-backward fills at once.
 BATCH_LINES = 20_000
+TABLE_CELLS = 200_000
 
 _CLASSES = ("upper", "lower", "digit", "space", "bang", "pipe", "markup", "point", "other", "high")
 _CLASS_OF = np.full(256, 8, np.uint8)
@@ -131,10 +133,17 @@ class LineCrf:
 
     def raw_quality(self, owns: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
         """Length-weighted mean of the marginals of each document, as a log-odds."""
-        cuts = np.cumsum([len(o) for o in owns])[:-1]
-        scores = np.split(self.emissions_of(owns), cuts) if owns else []
-        found, _ = self.marginals(scores)
-        mean = np.array([np.average(p, weights=s + 1.0) for p, s in zip(found, sizes)])
+        lengths = np.array([len(o) for o in owns])
+        scores = np.split(self.emissions_of(owns), np.cumsum(lengths)[:-1]) if owns else []
+        mean = np.zeros(len(owns))
+        order = np.argsort(-lengths, kind="stable")  # documents of like length share a table
+        first = 0
+        while first < len(order):
+            some = order[first : first + max(1, TABLE_CELLS // int(lengths[order[first]]))]
+            found, _ = self.marginals([scores[i] for i in some])
+            for i, p in zip(some, found):
+                mean[i] = np.average(p, weights=sizes[i] + 1.0)
+            first += len(some)
         mean = np.clip(mean, 1e-6, 1 - 1e-6)
         return np.log(mean / (1 - mean))
 
