@@ -104,22 +104,28 @@ def filter_bits(rows: int, max_filter_bits: int = MAX_FILTER_BITS) -> int:
     return max(SEGMENT, min(max_filter_bits, 1 << max(0, rows * BITS_PER_ROW - 1).bit_length()))
 
 
-def candidate_flag(hashes: DataFrame, sha: str = "text_sha256", max_filter_bits: int = MAX_FILTER_BITS) -> Callable[[Column], Column]:
-    """Pass one over ``hashes``; gives the column function of pass two, which is false only for
-    hashes that a single row has."""
+def candidate_filter(hashes: DataFrame, sha: str = "text_sha256", max_filter_bits: int = MAX_FILTER_BITS) -> Callable[[list[str]], np.ndarray]:
+    """Pass one over ``hashes``; gives the function of pass two, which runs in tasks and is false only
+    for hashes that a single row has."""
     n_bits = filter_bits(hashes.count(), max_filter_bits)
     shared = hashes.sparkSession.sparkContext.broadcast(_seen_again(hashes, sha, n_bits))
 
+    def may_repeat(hexes: list[str]) -> np.ndarray:
+        if not hexes:
+            return np.zeros(0, bool)
+        slots = _slots(hexes, n_bits)
+        hit = (shared.value[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
+        return hit.all(axis=1)
+
+    return may_repeat
+
+
+def candidate_flag(may_repeat: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
+    """Pass two as a function of a column of hashes."""
+
     def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = shared.value
         for column in batches:
-            hexes = column.to_pylist()
-            if not hexes:
-                yield pa.array([], pa.bool_())
-                continue
-            slots = _slots(hexes, n_bits)
-            hit = (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
-            yield pa.array(hit.all(axis=1))
+            yield pa.array(may_repeat(column.to_pylist()), pa.bool_())
 
     return F.arrow_udf(probe, T.BooleanType())
 
@@ -133,7 +139,7 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     """
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     hashes = stash(with_text_sha256(named).drop("text"), "hashes")
-    may_repeat = candidate_flag(hashes, max_filter_bits=max_filter_bits)
+    may_repeat = candidate_flag(candidate_filter(hashes, max_filter_bits=max_filter_bits))
     flagged = hashes.withColumn("may_repeat", may_repeat("text_sha256"))
     alone = flagged.where(~F.col("may_repeat")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -151,12 +157,19 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; same rules as ``mark_duplicates``."""
-    sha, flag = "_opsweave_sha256", "_opsweave_may_repeat"
-    named = with_text_sha256(df, text, sha)
-    hashes = stash(named.select(F.col(id_col).alias("_k_id"), F.col(sha).alias("_k_sha")), "hashes")
-    may_repeat = candidate_flag(hashes, "_k_sha", max_filter_bits)
-    keepers = hashes.where(may_repeat("_k_sha")).groupBy("_k_sha").agg(F.max("_k_id").alias("_k_id"))
-    flagged = named.withColumn(flag, may_repeat(sha))
+    sha, flag, found = "_opsweave_sha256", "_opsweave_may_repeat", "_opsweave_found"
+    hashes = stash(with_text_sha256(df.select(F.col(id_col).alias("_k_id"), text), text, "_k_sha").select("_k_id", "_k_sha"), "hashes")
+    may_repeat = candidate_filter(hashes, "_k_sha", max_filter_bits)
+
+    def hash_and_probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Both in one function: two in a row would take two Python workers for each task.
+        for column in batches:
+            hexes = [hashlib.sha256(ascii_lower(x or b"")).hexdigest() for x in bytes_of(column)]
+            yield pa.StructArray.from_arrays([pa.array(hexes, pa.string()), pa.array(may_repeat(hexes), pa.bool_())], ["sha", "again"])
+
+    keepers = hashes.where(candidate_flag(may_repeat)("_k_sha")).groupBy("_k_sha").agg(F.max("_k_id").alias("_k_id"))
+    probed = df.withColumn(found, F.arrow_udf(hash_and_probe, "sha string, again boolean")(F.col(text).cast("string")))
+    flagged = probed.withColumns({sha: F.col(f"{found}.sha"), flag: F.col(f"{found}.again")})
     # Hash and id together are the key, so that a large group of copies spreads out.
     again = flagged.where(flag).join(keepers, (F.col(sha) == F.col("_k_sha")) & F.col(id_col).eqNullSafe(F.col("_k_id")), "left_semi")
     again = again.dropDuplicates([sha, id_col])  # rows that repeat id and text: the hash stands for the text
