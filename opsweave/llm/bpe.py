@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from opsweave.llm.common import WordCache, bytes_of
+from opsweave.llm.common import CACHES, WordCache, bytes_of, settle
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
@@ -187,6 +187,9 @@ def encoder(kind: str, vocabulary: str = VOCABULARY) -> TextEncoder:
     return TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path))
 
 
+CACHES.append(encoder.cache_clear)
+
+
 @functools.cache
 def _tokens(vocabulary: str) -> dict[int, str]:
     return PairIndexEncoder(public_tokenizers.path(vocabulary)).tokens
@@ -205,6 +208,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "token_ids", voc
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        settle("bpe")
         worker = encoder("index", vocabulary)
         for column in batches:
             yield pa.array([list(memoryview(x).cast("I")) for x in worker.encode(list(bytes_of(column)))], pa.list_(pa.int32()))
@@ -231,6 +235,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabu
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("bpe")
         worker = encoder("index", vocabulary)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []

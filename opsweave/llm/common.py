@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +115,23 @@ class WordCache(dict):
                 else:
                     self[key] = value
         return out
+
+
+#: ``cache_clear`` of what operators keep in a Python worker.
+CACHES: list[Callable[[], None]] = []
+_running = [""]
+
+
+def settle(operator: str) -> None:
+    """Called by an operator's function as its task begins.  Spark reuses Python workers from stage to
+    stage: what another operator kept there is dropped, and free memory goes back to the machine."""
+    if _running[0] == operator:
+        return
+    _running[0] = operator
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

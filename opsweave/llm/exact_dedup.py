@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from opsweave.llm.common import ascii_lower, bytes_of, stash
+from opsweave.llm.common import ascii_lower, bytes_of, settle, stash
 
 #: Slots of one filter segment: segments are merged apart from each other.
 SEGMENT = 1 << 16
@@ -31,6 +31,7 @@ def with_text_sha256(df: DataFrame, text: str = "text", out: str = "text_sha256"
     """Adds the SHA-256 (lowercase hex) of the text with A-Z lower-cased; null counts as empty."""
 
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        settle("exact_dedup")
         for column in batches:
             yield pa.array([hashlib.sha256(ascii_lower(x or b"")).hexdigest() for x in bytes_of(column)], pa.string())
 
@@ -162,6 +163,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     may_repeat = candidate_filter(hashes, "_k_sha", max_filter_bits)
 
     def hash_and_probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        settle("exact_dedup")
         # Both in one function: two in a row would take two Python workers for each task.
         for column in batches:
             hexes = [hashlib.sha256(ascii_lower(x or b"")).hexdigest() for x in bytes_of(column)]

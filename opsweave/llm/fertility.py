@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import WordCache, bytes_of
+from opsweave.llm.common import CACHES, WordCache, bytes_of, settle
 from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -97,6 +97,9 @@ def word_pieces(vocabulary: str) -> WordPieces:
     return WordPieces(public_tokenizers.path(vocabulary))
 
 
+CACHES.append(word_pieces.cache_clear)
+
+
 def script_of(byte_counts: np.ndarray) -> str:
     """The script with the most letters, from the counts of a text's bytes."""
     letters = np.bincount(_SCRIPT_OF_LEAD + 1, weights=byte_counts, minlength=len(SCRIPTS) + 1)[1:]
@@ -176,6 +179,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", voc
     limits = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("fertility")
         pieces = word_pieces(vocabulary)
         for batch in batches:
             rows: list[tuple] = []

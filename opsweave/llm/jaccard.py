@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import ascii_lower, bytes_of, pack_sorted, pack_uint, stash, unpack_sorted, unpack_uint, width_of, words_of
+from opsweave.llm.common import ascii_lower, bytes_of, pack_sorted, pack_uint, settle, stash, unpack_sorted, unpack_uint, width_of, words_of
 from opsweave.llm.components import connected_components
 from opsweave.llm.rolling import window_hashes
 from opsweave.llm.substring_dedup import bucket_bits
@@ -52,6 +52,7 @@ def shingle_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """(doc_id, n_shingles, set_print) for every row; ``set_print`` is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("jaccard")
         for batch in batches:
             sizes, prints = [], []
             for body in bytes_of(batch.column(1)):
@@ -138,6 +139,7 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("jaccard")
         number, held, ids, sets, seen = TaskContext.get().partitionId() << 24, 0, [], [], {}
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of
+from opsweave.llm.common import bytes_of, settle
 
 #: Labelled documents, and lines of one of them, that the model is fitted on at most.
 SAMPLE_DOCS = 4_000
@@ -203,6 +203,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     chosen = chosen.withColumnRenamed("doc_id", "_labelled")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("line_quality")
         for batch in batches:
             blobs, sizes = [], []
             for body in bytes_of(batch.column(1)):
@@ -227,6 +228,7 @@ def score(documents: DataFrame, model: LineCrf | None, text: str = "text", out:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        settle("line_quality")
         crf = shared.value
         for column in batches:
             if crf is None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of, pack_sorted, pack_uint, unpack_sorted, unpack_uint, width_of, words_of
+from opsweave.llm.common import bytes_of, pack_sorted, pack_uint, settle, unpack_sorted, unpack_uint, width_of, words_of
 from opsweave.llm.rolling import window_hashes
 
 WIDTH = 20
@@ -157,6 +157,7 @@ def removal_intervals(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     bits = bucket_bits(total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("substring_dedup")
         # The number of a chunk follows from its partition, so that a task run again sends the same.
         number, held, docs = TaskContext.get().partitionId() << 24, 0, []
         for batch in batches:
@@ -173,6 +174,7 @@ def removal_intervals(df: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield from (pa.RecordBatch.from_pylist([r], _SENT) for r in _chunk_rows(number, docs, bits))
 
     def collect(key: tuple, group: pa.Table) -> pa.Table:
+        settle("substring_dedup")
         docs = next(d for d in group["docs"].to_pylist() if d is not None)
         ids, firsts, prints = _unpack_docs(docs, 3)
         found = [unpack_sorted(x).astype(np.int64) for x in group["positions"].to_pylist()]
