@@ -16,8 +16,6 @@ from pyspark.sql.window import Window
 
 from opsweave.functions.text import token_overlap, tokens
 
-#: Tokens of a document that are indexed.
-INDEX_TOKENS = 80
 LEAST_SIMILARITY = 0.05
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 4096
@@ -26,12 +24,15 @@ SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.6, 0.4
 DIGITS = 9
 
 
-def inverted_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = INDEX_TOKENS) -> DataFrame:
-    """(term, doc_id): distinct terms among the first ``most`` tokens of each document.
+def inverted_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(term, doc_id): distinct terms of each document, or of its first ``most`` tokens.
 
     Terms are made distinct inside the row, so nothing shuffles unless rows repeat an id.
     """
-    return docs.select(F.explode(F.array_distinct(F.slice(tokens(F.col(text)), 1, most))).alias("term"), F.col(id_col).alias("doc_id"))
+    words = tokens(F.col(text))
+    if most is not None:
+        words = F.slice(words, 1, most)
+    return docs.select(F.explode(F.array_distinct(words)).alias("term"), F.col(id_col).alias("doc_id"))
 
 
 def remove_documents(index: DataFrame, gone: DataFrame) -> DataFrame:
