@@ -1,13 +1,15 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A keyword gate looks at every text; texts that pass are brought to plain words, and each rule whose
-own keyword occurs there is matched.  A detection is suppressed when it lies inside a detection of
+A gate made of the rules looks at every text; texts that pass are brought to plain words, and each
+rule whose own keyword occurs there is matched.  Gate and keywords follow from the patterns, so neither
+hides a match.  A detection is suppressed when it lies inside a detection of
 the same or a better priority.  All of it stays in the row: no shuffle, and no row meets another.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,60 +111,59 @@ NOTICES = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: smaller ``priority`` wins; ``keyword`` must occur before ``pattern`` is tried."""
+    """A signature: smaller ``priority`` wins; one of the ``keyword``'s alternatives must occur before
+    ``pattern`` is tried, and a match of ``gate`` ('': of the pattern) before any rule is."""
 
     label: str
     pattern: str
     keyword: str
     priority: int
     weight: float
+    gate: str = ""
 
 
-def _literal_word(name: str) -> str:
-    """The longest run of letters that every match of ``name`` contains; '' if there is none."""
-    import re
+def _texts(name: str) -> list[str]:
+    """Every text that a name's pattern matches; it has groups, sets and '?' only."""
+    found = re.search(r"\(\?:([^()]*)\)(\??)|\[([^]]*)\](\??)|([^()])\?", name)
+    if not found:
+        return [name]
+    group, maybe, letters, maybe_one, letter = found.groups()
+    choices = [letter, ""] if letter else (list(letters) if group is None else group.split("|")) + [""] * bool(maybe or maybe_one)
+    return [text for c in choices for text in _texts(name[: found.start()] + c + name[found.end() :])]
 
-    flat = re.sub(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\??", "\n", name)
-    flat = re.sub(r".\?", "\n", flat)
-    runs = [w for w in re.split(r"[^a-z0-9 ]", flat) if w.strip()]
-    return max(runs, key=len).strip() if runs else ""
+
+def _keywords(*names: str) -> str:
+    """The texts of the names, parted by '|', without those that hold another from the start of a word."""
+    texts = dict.fromkeys(text for name in names for text in _texts(name))
+    return "|".join(t for t in texts if not any(o != t and f" {o}" in f" {t}" for o in texts))
 
 
 def rules() -> list[Rule]:
     """All signatures in order: identifiers, grants, names with version, bare names, notices."""
     found = []
-    grant = r"(?:licen[sc]ed|released|distributed|published|provided|available|issued|offered|covered|shared) (?:only )?(?:under|by|with) (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:an? )?"
+    verb = r"(?:licen[sc]ed|released|distributed|published|provided|available|issued|offered|covered|shared) (?:only )?(?:under|by|with) "
+    grant = verb + r"(?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:an? )?"
     for label, name, short, versions in FAMILIES:
         either = f"(?:{name}|{short})"
-        key = _literal_word(name) if name.startswith(short) or short in _literal_word(name) else ""
+        key = _keywords(name, short)
         ending = "(?: public)?(?: licen[sc]e)?"
-        found.append(Rule(label, f"spdx licen[sc]e identifier {short}(?: [0-9]+)*(?: only| or later)?", "spdx", 1, 1.0))
-        found.append(Rule(label, f"{grant}{either}{ending}", key or "under|by|with", 3, 0.9))
-        found.append(Rule(label, f"{name} licen[sc]e", _literal_word(name) or "licen", 4, 0.7))
+        found.append(Rule(label, f"spdx licen[sc]e identifier {short}(?: [0-9]+)*(?: only| or later)?", "spdx", 1, 1.0, "spdx"))
+        found.append(Rule(label, f"{grant}{either}{ending}", key, 3, 0.9, verb))
+        found.append(Rule(label, f"{name} licen[sc]e", _keywords(name), 4, 0.7, "licen"))
         for version in versions:
-            found.append(Rule(f"{label}-{version.replace(' ', '.')}", f"{either}{ending} (?:version |v |v)?{version}(?: or (?:any )?later(?: version)?)?", key or version, 2, 0.95))
+            found.append(Rule(f"{label}-{version.replace(' ', '.')}", f"{either}{ending} (?:version |v |v)?{version}(?: or (?:any )?later(?: version)?)?", key, 2, 0.95, key))
     for label, pattern, key in NOTICES:
         found.append(Rule(label, pattern, key, 5, 0.5))
     return found
 
 
 PRIORITIES = 5
-#: One of these must occur in a text, in any case, for rules to be tried on it at all; a short one
-#: must also match its regex.
-GATE = ("licen", "copyright", "spdx", "reserved", "domain", "proprietary", "creative", "gpl", "wtfpl", "unauthori", "reproduced", "redistributed", "copied")
-SHORT_GATE = ("cc", r"\bcc\W*(?:by|0)")
-
-
-def _passes_gate(text: Column) -> Column:
-    lowered = F.lower(text)
 
-    def some(low: Column) -> Column:
-        found = F.contains(low, F.lit(SHORT_GATE[0])) & F.rlike(low, F.lit(SHORT_GATE[1]))
-        for key in GATE:
-            found = F.contains(low, F.lit(key)) | found
-        return found
 
-    return _let(lowered, some)
+def _passes_gate(text: Column, signatures: list[Rule]) -> Column:
+    """Whether some rule's gate matches from the start of a word, with anything between words."""
+    gates = "|".join(dict.fromkeys([*(phrase for phrase, _ in PHRASES), *(r.gate or r.pattern for r in signatures)])).replace(" ", f"(?:{BETWEEN})")
+    return F.rlike(F.lower(text), F.lit(f"(?<!{WORD[:-1]})(?:{gates})"))
 
 
 def _count_words(text: Column) -> Column:
@@ -285,7 +286,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", signatures:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kind = "array<struct<label:string,pattern:string,keyword:string,priority:int,weight:double>>"
     # Matches start and end at a space of the plain text, which they do not take.
-    rows = [asdict(r) | {"pattern": f"(?<= )(?:{r.pattern})(?= )"} for r in (signatures or rules())]
+    signatures = signatures or rules()
+    rows = [asdict(r) | {"pattern": f"(?<= )(?:{r.pattern})(?= )"} for r in signatures]
     table = F.from_json(F.lit(json.dumps(rows)), kind)
     nothing = F.struct(
         F.lit(0).cast("long").alias("n_base"),
@@ -295,6 +297,6 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", signatures:
         F.lit("").alias("labels"),
         F.lit(0.0).alias("score"),
     )
-    found = F.when(_passes_gate(body), _scan(body, table)).otherwise(nothing)
+    found = F.when(_passes_gate(body, signatures), _scan(body, table)).otherwise(nothing)
     scanned = df.select(F.col(id_col).alias("doc_id"), _count_words(body).alias("n_words"), found.alias("found"))
     return scanned.select("doc_id", "n_words", "found.*")

@@ -204,3 +204,51 @@ def test_nulls_in_ids_and_repeated_rows(spark):
     assert len(marked) == 6 and sum(r.kept for r in marked) == 2
     for result in (substring_dedup.digest_removals(df), bpe.round_trip(df), jaccard.similar_components(df), licenses.scan(df), packing.pack(df), sharding.shard(df), fertility.quality_rules(df)):
         assert result.count() == 6
+
+
+def license_samples(pattern):
+    """Texts of a rule's pattern that have each of its alternatives once at least."""
+    import random
+    from re import _parser
+
+    def one(parsed, rng):
+        text = ""
+        for kind, value in parsed:
+            name = str(kind)
+            if name == "LITERAL":
+                text += chr(value)
+            elif name == "IN":
+                text += "7" if str(value[0][0]) == "CATEGORY" else chr(rng.choice([x for k, v in value for x in (v if str(k) == "RANGE" else (v,))]))
+            elif name == "SUBPATTERN":
+                text += one(value[3], rng)
+            elif name == "BRANCH":
+                text += one(rng.choice(value[1]), rng)
+            else:
+                assert name == "MAX_REPEAT"
+                text += "".join(one(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 1))))
+        return text
+
+    return {one(_parser.parse(pattern), random.Random(seed)) for seed in range(12)}
+
+
+def all_license_labels(words):
+    """Labels of all rules' matches, tried without gate or keywords, that lie in none as good or better."""
+    import re
+
+    plain, found = f" {words} ", []
+    for r in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", plain):
+            found.append((m.start(), -m.end(), r.priority, r.label))
+    found.sort()
+    return {x[3] for i, x in enumerate(found) if not any(y[2] <= x[2] and y[1] <= x[1] for y in found[:i])}
+
+
+def test_license_rules_alone(spark):
+    """A text that only one rule's words make up is found, however the words are parted."""
+    samples = sorted({s for r in licenses.rules() for s in license_samples(r.pattern)} | {"apache 2 0", "mpl 2 0", "epl 2 0", "eupl 1 2", "released under the bsd", "licensed under the intel"})
+    texts = [*samples, *(s.replace(" ", "_-").title() for s in samples)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in found}
+    base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in found}
+    wrong = [(texts[i], got[i]) for i in got if got[i] != all_license_labels(samples[i % len(samples)]) | base[i] or not got[i]]
+    assert len(got) == len(texts) and wrong == []
