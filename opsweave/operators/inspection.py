@@ -58,8 +58,8 @@ def http_error_rate(t: Tables) -> DataFrame:
     return _query_mentions(t, "perf_http_error_rate", "medium", "http_requests_total", 'code=~"5.."')
 
 
-def high_risk_events(t: Tables, cap: int | None = 100) -> DataFrame:
-    """Events of risky reasons among the newest ``cap`` (None: all)."""
+def high_risk_events(t: Tables, cap: int | None = None) -> DataFrame:
+    """Events of risky reasons, of all or of the newest ``cap``."""
     events = t["events"] if cap is None else t["events"].orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(cap)
     bad = events.where(F.rlike("reason", F.lit("OOMKill|FailedScheduling|CrashLoopBackOff")))
     return _finding(bad, "event_high_risk", "high", F.concat_ws("/", "kind", "name"), F.substring("message", 1, 200))

@@ -44,3 +44,21 @@ def test_late_words_meet(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["lexical_search"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.doc_id, r.score) for r in found} == {(50, 50, 1.0), (50, 7, 0.5)}
+
+
+# ---- inspection: all events ----
+
+NEWEST = ("(SELECT * FROM k8s ORDER BY ts DESC, event_id DESC LIMIT 100)", "k8s")
+
+
+@pytest.mark.parametrize("name", ["inspection_rules", "inspection_basic", "inspection_summary", "inspection_report"])
+def test_inspection_of_all_events(name, spark, data_dir, duck):  # noqa: F811
+    same(QUERIES[name](spark, data_dir), duck.execute(uncut(SQL[name], NEWEST)))
+
+
+def test_every_risky_event_is_a_finding(spark):
+    from opsweave.operators import inspection
+
+    events = spark.range(250).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "'OOMKilled' AS reason", "'Pod' AS kind", "'p' AS name", "'m' AS message")
+    assert inspection.high_risk_events({"events": events}).count() == 250
+    assert inspection.high_risk_events({"events": events}, cap=100).count() == 100
