@@ -89,6 +89,12 @@ def _lines(spark, d):
     return logs.parse_lines(T.log_lines(spark, d))
 
 
+def _timed_lines(spark, d):
+    """Log lines with a time: a pod begins at a minute of the events' 30 days, by its number; a line takes a second."""
+    number = F.substring_index("pod", "-", -1).cast("long")
+    return _lines(spark, d).withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=(number % 43200).cast("int"), secs=F.col("line_no")))
+
+
 @query("log_levels", _LEVELS + " SELECT level, coalesce(error_type, 'none') AS error_type, count(*) AS n FROM p GROUP BY 1, 2")
 def log_levels(spark, d):
     return _lines(spark, d).groupBy("level", F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(F.count("*").alias("n"))
@@ -228,8 +234,12 @@ def causal_chain(spark, d):
 def timeline_topk(spark, d):
     events = _events(spark, d).where(F.col("severity").isin("critical", "high"))
     events = events.select("ts", F.lit("event").alias("type"), F.concat(F.col("reason"), F.lit(": "), F.substring("message", 1, 100)).alias("description"), "severity")
-    metrics = T.samples(spark, d).groupBy("metric").agg(F.max("ts").alias("ts")).select("ts", F.lit("metric").alias("type"), F.col("metric").alias("description"), F.lit("high").alias("severity"))
-    return rca.timeline(events, metrics.limit(0), metrics)
+    high = anomaly.composite_score(T.hourly(spark, d)).where("anomaly_score > 0.6")
+    metrics = T.samples(spark, d).groupBy("metric").agg(F.max("ts").alias("ts")).join(high, "metric", "left_semi")
+    metrics = metrics.select("ts", F.lit("metric").alias("type"), F.col("metric").alias("description"), F.lit("high").alias("severity"))
+    errors = _timed_lines(spark, d).where(F.col("level").isin("ERROR", "FATAL"))
+    errors = errors.select("ts", F.lit("log").alias("type"), F.concat(F.lit("["), F.col("pod"), F.lit("] "), F.substring("line", 1, 100)).alias("description"), F.lit("high").alias("severity"))
+    return rca.timeline(events, errors, metrics)
 
 
 @query(

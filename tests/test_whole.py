@@ -62,3 +62,27 @@ def test_every_risky_event_is_a_finding(spark):
     events = spark.range(250).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "'OOMKilled' AS reason", "'Pod' AS kind", "'p' AS name", "'m' AS message")
     assert inspection.high_risk_events({"events": events}).count() == 250
     assert inspection.high_risk_events({"events": events}, cap=100).count() == 100
+
+
+# ---- timeline: events, error lines and anomalous series ----
+
+
+def test_timeline_has_all_sources(spark, data_dir, duck):  # noqa: F811
+    """The SQL with error lines and the score put in."""
+    levels = SQL["error_summary"].split(" SELECT coalesce(error_type")[0].removeprefix("WITH ")
+    errors = """ UNION ALL SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(substr(pod, 5) AS BIGINT) % 43200) + to_seconds(line_no), 'log', '[' || pod || '] ' || substr(line, 1, 100), 'high'
+        FROM p WHERE level IN ('ERROR', 'FATAL')) SELECT * FROM u"""
+    scores = f"FROM events WHERE event_type IN (SELECT metric FROM ({SQL['anomaly_composite']}) WHERE anomaly_score > 0.6) GROUP BY event_type"
+    sql = uncut(SQL["timeline_topk"], (") SELECT * FROM u", errors), ("FROM events GROUP BY event_type", scores), ("WITH k8s", f"WITH {levels}, k8s"))
+    same(QUERIES["timeline_topk"](spark, data_dir), duck.execute(sql))
+
+
+def test_timeline_conditions(spark, tmp_path):
+    """An error line enters, an info line does not; a series with a peak enters, a flat one does not."""
+    values = [("view", 1.0)] * 20 + [("click", 1.0 + i % 2) for i in range(19)] + [("click", 5000.0)]
+    events = [(i, f"2024-01-02 {i % 20:02d}:00:00", kind, 1, value, '{"k": 1}') for i, (kind, value) in enumerate(values)]
+    df = spark.createDataFrame(events, "event_id long, ts string, event_type string, user_id long, value double, props string")
+    df.withColumn("ts", df.ts.cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(22, "all well", "a"), (23, "broken", "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.type, r.description, str(r.ts)) for r in QUERIES["timeline_topk"](spark, str(tmp_path)).collect()]
+    assert found == [("log", "[pod-23] ERROR broken", "2024-01-01 00:23:00"), ("metric", "click", "2024-01-02 19:00:00")]
