@@ -13,13 +13,15 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     return df.withColumns({"level": log_level(text), "error_type": error_type(text), "is_stack": is_stack_line(text)})
 
 
-def fold_entries(df: DataFrame, by: tuple[str, ...] = ("pod", "container"), most_stack: int = 20) -> DataFrame:
-    """One row for each line that opens an entry, with the stack lines after it (``most_stack`` at
-    most): a running count of openers numbers the entries of a container."""
+def fold_entries(df: DataFrame, by: tuple[str, ...] = ("pod", "container"), most_stack: int | None = None) -> DataFrame:
+    """One row for each line that opens an entry, with the stack lines after it (all, or
+    ``most_stack`` at most): a running count of openers numbers the entries of a container."""
     order = Window.partitionBy(*by).orderBy("line_no")
     numbered = df.withColumn("entry", F.sum((~F.col("is_stack")).cast("int")).over(order)).where("entry > 0")
     within = Window.partitionBy(*by, "entry").orderBy("line_no")
-    placed = numbered.withColumn("at", F.row_number().over(within) - 1).where(F.col("at") <= most_stack)
+    placed = numbered.withColumn("at", F.row_number().over(within) - 1)
+    if most_stack is not None:
+        placed = placed.where(F.col("at") <= most_stack)
     head = F.col("at") == 0
     return placed.groupBy(*by, "entry").agg(
         F.max(F.when(head, F.col("line_no"))).alias("line_no"),

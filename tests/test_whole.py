@@ -86,3 +86,16 @@ def test_timeline_conditions(spark, tmp_path):
     spark.createDataFrame([(22, "all well", "a"), (23, "broken", "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [(r.type, r.description, str(r.ts)) for r in QUERIES["timeline_topk"](spark, str(tmp_path)).collect()]
     assert found == [("log", "[pod-23] ERROR broken", "2024-01-01 00:23:00"), ("metric", "click", "2024-01-02 19:00:00")]
+
+
+# ---- log entries: whole traces ----
+
+
+def test_long_trace_is_whole(spark):
+    from opsweave.operators import logs
+
+    lines = ["ValueError: broken", *(f"  at frame{i}" for i in range(60)), "next"]
+    df = logs.parse_lines(spark.createDataFrame([("p", "c", i, line) for i, line in enumerate(lines)], "pod string, container string, line_no int, line string"))
+    found = {r.line: (r.n_stack, r.stack) for r in logs.fold_entries(df).collect()}
+    assert found == {"ValueError: broken": (60, "\n".join(lines[1:61])), "next": (0, "")}
+    assert logs.fold_entries(df, most_stack=20).first().n_stack == 20
