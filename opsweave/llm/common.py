@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import inspect
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -120,18 +123,63 @@ class WordCache(dict):
 #: ``cache_clear`` of what operators keep in a Python worker.
 CACHES: list[Callable[[], None]] = []
 _running = [""]
+#: Arrays from this size on are given back to the machine as soon as they are dropped.
+_GIVEN_BACK = 1 << 20
 
 
 def settle(operator: str) -> None:
     """Called by an operator's function as its task begins.  Spark reuses Python workers from stage to
     stage: what another operator kept there is dropped, and free memory goes back to the machine."""
+    if not _running[0]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        if limit := getattr(ctypes.CDLL(None), "mallopt", None):
+            limit(-3, _GIVEN_BACK)  # M_MMAP_THRESHOLD
     if _running[0] == operator:
         return
     _running[0] = operator
     for clear in CACHES:
         clear()
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the machine."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+
+
+def leave(operator: str) -> Callable:
+    """Wraps a function of ``mapInArrow`` or a group function: ``settle`` before, ``release`` after, so
+    that a worker that waits for its next task holds nothing.  Group functions run often and release once a second."""
+
+    def wrap(function: Callable) -> Callable:
+        if inspect.isgeneratorfunction(function):
+
+            @functools.wraps(function)
+            def stream(batches):
+                settle(operator)
+                try:
+                    yield from function(batches)
+                finally:
+                    release()
+
+            return stream
+
+        @functools.wraps(function)
+        def group(*args):
+            settle(operator)
+            out = function(*args)
+            if time.monotonic() > _released[0] + 1:
+                release()
+                _released[0] = time.monotonic()
+            return out
+
+        group.__signature__ = inspect.signature(function)  # Spark counts the arguments
+        return group
+
+    return wrap
+
+
+_released = [0.0]

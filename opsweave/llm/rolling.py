@@ -8,6 +8,8 @@ import numpy as np
 
 #: Odd multiplier of the polynomial, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+#: Multiplier of a second polynomial, for those who check a match of the first.
+SECOND_BASE = 0xD1B54A32D192ED03
 #: Words longer than this stand in the polynomial by a digest, behind a tab that no word has.
 LONG_WORD = 1 << 12
 #: Words hashed at once.
@@ -15,13 +17,12 @@ PIECE = 1 << 14
 
 _MASK = (1 << 64) - 1
 _LETTERS = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:8] for b in range(256)), "<u8").astype(np.uint64)
-_powers = {BASE: np.ones(1, np.uint64), pow(BASE, -1, 1 << 64): np.ones(1, np.uint64)}
-_INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64, kept and doubled as needed."""
-    table = _powers[base]
+    table = _powers.setdefault(base, np.ones(1, np.uint64))
     while len(table) < n:
         table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
         _powers[base] = table
@@ -35,8 +36,9 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
+def window_hashes(words: list[bytes], width: int, base: int = BASE) -> np.ndarray:
     """The hash of each window of ``width`` consecutive words, in order of start."""
+    inverse = pow(base, -1, 1 << 64)
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -50,9 +52,9 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
         ends = np.cumsum(lengths + 1) - 1  # words are joined by one space
         starts = ends - lengths
         letters = _LETTERS[np.frombuffer(b" ".join(part), np.uint8)]
-        letters *= _power(BASE, len(letters))
+        letters *= _power(base, len(letters))
         prefix = np.zeros(len(letters) + 1, np.uint64)
         np.cumsum(letters, out=prefix[1:])
         begin = starts[:count]
-        out[first : first + count] = (prefix[ends[width - 1 :]] - prefix[begin]) * _power(_INVERSE, int(begin[-1]) + 1)[begin]
+        out[first : first + count] = (prefix[ends[width - 1 :]] - prefix[begin]) * _power(inverse, int(begin[-1]) + 1)[begin]
     return mix(out)

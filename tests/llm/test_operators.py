@@ -38,8 +38,9 @@ def test_substring_dedup(docs):
 
 def test_substring_dedup_in_small_chunks(documents, monkeypatch):
     """Many chunks and buckets give what one gives."""
-    monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 500)
-    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 2_000)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(substring_dedup, "FEW_WINDOWS", 2_000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 4_000)
     assert rows(substring_dedup.digest_removals(documents), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(pairs(documents))
 
 
