@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from opsweave.llm.common import CACHES, WordCache, bytes_of, settle
+from opsweave.llm.common import CACHES, WordCache, bytes_of, leave
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
@@ -207,8 +207,8 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "token_ids", voc
     Null texts count as empty and give an empty array; an empty table gives an empty table.
     """
 
+    @leave("bpe")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        settle("bpe")
         worker = encoder("index", vocabulary)
         for column in batches:
             yield pa.array([list(memoryview(x).cast("I")) for x in worker.encode(list(bytes_of(column)))], pa.list_(pa.int32()))
@@ -234,8 +234,8 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabu
     texts count as empty, and a null id stays null.
     """
 
+    @leave("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("bpe")
         worker = encoder("index", vocabulary)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []

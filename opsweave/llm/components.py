@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import stash
+from opsweave.llm.common import leave, stash
 
 MAX_ROUNDS = 60
 #: Nodes that a task holds at most while it contracts its edges.
@@ -19,6 +19,7 @@ def _contract(edges: DataFrame) -> DataFrame:
     """(u, v) with v < u: each partition's edges replaced by stars around the smallest node of each
     of its own components.  A task that meets too many nodes sends off its stars and starts anew."""
 
+    @leave("components")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
 

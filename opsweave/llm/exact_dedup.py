@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from opsweave.llm.common import ascii_lower, bytes_of, settle, stash
+from opsweave.llm.common import ascii_lower, bytes_of, leave, stash
 
 #: Slots of one filter segment: segments are merged apart from each other.
 SEGMENT = 1 << 16
@@ -30,8 +30,8 @@ MAX_FILTER_BITS = 1 << 28
 def with_text_sha256(df: DataFrame, text: str = "text", out: str = "text_sha256") -> DataFrame:
     """Adds the SHA-256 (lowercase hex) of the text with A-Z lower-cased; null counts as empty."""
 
+    @leave("exact_dedup")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        settle("exact_dedup")
         for column in batches:
             yield pa.array([hashlib.sha256(ascii_lower(x or b"")).hexdigest() for x in bytes_of(column)], pa.string())
 
@@ -49,6 +49,7 @@ def _seen_again(df: DataFrame, sha: str, n_bits: int) -> np.ndarray:
     """The merged filter: bit i is set if at least two rows hit slot i.  ``n_bits / 8`` bytes."""
     schema = "segment int, once binary, again binary"
 
+    @leave("exact_dedup")
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A partition keeps one byte for each slot that it touches, by segment.
         touched: dict[int, np.ndarray] = {}
@@ -70,6 +71,7 @@ def _seen_again(df: DataFrame, sha: str, n_bits: int) -> np.ndarray:
                 {"segment": pa.array([k], pa.int32()), "once": [_squeeze(counts > 0)], "again": [_squeeze(counts > 1)]}
             )
 
+    @leave("exact_dedup")
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         once = again = np.zeros(SEGMENT // 8, np.uint8)
         for a, b in zip(group["once"].to_pylist(), group["again"].to_pylist()):
@@ -124,6 +126,7 @@ def candidate_filter(hashes: DataFrame, sha: str = "text_sha256", max_filter_bit
 def candidate_flag(may_repeat: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
     """Pass two as a function of a column of hashes."""
 
+    @leave("exact_dedup")
     def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(may_repeat(column.to_pylist()), pa.bool_())
@@ -162,8 +165,8 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     hashes = stash(with_text_sha256(df.select(F.col(id_col).alias("_k_id"), text), text, "_k_sha").select("_k_id", "_k_sha"), "hashes")
     may_repeat = candidate_filter(hashes, "_k_sha", max_filter_bits)
 
+    @leave("exact_dedup")
     def hash_and_probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        settle("exact_dedup")
         # Both in one function: two in a row would take two Python workers for each task.
         for column in batches:
             hexes = [hashlib.sha256(ascii_lower(x or b"")).hexdigest() for x in bytes_of(column)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import CACHES, WordCache, bytes_of, settle
+from opsweave.llm.common import CACHES, WordCache, bytes_of, leave
 from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -178,8 +178,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", voc
     """
     limits = bands or BANDS
 
+    @leave("fertility")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("fertility")
         pieces = word_pieces(vocabulary)
         for batch in batches:
             rows: list[tuple] = []

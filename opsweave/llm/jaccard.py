@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import ascii_lower, bytes_of, pack_sorted, pack_uint, settle, stash, unpack_sorted, unpack_uint, width_of, words_of
+from opsweave.llm.common import ascii_lower, bytes_of, leave, pack_sorted, pack_uint, stash, unpack_sorted, unpack_uint, width_of, words_of
 from opsweave.llm.components import connected_components
 from opsweave.llm.rolling import window_hashes
 from opsweave.llm.substring_dedup import bucket_bits
@@ -32,10 +32,11 @@ from opsweave.llm.substring_dedup import bucket_bits
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CHUNK_SHINGLES = 2_000_000
+#: Shingles that a task gathers before it sends them off.
+CHUNK_SHINGLES = 1_000_000
 #: Documents, and shingles, that one task joins by a tree.
 GROUP_DOCS = 1_500
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 1_000_000
 PIVOTS = 48
 LEAF = 32
 FANOUT = 4
@@ -51,8 +52,8 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
 def shingle_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, set_print) for every row; ``set_print`` is null for an empty set."""
 
+    @leave("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("jaccard")
         for batch in batches:
             sizes, prints = [], []
             for body in bytes_of(batch.column(1)):
@@ -99,6 +100,7 @@ def _chunk_rows(number: int, ids: list[int], sets: list[np.ndarray], bits: int)
         }
 
 
+@leave("jaccard")
 def _shared_shingles(key: tuple, group: pa.Table) -> pa.Table:
     """Of a bucket, the hashes that at least two sets have, given back to their chunks."""
     chunks = group["chunk"].to_pylist()
@@ -138,8 +140,8 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
+    @leave("jaccard")
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("jaccard")
         number, held, ids, sets, seen = TaskContext.get().partitionId() << 24, 0, [], [], {}
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
@@ -160,6 +162,7 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
         if ids:
             yield from (pa.RecordBatch.from_pylist([r], _SENT) for r in _chunk_rows(number, ids, sets, bits))
 
+    @leave("jaccard")
     def collect(key: tuple, group: pa.Table) -> pa.Table:
         table = np.frombuffer(next(d for d in group["docs"].to_pylist() if d is not None), "<i8")
         ids, sizes = np.split(table, 2)
@@ -197,6 +200,7 @@ def candidate_edges(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) edges that connect any two survivors that share a prefix shingle and whose sizes are
     near enough, with a number of edges in proportion to the prefixes."""
 
+    @leave("jaccard")
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = batch.column(2).to_numpy()
@@ -315,6 +319,7 @@ def _joined(groups: DataFrame, keys: list[str], percent: int, across: bool) -> D
     """(a, b) verified links within each group of (doc_id, size, shingles, label, part); with
     ``across`` only between parts, as those within are known."""
 
+    @leave("jaccard")
     def join(key: tuple, group: pa.Table) -> pa.Table:
         sets = [np.sort(np.frombuffer(x, "<u8")) for x in group["shingles"].to_pylist()]
         parts = group["part"].to_pylist() if across else None
@@ -372,7 +377,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     alive = survivors(df, id_col, text, words, percent)
     alive = stash(alive.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi"), "survivors")
     components = linked_components(alive, percent)
-    named = leaders.join(components, F.col("leader") == F.col("node"), "left").select("set_print", F.coalesce("component", "leader").alias("component_id"))
+    # Written down, so that the join below has a shuffle on either side and Spark can split a hot class.
+    named = stash(leaders.join(components, F.col("leader") == F.col("node"), "left").select("set_print", F.coalesce("component", "leader").alias("component_id")), "named")
     return classes.join(named, "set_print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of, settle
+from opsweave.llm.common import bytes_of, leave
 
 #: Labelled documents, and lines of one of them, that the model is fitted on at most.
 SAMPLE_DOCS = 4_000
@@ -202,8 +202,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     chosen = chosen.withColumnRenamed("doc_id", "_labelled")
 
+    @leave("line_quality")
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("line_quality")
         for batch in batches:
             blobs, sizes = [], []
             for body in bytes_of(batch.column(1)):
@@ -227,8 +227,8 @@ def score(documents: DataFrame, model: LineCrf | None, text: str = "text", out:
     every score is 0.5."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @leave("line_quality")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        settle("line_quality")
         crf = shared.value
         for column in batches:
             if crf is None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from opsweave.llm.bpe import VOCABULARY, encoder
-from opsweave.llm.common import bytes_of, settle, stash
+from opsweave.llm.common import bytes_of, leave, stash
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,8 +29,8 @@ def cut(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int
     """(doc_id, piece, start, length, ids_crc32): each document's ids with ``END_ID`` after them,
     cut every ``capacity`` ids."""
 
+    @leave("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("packing")
         worker = encoder("library", vocabulary)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
