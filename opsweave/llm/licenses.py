@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A gate made of the rules looks at every text; texts that pass are brought to plain words, and each
-rule whose own keyword occurs there is matched.  Gate and keywords follow from the patterns, so neither
-hides a match.  A detection is suppressed when it lies inside a detection of
+A gate made of the rules' keywords looks at every text; texts that pass are brought to plain words,
+and each rule whose own keyword occurs there is matched.  Keywords are words that every match of their
+rule has, so neither step hides a match.  A detection is suppressed when it lies inside a detection of
 the same or a better priority.  All of it stays in the row: no shuffle, and no row meets another.
 """
 
@@ -98,21 +98,101 @@ FAMILIES = (
     ("zlib", "zlib(?: libpng)?", "zlib", ()),
     ("zpl", "zope public", "zpl", ("1 1", "2 0", "2 1")),
 )
+# Sentences of license texts and headers: (label, regex in words).  Groups stand between whole words.
+TEXTS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("ncsa", "files the software to deal with the software without restriction"),
+    ("x11", r"except as contained in this notice the name of (?:\S+ ){1,8}shall not be used in advertising"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("upl", "to any person obtaining a copy of this software associated documentation and or data"),
+    ("unicode", "any person obtaining a copy of (?:the unicode )?data files and any associated documentation"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "distribute (?:and sell )?this software and its documentation for any purpose (?:and )?(?:is hereby granted without fee|without fee is hereby granted)"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "this software is provided by the (?:copyright holders and contributors|regents and contributors|author) as is and any express or implied warranties"),
+    ("bsd-3", r"neither the name of (?:\S+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following (?:acknowledgement|acknowledgment)"),
+    ("apache-1.1", "products derived from this software may not be called apache nor may apache appear in their name"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-1", "the gnu general public license as published by the free software foundation (?:inc )?(?:either )?version 1"),
+    ("gpl-2", "the gnu general public license as published by the free software foundation (?:inc )?(?:either )?version 2"),
+    ("gpl-3", "the gnu general public license as published by the free software foundation (?:inc )?(?:either )?version 3"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1", "the gnu (?:lesser|library) general public license as published by the free software foundation (?:inc )?(?:either )?version 2 1"),
+    ("lgpl-2", "the gnu (?:lesser|library) general public license as published by the free software foundation (?:inc )?(?:either )?version 2"),
+    ("lgpl-3", "the gnu (?:lesser|library) general public license as published by the free software foundation (?:inc )?(?:either )?version 3"),
+    ("lgpl-3", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by"),
+    ("agpl-3", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gnu", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0 which accompanies this distribution"),
+    ("epl-2.0", "made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", r"to the extent possible under law (?:\S+ ){1,12}waived all copyright and related or neighboring rights"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("artistic-1.0", "the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("psf", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("ofl", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("ofl", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "the software shall be used for good not evil"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("cecill", "this agreement is a free software license agreement that is the result of discussions between its authors"),
+    ("w3c", "this work is being provided by the copyright holders under the following license"),
+    ("ms-pl", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("mulan", "each contributor hereby grants to you a perpetual worldwide royalty free non exclusive irrevocable copyright license"),
+    ("sspl", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("busl", "the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service"),
+    ("polyform", "the licensor grants you a copyright license for the software to do everything you might do with the software that would otherwise infringe"),
+    ("blueoak", "each contributor licenses you to do everything with this software that would otherwise infringe"),
+    ("llama", "the terms and conditions for use reproduction distribution and modification of the llama materials"),
+    ("openrail", "use based restrictions as referenced in"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+)
 # Notices that name no license: (label, regex in words, keyword).
 NOTICES = (
-    ("all-rights-reserved", "all rights reserved", "reserved"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
     ("copyright", r"copyright (?:c |by )?(?:19|20)\d\d", "copyright"),
     ("public-domain", "(?:released|placed|dedicated|given) (?:in ?to|to|in) the public domain", "public domain"),
     ("public-domain", "this (?:work|file|code|text|document|software) is in the public domain", "public domain"),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("proprietary", "(?:unauthori[sz]ed (?:copying|use|distribution)|may not be (?:copied|reproduced|redistributed))", "not|unauthor"),
+    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary and confidential|confidential and proprietary"),
+    ("proprietary", "(?:unauthori[sz]ed (?:copying|use|distribution)|may not be (?:copied|reproduced|redistributed))", "unauthori|may not be "),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: smaller ``priority`` wins; one of the ``keyword``'s alternatives must occur before
-    ``pattern`` is tried, and a match of ``gate`` ('': of the pattern) before any rule is."""
+    """A signature: smaller ``priority`` wins.  Each match has one of the ``keyword``'s alternatives, and
+    one of the ``gate``'s ('': the keyword's) at the start of a word: both must be there before
+    ``pattern`` is tried."""
 
     label: str
     pattern: str
@@ -138,20 +218,29 @@ def _keywords(*names: str) -> str:
     return "|".join(t for t in texts if not any(o != t and f" {o}" in f" {t}" for o in texts))
 
 
+def _literal(pattern: str) -> str:
+    """The longest run of words outside of a pattern's groups."""
+    return max(re.split(r"\(\?:[^()]*\)(?:\?|\{[^}]*\})?", pattern), key=len).strip()
+
+
 def rules() -> list[Rule]:
-    """All signatures in order: identifiers, grants, names with version, bare names, notices."""
+    """All signatures in order: identifiers, license texts, names with version, grants, bare names, notices."""
     found = []
     verb = r"(?:licen[sc]ed|released|distributed|published|provided|available|issued|offered|covered|shared) (?:only )?(?:under|by|with) "
+    verbs = _keywords(verb)
     grant = verb + r"(?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:an? )?"
     for label, name, short, versions in FAMILIES:
         either = f"(?:{name}|{short})"
         key = _keywords(name, short)
         ending = "(?: public)?(?: licen[sc]e)?"
-        found.append(Rule(label, f"spdx licen[sc]e identifier {short}(?: [0-9]+)*(?: only| or later)?", "spdx", 1, 1.0, "spdx"))
-        found.append(Rule(label, f"{grant}{either}{ending}", key, 3, 0.9, verb))
+        found.append(Rule(label, f"spdx licen[sc]e identifier {short}(?: [0-9]+)*(?: only| or later)?", _keywords(short), 1, 1.0, "spdx licen"))
+        found.append(Rule(label, f"{grant}{either}{ending}", key, 3, 0.9, verbs))
         found.append(Rule(label, f"{name} licen[sc]e", _keywords(name), 4, 0.7, "licen"))
         for version in versions:
-            found.append(Rule(f"{label}-{version.replace(' ', '.')}", f"{either}{ending} (?:version |v |v)?{version}(?: or (?:any )?later(?: version)?)?", key, 2, 0.95, key))
+            number = f"{version}(?: or (?:any )?later(?: version)?)?"
+            found.append(Rule(f"{label}-{version.replace(' ', '.')}", f"{either}{ending} (?:version |v |v)?{number}", key, 2, 0.95))
+    for label, pattern in TEXTS:
+        found.append(Rule(label, pattern, _literal(pattern), 1, 0.98))
     for label, pattern, key in NOTICES:
         found.append(Rule(label, pattern, key, 5, 0.5))
     return found
@@ -160,10 +249,28 @@ def rules() -> list[Rule]:
 PRIORITIES = 5
 
 
+def _trie(texts: list[str]) -> str:
+    """A regex for the start of any of the texts, which shares their beginnings; spaces match any gap."""
+    root: dict = {}
+    for text in texts:
+        node = root
+        for letter in text:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        if "" in node:
+            return ""  # a text ends here: longer ones add nothing
+        parts = [(BETWEEN if letter == " " else re.escape(letter)) + write(after) for letter, after in node.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return write(root)
+
+
 def _passes_gate(text: Column, signatures: list[Rule]) -> Column:
-    """Whether some rule's gate matches from the start of a word, with anything between words."""
-    gates = "|".join(dict.fromkeys([*(phrase for phrase, _ in PHRASES), *(r.gate or r.pattern for r in signatures)])).replace(" ", f"(?:{BETWEEN})")
-    return F.rlike(F.lower(text), F.lit(f"(?<!{WORD[:-1]})(?:{gates})"))
+    """Whether some rule's gate stands at the start of a word, with anything between words."""
+    keys = [phrase for phrase, _ in PHRASES] + [key.rstrip() for r in signatures for key in (r.gate or r.keyword).split("|")]
+    return F.rlike(F.lower(text), F.lit(f"(?<!{WORD[:-1]}){_trie(keys)}"))
 
 
 def _count_words(text: Column) -> Column:
@@ -209,10 +316,14 @@ def _rule_places(plain: Column, pattern: Column) -> Column:
 
 
 def _detections(plain: Column, table: Column) -> Column:
-    """(start, -end, priority, label, weight) of all rules' matches, in this order."""
-    # A rule's keyword is a list of alternatives.
-    near = F.filter(table, lambda r: F.exists(F.split(r["keyword"], r"\|"), lambda k: F.contains(plain, k)))
-    hits = F.filter(near, lambda r: F.rlike(plain, r["pattern"]))
+    """(start, -end, priority, label, weight) of all rules' matches, in this order; ``table`` holds the
+    rules by gate."""
+
+    def some(keys: Column) -> Column:
+        return F.exists(keys, lambda k: F.contains(plain, k))
+
+    near = F.flatten(F.transform(F.filter(table, lambda g: some(g["gate"])), lambda g: g["rules"]))
+    hits = F.filter(near, lambda r: some(r["keyword"]) & F.rlike(plain, r["pattern"]))
     places = F.transform(
         hits,
         lambda r: F.transform(
@@ -284,11 +395,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", signatures:
     empty table gives none.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    kind = "array<struct<label:string,pattern:string,keyword:string,priority:int,weight:double>>"
-    # Matches start and end at a space of the plain text, which they do not take.
+    kind = "array<struct<gate:array<string>,rules:array<struct<label:string,pattern:string,keyword:array<string>,priority:int,weight:double>>>>"
     signatures = signatures or rules()
-    rows = [asdict(r) | {"pattern": f"(?<= )(?:{r.pattern})(?= )"} for r in signatures]
-    table = F.from_json(F.lit(json.dumps(rows)), kind)
+    groups: dict[str, list[dict]] = {}
+    for r in signatures:
+        # Matches start and end at a space of the plain text, which they do not take.
+        row = asdict(r) | {"pattern": f"(?<= )(?:{r.pattern})(?= )", "keyword": r.keyword.split("|")}
+        groups.setdefault(r.gate or r.keyword, []).append(row)
+    table = F.from_json(F.lit(json.dumps([{"gate": [f" {k}" for k in gate.split("|")], "rules": found} for gate, found in groups.items()])), kind)
     nothing = F.struct(
         F.lit(0).cast("long").alias("n_base"),
         F.lit(None).cast("long").alias("first_word"),
