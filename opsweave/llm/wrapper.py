@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import stash
+from opsweave.llm.common import CACHES, leave, stash
 
 # Fixed values of HTML: elements by how they behave.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "title")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -41,13 +41,23 @@ ENDS = {
 }
 #: Elements past which a start tag does not look for one to end.
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
-#: Elements, and words in class, id or role, that hold no main text.
-NOT_MAIN = frozenset("head nav footer aside form button select dialog menu search label".split())
-NOT_MAIN_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|footer|sidebar|ads?|advert(?:s|isement)?|sponsor(?:ed)?|banner|promo(?:tion)?|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|comments?|disqus|replies|respond|related|recommended|share|sharing|social|breadcrumbs?|pagination|pager|masthead|contentinfo|complementary|skip|hidden|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Elements that hold no main text; those of the second list only outside of the main element.
+NOT_MAIN = frozenset("head nav footer aside form button select dialog search label".split())
+NOT_MAIN_OUTSIDE = frozenset("header menu".split())
+#: Words that, as a whole name in class, id or role or as its last part ('site-footer'), say the same of
+#: the elements that may carry them; as a first part they do so before a word for a piece of a page
+#: ('comment-list').  A name that begins with one of ``SAYS_OTHERWISE`` tells about something else.
+NOT_MAIN_WORDS = frozenset(
+    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement advertisements sponsor sponsored banner promo promotion cookie cookies consent notice gdpr popup modal"
+    " overlay newsletter subscribe signup login comment comments disqus reply replies respond related recommended share sharing social breadcrumb breadcrumbs pagination pager masthead contentinfo"
+    " complementary skip hidden toolbar widget widgets".split()
 )
+PIECES = frozenset(
+    "area bar block bottom box button buttons card column container content form footer header heading icon icons inner item items left link links list nav outer panel row section slot text thread title"
+    " top unit widget wrap wrapper right message".split()
+)
+SAYS_OTHERWISE = frozenset("has have is no not with without hide use js on".split())
+CARRIERS = frozenset("div section ul ol dl p table center figure header details li fieldset hgroup".split())
 MAIN = ("article", "main")
 
 #: Share of a host's distinct pages, and pages at least, that make a text template: outside of the
@@ -55,8 +65,11 @@ MAIN = ("article", "main")
 OUTSIDE = (0.5, 3)
 INSIDE = (0.9, 20)
 MAX_DEPTH = 100
-#: Child lists with more pairs than this are aligned in order, without search.
-MAX_PAIRS = 250_000
+#: Cells of a matching's table that are held at once; longer child lists are halved, with the same result.
+TABLE_CELLS = 1 << 20
+#: Shapes, and pairs of shapes with their weight, that a worker keeps for one host.
+MAX_SHAPES = 200_000
+MAX_WEIGHTS = 1_000_000
 #: Reference pages up to this many bytes in all are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 64 << 20
 
@@ -68,36 +81,48 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
     """A block element, or a run of text (``tag`` '#')."""
 
-    __slots__ = ("tag", "children", "text", "main", "waste", "shape", "slot")
+    __slots__ = ("tag", "children", "text", "main", "waste", "named", "shape", "slot")
 
-    def __init__(self, tag: str, main: bool, waste: bool, text: str = ""):
+    def __init__(self, tag: str, main: bool, waste: bool, text: str = "", named: bool = False):
         self.tag, self.main, self.waste, self.text = tag, main, waste, text
+        #: Whether a name in class, id or role says that the node or one around it holds no main text.
+        self.named = named
         self.children: list[Node] = []
         self.shape = 0
         self.slot = -1
 
 
-def _is_waste(name: str, attrs: str, main: bool) -> bool:
-    if name in NOT_MAIN or name == "header" and not main:
-        return True
-    if not attrs or name in ("html", "body"):
-        return False
-    for key, a, b, c in _ATTRIBUTE.findall(attrs):
-        value = a or b or c
-        if key.lower() == "hidden" or key.lower() == "aria-hidden" and value.lower() == "true":
+def _names_waste(value: str) -> bool:
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if parts and parts[0] not in SAYS_OTHERWISE and (parts[-1] in NOT_MAIN_WORDS or parts[0] in NOT_MAIN_WORDS and all(p in PIECES or p.isdigit() for p in parts[1:])):
             return True
-        if key.lower() in ("class", "id", "role") and NOT_MAIN_WORDS.search(value):
-            return name not in MAIN
     return False
 
 
+def _judge(name: str, attrs: str, main: bool) -> tuple[bool, bool]:
+    """(no main text by element or because it is hidden, no main text by a name it carries)."""
+    if name in NOT_MAIN or name in NOT_MAIN_OUTSIDE and not main:
+        return True, False
+    if not attrs or name in ("html", "body"):
+        return False, False
+    named = False
+    for key, a, b, c in _ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), a or b or c
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True, False
+        if key in ("class", "id", "role") and name in CARRIERS and _names_waste(value):
+            named = True
+    return False, named
+
+
 def parse(page: str) -> Node:
     """The block-level tree of a page; broken markup gives the nearest tree, never an error."""
     root = Node("#root", False, False)
@@ -113,7 +138,7 @@ def parse(page: str) -> Node:
             text = _SPACE.sub(" ", text).strip()
             if text:
                 top = stack[-1]
-                top.children.append(Node("#", top.main, top.waste, text))
+                top.children.append(Node("#", top.main, top.waste, text, top.named))
 
     at = 0
     for found in _TOKEN.finditer(page):
@@ -149,7 +174,9 @@ def parse(page: str) -> Node:
             elif not scope:
                 break
         top = stack[-1]
-        node = Node(name, top.main or name in MAIN, top.waste or _is_waste(name, found["attrs"] or found["attrs2"] or "", top.main))
+        waste, named = _judge(name, found["attrs"] or found["attrs2"] or "", top.main)
+        # A name around the main element tells of the page, not of the main element.
+        node = Node(name, top.main or name in MAIN, top.waste or waste, "", named or top.named and name not in MAIN)
         top.children.append(node)
         if name not in VOID:
             stack.append(node)
@@ -203,22 +230,56 @@ class Shapes:
         if found is None:
             low, high_x, high_y = _trim(x[1:], y[1:])
             same = sum(self.sizes[k] for k in (*x[1 : 1 + low], *x[1 + high_x :]))
-            found = self.weights[key] = 1 + same + self._table(x[1 + low : 1 + high_x], y[1 + low : 1 + high_y])[-1][-1]
+            left, right = x[1 + low : 1 + high_x], y[1 + low : 1 + high_y]
+            found = self.weights[key] = 1 + same + (int(self._last_row(left, right)[-1]) if left and right else 0)
         return found
 
-    def _table(self, x: tuple, y: tuple) -> list[list[int]]:
-        """table[i][j]: the best matching of the first i and first j children."""
-        table = [[0] * (len(y) + 1)]
-        if len(x) * len(y) > MAX_PAIRS:
-            return [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    def _rows(self, x: tuple, y: tuple) -> Iterator[np.ndarray]:
+        """Rows of the table whose cell [i][j] is the best matching of the first i and first j children."""
+        kinds, which = np.unique(np.array(y, np.int64), return_inverse=True)
+        kinds = kinds.tolist()
+        weights: dict[int, np.ndarray] = {}
+        above = np.zeros(len(y) + 1, np.int64)
         for p in x:
-            above = table[-1]
-            row = [0]
-            for j, q in enumerate(y):
-                best = above[j] + self.weight(p, q)
-                row.append(max(best, above[j + 1], row[j]))
-            table.append(row)
-        return table
+            if p not in weights:
+                weights[p] = np.array([self.weight(p, q) for q in kinds], np.int64)
+            row = above.copy()
+            np.maximum(row[1:], above[:-1] + weights[p][which], out=row[1:])
+            above = np.maximum.accumulate(row)
+            yield above
+
+    def _last_row(self, x: tuple, y: tuple) -> np.ndarray:
+        row = np.zeros(len(y) + 1, np.int64)
+        for row in self._rows(x, y):
+            pass
+        return row
+
+    def _pairs(self, x: tuple, y: tuple) -> list[tuple[int, int]]:
+        """Positions of a best matching, ascending.  Of a long list the first half is matched with the
+        part of the other list that suits both halves best, so that a few rows are held at a time."""
+        found, pending = [], [(0, len(x), 0, len(y))]
+        while pending:
+            a, b, c, d = pending.pop()
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > TABLE_CELLS and b - a > 1:
+                middle = (a + b) // 2
+                before = self._last_row(x[a:middle], y[c:d])
+                after = self._last_row(x[middle:b][::-1], y[c:d][::-1])[::-1]
+                cut = c + int((before + after).argmax())
+                pending += [(a, middle, c, cut), (middle, b, cut, d)]
+                continue
+            table = [np.zeros(d - c + 1, np.int64), *self._rows(x[a:b], y[c:d])]
+            i, j = b - a, d - c
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((a + i, c + j))
+        return sorted(found)
 
     def align(self, page: Node, reference: Node) -> None:
         """Gives the page's text nodes the slots of the reference's that they match."""
@@ -232,20 +293,8 @@ class Shapes:
             low, high_x, high_y = _trim([c.shape for c in x], [c.shape for c in y])
             pending += zip(x[:low], y[:low])
             pending += zip(x[high_x:], y[high_y:])
-            i, j = high_x, high_y
-            if (i - low) * (j - low) > MAX_PAIRS:
-                pending += [(p, q) for p, q in zip(x[low:i], y[low:j]) if p.tag == q.tag]
-                continue
-            table = self._table(tuple(c.shape for c in x[low:i]), tuple(c.shape for c in y[low:j]))
-            i, j = i - low, j - low
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pending.append((x[low + i], y[low + j]))
+            inner = self._pairs(tuple(c.shape for c in x[low:high_x]), tuple(c.shape for c in y[low:high_y]))
+            pending += [(x[low + i], y[low + j]) for i, j in inner]
 
 
 def _trim(x, y) -> tuple[int, int, int]:
@@ -287,7 +336,7 @@ class HostWrapper:
 
     def read(self, page: str) -> list[Node]:
         """The text nodes of a page, with their slots."""
-        if len(self.shapes.parts) > 200_000:
+        if len(self.shapes.parts) > MAX_SHAPES or len(self.shapes.weights) > MAX_WEIGHTS:
             self.shapes = Shapes()
             self.shapes.assign(self.tree)
         tree = parse(page)
@@ -296,20 +345,26 @@ class HostWrapper:
         return list(_texts(tree))
 
 
-@functools.lru_cache(maxsize=256)
+@functools.lru_cache(maxsize=64)
 def _wrapper(reference: str) -> HostWrapper:
     return HostWrapper(reference)
 
 
+CACHES.append(_wrapper.cache_clear)
+
+
 def read_page(page: str, reference: str | None) -> list[Node]:
     return _wrapper(reference).read(page) if reference else list(_texts(parse(page)))
 
 
 def main_text(nodes: list[Node], template: set[tuple[int, int]]) -> str:
-    """Content joined by blank lines: of the main element if the page has one, else of the page."""
-    content = [n for n in nodes if not n.waste]
-    inside = [n for n in content if n.main]
-    return "\n\n".join(n.text for n in inside or content if n.slot < 0 or (n.slot, _print(n.text)) not in template)
+    """Content joined by blank lines: of the main element if the page has one, else of the page.
+
+    Slots come first: what is left after the template is content unless its element or a name says
+    otherwise; where names would leave nothing, they are not believed."""
+    varying = [n for n in nodes if not n.waste and (n.slot < 0 or (n.slot, _print(n.text)) not in template)]
+    varying = [n for n in varying if n.main] or varying
+    return "\n\n".join(n.text for n in [n for n in varying if not n.named] or varying)
 
 
 def _host(url: str):
@@ -325,7 +380,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     """(page_id, url, text, n_chars) for every row of ``df``.
 
     A null page counts as empty and has empty text.  Pages without a host share no template.  Repeated
-    rows give repeated results, and equal pages of a host count once for its template.
+    rows give repeated results, and equal pages of a host count once for its template.  An empty table
+    gives no rows; other columns are ignored.
     """
     named = df.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"), _host(url).alias("host"))
     hosted = named.where(F.col("host") != "")
@@ -334,6 +390,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     references = stash(references, "references")
     size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
 
+    @leave("wrapper")
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -362,6 +419,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     wrappers = stash(references.join(template, "host", "left"), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("reference") + 16 * F.greatest(F.lit(0), F.size("template")))).first()[0] or 0
 
+    @leave("wrapper")
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

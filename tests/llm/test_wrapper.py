@@ -46,3 +46,77 @@ def test_deep_page(spark):
     deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
     got = extract(spark, [(i, f"http://d.example/{i}", f"{deep}<p>{i}</p>") for i in range(3)])
     assert got[1].text == "1" or got[1].text == "deep text\n\n1"
+
+
+def texts_of(spark, *bodies):
+    """Texts of pages that share no host."""
+    got = extract(spark, [(i, None, f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)])
+    return [got[i].text for i in range(len(bodies))]
+
+
+def test_names_lose_no_article(spark):
+    names = ["class='layout has-sidebar'", "class=no-sidebar", "class=has-related", "class='share-enabled'", "id=social-science", "class='ad-hoc'", "class='related-work'", "class='notice-board'", "class=sidebar", "class='with-footer'"]
+    article = "<article><h1>Head</h1><p>Body text</p></article>"
+    assert texts_of(spark, *(f"<div {n}>{article}</div>" for n in names)) == ["Head\n\nBody text"] * len(names)
+    plain = "<p>First words</p><p>More words</p>"
+    assert texts_of(spark, *(f"<div {n}>{plain}</div>" for n in names)) == ["First words\n\nMore words"] * len(names)
+
+
+def test_names_take_their_own(spark):
+    for name in ("class=ad", "class='top site-footer'", "id=comments", "class='comment-list'", "class='cookie-banner'", "role=navigation", "class='nav-bar'", "class='ad ad-1'", "class=newsletter-form"):
+        assert texts_of(spark, f"<p>Kept</p><div {name}><p>gone</p></div><article><p>Told</p><div {name}>gone</div></article>") == ["Told"]
+
+
+def test_attributes_by_name(spark):
+    assert texts_of(spark, "<p title='a hidden gem'>one</p><p data-hidden=0>two</p><p hidden>three</p><p aria-hidden=TRUE>four</p><blockquote class=social>five</blockquote>") == ["one\n\ntwo\n\nfive"]
+
+
+def test_inline_fallbacks_and_menus(spark):
+    article = "<article><p>Energy is <math><mi>E</mi></math> always <object>shown</object></p><menu><li>step</menu></article><menu><li>File</menu>"
+    assert texts_of(spark, article) == ["Energy is E always shown\n\nstep"]
+
+
+def brute_weight(a, b):
+    """Simple tree matching by its definition."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1:], b[1:]
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_weight(x[i - 1], y[j - 1]))
+    return 1 + table[-1][-1]
+
+
+def test_matching_of_random_trees(monkeypatch):
+    import random
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        return (rng.choice("ab"), *(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)))
+
+    def node(t):
+        n = wrapper.Node(t[0], False, False)
+        n.children = [node(c) for c in t[1:]]
+        return n
+
+    for cells in (1 << 20, 4):
+        monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+        for _ in range(60):
+            a, b = tree(4), tree(4)
+            shapes, one, two = wrapper.Shapes(), node(a), node(b)
+            shapes.assign(one)
+            shapes.assign(two)
+            assert shapes.weight(one.shape, two.shape) == brute_weight(a, b)
+            x, y = tuple(c.shape for c in one.children), tuple(c.shape for c in two.children)
+            pairs = shapes._pairs(x, y)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+            if a[0] == b[0]:
+                assert 1 + sum(shapes.weight(x[i], y[j]) for i, j in pairs) == brute_weight(a, b)
+
+
+def test_wide_and_long_pages(spark):
+    wide = [(i, "http://w.example/", "<article>" + "".join(f"<p>{k} {i}</p><div><b>{k}</b></div>" if (k + i) % 7 else f"<ul><li>{k}</ul>" for k in range(1500)) + "</article>") for i in range(2)]
+    got = extract(spark, [*wide, (9, "http://w.example/", "<p>" + "long " * 300_000 + "</p>")])
+    assert got[0].text.count("\n\n") > 2500 and got[9].n_chars == 5 * 300_000 - 1
