@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad from its own features and those of the lines before and after
 it; forward-backward marginals, weighted by line length, make up the document's quality, which one
-logistic curve then calibrates.  The model is fitted on the features of at most ``SAMPLE_DOCS``
-labelled documents.  Features see the text alone.
+logistic curve then calibrates.  The model is fitted on whole labelled documents, at most
+``SAMPLE_DOCS`` with ``SAMPLE_LINES`` lines in all.  Features see the text alone.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of, leave
+from opsweave.llm.common import bytes_of, leave, stash
 
-#: Labelled documents, and lines of one of them, that the model is fitted on at most.
+#: Labelled documents, and lines of all of them together, that the model is fitted on at most.
 SAMPLE_DOCS = 4_000
-SAMPLE_LINES = 300
+SAMPLE_LINES = 200_000
 STEPS = 250
 RATE = 0.05
 PENALTY = 1e-3
@@ -192,15 +192,28 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text: str = "text") -> LineCrf | None:
-    """The model, or None where no usable label is left.
+def train(
+    documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text: str = "text", sample_lines: int = SAMPLE_LINES
+) -> LineCrf | None:
+    """The model, or None where no usable label is left (an empty table, null or other labels).
 
-    The sample is the ``sample_docs`` labelled ids with the smallest hash among those not held out.
-    Of a document, lines past ``SAMPLE_LINES`` are not fitted on; scoring reads all.
+    The sample is the ``sample_docs`` labelled ids with the smallest hash among those not held out; one
+    row stands for rows that repeat an id.  Documents are taken whole, in this order, as long as they
+    fit into ``sample_lines`` together; one that does not is passed over.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = chosen.withColumnRenamed("doc_id", "_labelled")
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = documents.select(F.col(id_col).alias("_labelled"), body.alias("_text"))
+    # The sample has at most `sample_docs` rows of two numbers.
+    joined = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_labelled")), "_labelled")
+    sample = stash(joined.groupBy("_labelled").agg(F.first("_quality").alias("_quality"), F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")), "sample")
+    sizes = sample.select("_labelled", F.size(F.split("_text", "\n")).alias("n")).orderBy(F.xxhash64("_labelled"), "_labelled").collect()  # at most `sample_docs` rows
+    taken, left = [], sample_lines
+    for r in sizes:
+        if r["n"] <= left:
+            taken.append(r["_labelled"])
+            left -= r["n"]
 
     @leave("line_quality")
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,18 +221,17 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
             blobs, sizes = [], []
             for body in bytes_of(batch.column(1)):
                 own, size = line_features(body)
-                blobs.append(own[:SAMPLE_LINES].astype("<f4").tobytes())
-                sizes.append(size[:SAMPLE_LINES].astype("<i8").tobytes())
+                blobs.append(own.astype("<f4").tobytes())
+                sizes.append(size.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], ["quality", "features", "sizes"])
 
-    # The sample has at most `sample_docs` rows of two numbers.
-    joined = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select(F.col("quality").cast("int"), F.col(text).cast("string").alias("text"), F.col(id_col).alias("_id"))
-    rows = joined.select("quality", "text", "_id").mapInArrow(features, "quality int, features binary, sizes binary").collect()
-    if not rows:
+    picked = documents.sparkSession.createDataFrame([(i,) for i in taken], sample.select("_labelled").schema)
+    found = sample.join(F.broadcast(picked), "_labelled").select("_quality", "_text").mapInArrow(features, "quality int, features binary, sizes binary").collect()
+    if not found:
         return None
-    rows.sort(key=lambda r: (r["features"], r["quality"]))  # the same model whatever the order of tasks
-    owns = [np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH).astype(float) for r in rows]
-    return fit(owns, [np.frombuffer(r["sizes"], "<i8") for r in rows], np.array([r["quality"] for r in rows]))
+    found.sort(key=lambda r: (r["features"], r["quality"]))  # the same model whatever the order of tasks
+    owns = [np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH).astype(float) for r in found]
+    return fit(owns, [np.frombuffer(r["sizes"], "<i8") for r in found], np.array([r["quality"] for r in found]))
 
 
 def score(documents: DataFrame, model: LineCrf | None, text: str = "text", out: str = "score") -> DataFrame:
@@ -251,12 +263,17 @@ def score(documents: DataFrame, model: LineCrf | None, text: str = "text", out:
 
 
 def predict(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``documents``."""
+    """(doc_id, held_out, score, predicted) for every row of ``documents``, repeated ones too.
+
+    A null id is not held out; null and empty texts are scored as one empty line; an empty table gives
+    no rows; other columns are ignored.
+    """
     scored = score(documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), train(documents, labels, id_col=id_col, text=text))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose score is at least 0.5, with all their columns."""
+    """The rows of ``documents`` whose score is at least 0.5, with all their columns, repeated rows too;
+    an empty table stays empty."""
     scored = score(documents, train(documents, labels, id_col=id_col, text=text), text, "_opsweave_score")
     return scored.where("_opsweave_score >= 0.5").select(*documents.columns)
