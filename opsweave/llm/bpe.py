@@ -12,7 +12,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -24,12 +25,21 @@ from opsweave.llm.common import CACHES, WordCache, bytes_of, leave
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Bytes of text whose new words are merged together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 
-# Fixed values of the vocabulary's file: its split pattern and white space.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Fixed value of the vocabulary's file: its split pattern; here a line feed, which no part has, stands by itself.
+SPLIT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+@functools.cache
+def _newer() -> frozenset[str]:
+    """Characters that ``regex`` knows and Python's Unicode tables do not: for them only the library
+    itself says what is a letter and what its small form is."""
+    points = [c for c in [*range(0x32400), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
+    known = regex.compile(r"\P{Cn}")
+    return frozenset(chr(c) for c in points if known.match(chr(c)))
 
 
 def byte_alphabet() -> list[str]:
@@ -134,33 +144,56 @@ class TextEncoder:
     white-space-separated parts, and each distinct part is encoded once.
     """
 
-    def __init__(self, words: PairIndexEncoder | LibraryEncoder):
+    def __init__(self, words: PairIndexEncoder | LibraryEncoder, path: str):
         self.words = words
+        self.library = Tokenizer.from_file(path)
+        self.bytes_of_letters = {letter: i for i, letter in enumerate(byte_alphabet())}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, words.special)) + ")")
         self.parts = WordCache(CACHE_WORDS)
         self.pieces = WordCache(CACHE_WORDS)
 
-    def _pieces_of(self, part: bytes) -> list[str]:
+    def _split(self, parts: list[bytes]) -> list[list[str]]:
+        """The pieces of each part; all parts go through the patterns together, one on a line."""
+        text = b"\n".join(parts).decode()
+        if self.specials.search(text) or not text.isascii() and not _newer().isdisjoint(set(text)):
+            return [self._split_rare(part) for part in parts]
+        out: list[list[str]] = [[]]
+        for piece in self._pieces(text):
+            if piece == "\n":
+                out.append([])
+            else:
+                out[-1].append(piece)
+        return out
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        # A capital sigma becomes a plain one wherever it stands, as in the library.
+        return SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _split_rare(self, part: bytes) -> list[str]:
         found = []
         for span in self.specials.split(part.decode()):
             if span in self.words.special:
                 found.append(span)
-            elif span:
-                # A capital sigma becomes a plain one wherever it stands, as in the library.
-                found += SPLIT.findall(unicodedata.normalize("NFC", span).replace("Σ", "σ").lower())
+            elif _newer().isdisjoint(span):
+                found += self._pieces(span) if span else []
+            else:
+                letters = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(span))
+                found += [bytes(map(self.bytes_of_letters.__getitem__, piece)).decode() for piece, _ in letters]
         return found
 
     def learn(self, parts: set[bytes]) -> None:
-        split = {part: self._pieces_of(part) for part in self.parts.missing(parts)}
-        new = self.pieces.missing({piece for pieces in split.values() for piece in pieces})
+        fresh = self.parts.missing(parts)
+        split = self._split(fresh) if fresh else []
+        new = self.pieces.missing({piece for pieces in split for piece in pieces})
         ordinary = [piece for piece in new if piece not in self.words.special]
+        known, parts_known = self.pieces.now, self.parts.now
         for piece, ids in zip(ordinary, self.words.encode_words(ordinary)):
-            self.pieces[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
+            known[piece] = array("I", ids).tobytes()
         for piece in set(new) - set(ordinary):
-            self.pieces[piece] = self.words.special[piece].to_bytes(4, "little")
-        known = self.pieces
-        for part, pieces in split.items():
-            self.parts[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            known[piece] = array("I", [self.words.special[piece]]).tobytes()
+        for part, pieces in zip(fresh, split):
+            parts_known[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -177,14 +210,14 @@ class TextEncoder:
     def _flush(self, batch: list[list[bytes]]) -> Iterator[bytes]:
         self.learn(set().union(*batch))
         for parts in batch:
-            yield b"".join(map(self.parts.__getitem__, parts))
+            yield b"".join(map(self.parts.now.__getitem__, parts))
 
 
 @functools.cache
 def encoder(kind: str, vocabulary: str = VOCABULARY) -> TextEncoder:
     """One encoder for each Python worker, with its caches."""
     path = public_tokenizers.path(vocabulary)
-    return TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path))
+    return TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path), path)
 
 
 CACHES.append(encoder.cache_clear)

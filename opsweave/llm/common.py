@@ -96,28 +96,23 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first.astype(np.uint64), unpack_uint(data[9:], data[0])]), dtype=np.uint64)
 
 
-class WordCache(dict):
-    """A dict of at most about twice ``limit`` entries that forgets those not asked for lately."""
+class WordCache:
+    """A dict ``now`` of at most about twice ``limit`` entries that forgets those not asked for lately."""
 
     def __init__(self, limit: int):
-        super().__init__()
         self.limit = limit
+        self.now: dict = {}
         self.older: dict = {}
 
     def missing(self, wanted: set) -> list:
-        """The keys of ``wanted`` that must still be worked out; all others are in the dict then."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        out = []
-        for key in wanted:
-            if key not in self:
-                value = self.older.get(key)
-                if value is None:
-                    out.append(key)
-                else:
-                    self[key] = value
-        return out
+        """The keys of ``wanted`` that must still be worked out; all others are in ``now`` then."""
+        if len(self.now) > self.limit:
+            self.older, self.now = self.now, {}
+        absent = wanted.difference(self.now)
+        new = absent.difference(self.older)
+        for key in absent - new:
+            self.now[key] = self.older[key]
+        return list(new)
 
 
 #: ``cache_clear`` of what operators keep in a Python worker.

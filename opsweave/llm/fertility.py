@@ -23,7 +23,7 @@ from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words in each generation of the cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 BATCH_BYTES = 4 << 20
 REPEAT_WORDS = 8
 MIN_WORDS = 20
@@ -86,10 +86,10 @@ class WordPieces:
     def learn(self, words: set[bytes]) -> None:
         new = self.known.missing(words)
         for word, ids in zip(new, self.pieces.encode([w.decode() for w in new], num_threads=1)):
-            self.known[word] = np.array(ids, "<u2").tobytes()
+            self.known.now[word] = np.array(ids, "<u2").tobytes()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u2")
+        return np.frombuffer(b"".join(map(self.known.now.__getitem__, words)), "<u2")
 
 
 @functools.cache

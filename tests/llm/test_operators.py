@@ -253,3 +253,78 @@ def test_license_rules_alone(spark):
     base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in found}
     wrong = [(texts[i], got[i]) for i in got if got[i] != all_license_labels(samples[i % len(samples)]) | base[i] or not got[i]]
     assert len(got) == len(texts) and wrong == []
+
+
+def test_license_bodies(spark):
+    """Texts of licenses are known without the license's name."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"), to deal\n in the Software without restriction, including without limitation the rights"
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n Neither the name of the Example Labs nor the names of its contributors may be used to endorse or promote products derived from this software"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    zero = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    texts = [mit, bsd, gpl, isc, zero, "he was released from duty by the general", None, "x " * 200_000]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in found}
+    assert got[0] == {"mit"} and got[1] == {"bsd", "bsd-3"} and {"gpl", "gpl-3"} <= got[2] and got[3] == {"isc"} and got[4] == {"0bsd"}
+    assert got[5] == got[6] == got[7] == set()
+    assert {r.doc_id: r.score for r in found}[0] == 0.98
+
+
+def test_bpe_of_every_character():
+    """Both encoders give the library's ids for each code point, alone and between letters."""
+    tokens = brute.library()
+    points = [chr(c) for c in [*range(0x32400), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFD] if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}b"):
+        texts = [form.format(c) for c in points]
+        want = [brute.ids_bytes(e.ids) for e in tokens.encode_batch(texts, add_special_tokens=False)]
+        for kind in ("library", "index"):
+            assert list(bpe.encoder(kind).encode([t.encode() for t in texts])) == want
+
+
+def test_marginals_by_enumeration():
+    """Forward-backward gives what summing over all label paths gives."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    crf = line_quality.LineCrf(np.zeros(1), np.ones(1), np.zeros(1), rng.normal(size=(2, 2)))
+    scores = [rng.normal(size=n) for n in (1, 5, 3, 8)]
+    found, pairs = crf.marginals(scores)
+    want_pairs = np.zeros((2, 2))
+    for got, own in zip(found, scores):
+        weights, good = 0.0, np.zeros(len(own))
+        moved = np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=len(own)):
+            w = np.exp(sum(own[i] for i, s in enumerate(path) if s) + sum(crf.moves[a, b] for a, b in zip(path, path[1:])))
+            weights += w
+            good += w * np.array(path)
+            for a, b in zip(path, path[1:]):
+                moved[a, b] += w
+        want_pairs += moved / weights
+        assert np.allclose(got, good / weights)
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_classifier_fits_on_whole_documents(spark, monkeypatch):
+    """Long labelled documents count to their last line; those over the bound of lines are passed over."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    good, bad = "A calm sentence about the garden and its paths.\n", "## $$$ !!! click|here|now ***\n"
+    data = [(i, (good if i % 2 else bad) * (400 if i == ids[0] else 3)) for i in ids] + [(ids[1], "again")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1), (ids[2], None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(line_quality, "fit", lambda owns, sizes, truth: seen.append((len(owns), max(map(len, owns)))))
+    line_quality.train(docs, labels)
+    line_quality.train(docs, labels, sample_lines=1000)
+    assert seen[0] == (60, 401) and seen[1] == (60, 401)
+    line_quality.train(docs, labels, sample_lines=300)
+    assert seen[2] == (59, 4)
+
+
+def test_keep_good(docs, spark, data_dir):
+    labels = spark.read.parquet(f"{data_dir}/labels.parquet")
+    kept = line_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    want = sorted(r.doc_id for r in line_quality.predict(docs, labels).where("predicted = 1").collect())
+    assert sorted(r.doc_id for r in kept.collect()) == want
