@@ -146,8 +146,9 @@ def release() -> None:
 
 
 def leave(operator: str) -> Callable:
-    """Wraps a function of ``mapInArrow`` or a group function: ``settle`` before, ``release`` after, so
-    that a worker that waits for its next task holds nothing.  Group functions run often and release once a second."""
+    """Wraps a function of ``mapInArrow`` or a group function: ``settle`` before, ``release`` after, caches
+    included: Spark keeps several workers for each core and turns from one to the next, so what a worker
+    holds while it waits counts many times.  Group functions run often and release once a second."""
 
     def wrap(function: Callable) -> Callable:
         if inspect.isgeneratorfunction(function):
@@ -158,6 +159,8 @@ def leave(operator: str) -> Callable:
                 try:
                     yield from function(batches)
                 finally:
+                    for clear in CACHES:
+                        clear()
                     release()
 
             return stream
