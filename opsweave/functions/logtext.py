@@ -21,8 +21,6 @@ ERROR_PATTERNS = (
     ("Memory Error", r"(?i)(?:out of memory|oom|memory exhausted)"),
     ("Disk Error", r"(?i)(?:no space left|disk full|filesystem full)"),
 )
-#: The same, most specific first.
-SPECIFIC_FIRST = tuple(sorted(ERROR_PATTERNS, key=lambda p: ("Go Panic", "Database Error", "Connection Error", "Memory Error", "Disk Error", "Python Exception", "Http Error", "Timeout Error", "Nodejs Error", "Java Exception").index(p[0])))
 STACK = r'^\s*at\s+|^\s*File\s+"|^\s*Traceback|^\s*goroutine\s+|^\s*\w+\.\w+\(|^\s+\^'
 STAMP = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}|\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2})"
 LEVEL_RANKS = {"FATAL": 5, "ERROR": 4, "WARN": 3, "WARNING": 3, "INFO": 2, "DEBUG": 1, "TRACE": 0}

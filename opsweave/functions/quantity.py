@@ -50,6 +50,67 @@ def valid_metric_name(text: Column) -> Column:
     return F.rlike(text, F.lit(r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"))
 
 
+def round_places(value: Column, places: int = 4) -> Column:
+    return F.round(value, places)
+
+
+def valid_namespace(text: Column) -> Column:
+    return valid_name(text, 63)
+
+
+def within(value: Column, low: float, high: float) -> Column:
+    """Whether a number is there and within both bounds."""
+    return F.coalesce(value.between(low, high), F.lit(False))
+
+
+# Bounds of a forecast request's fields.
+REQUEST_BOUNDS = {"hours": (1, 168), "qps": (0, 100_000), "percent": (0, 100), "target_utilization": (0.1, 0.9), "sensitivity": (0.1, 1.0), "confidence": (0, 1)}
+
+
+def valid_request(field: str, value: Column) -> Column:
+    return within(value, *REQUEST_BOUNDS[field])
+
+
+def valid_range(start: Column, end: Column, now: Column, most_minutes: int = 1440) -> Column:
+    """Whether a time range begins before its end, is no longer than allowed and not in the future."""
+    length = (F.unix_timestamp(end) - F.unix_timestamp(start)) / 60
+    return F.coalesce((start < end) & (length <= most_minutes) & (end <= now), F.lit(False))
+
+
+def iso_time(text: Column) -> Column:
+    """A time of an ISO text, with ``Z`` or an offset; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def label_text(labels: Column) -> Column:
+    """``k:v|k:v`` of a map, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
+
+
+# Prices an hour of a core, a gigabyte of memory and of disk, and of instances.
+PRICES = {"cpu": 0.02, "memory": 0.005, "disk": 0.0001, "instance": 0.04}
+INSTANCES = (("small", 1, 2), ("medium", 2, 4), ("large", 4, 8), ("xlarge", 8, 16))
+
+
+def current_cost(cost: Column, cpu: Column, memory: Column, disk: Column, instances: Column) -> Column:
+    """The cost an hour that is given, else that of the resources, at least 0.1."""
+    parts = PRICES["cpu"] * F.coalesce(cpu, F.lit(0.0)) + PRICES["memory"] * F.coalesce(memory, F.lit(0.0)) + PRICES["disk"] * F.coalesce(disk, F.lit(0.0)) + PRICES["instance"] * F.coalesce(instances, F.lit(0.0))
+    return F.coalesce(cost, F.greatest(parts, F.lit(0.1)))
+
+
+def return_on(investment: Column, savings: Column, hours: Column) -> Column:
+    """Percent that savings an hour bring over an investment; 0 without one."""
+    return F.when(investment == 0, 0.0).otherwise((savings * hours - investment) / investment * 100)
+
+
+def instance_type(cpu: Column, memory: Column) -> Column:
+    """The smallest kind of instance with the cores and gigabytes; the largest where none has."""
+    out = F.lit(INSTANCES[-1][0])
+    for name, cores, gigabytes in reversed(INSTANCES[:-1]):
+        out = F.when((cpu <= cores) & (memory <= gigabytes), name).otherwise(out)
+    return out
+
+
 def sanitised(text: Column, most: int = 1000) -> Column:
     """Without angle brackets, ampersands and quotes, at most ``most`` characters."""
     return F.substring(F.regexp_replace(text, "[<>&\"']", ""), 1, most)

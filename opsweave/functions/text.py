@@ -8,7 +8,10 @@ FENCE = "```"
 # Substrings of which two make a text markdown.
 MARKDOWN_SIGNS = ("# ", "## ", "### ", "```", "- ", "* ", "1. ", "[", "](", "**", "|")
 # Words that say nothing about a query.
-STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "be", "of", "to", "in", "on", "at", "for", "and", "or", "with", "by", "it", "this", "that")
+STOP_WORDS = (
+    "的", "了", "是", "在", "有", "和", "与", "或", "但", "不", "没", "也", "都", "要", "会", "能", "可以", "什么", "怎么", "为什么", "如何",
+    "the", "is", "in", "and", "or", "but", "not", "to", "a", "an", "what", "how", "why", "can", "could", "should", "would",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -42,6 +45,17 @@ def structure(text: Column) -> dict[str, Column]:
     }
 
 
+def quick_structure(text: Column) -> dict[str, Column]:
+    """Whether a text has code, a table row, a list; how many titles; the languages of its fences."""
+    return {
+        "has_code": F.contains(text, F.lit(FENCE)),
+        "has_table": F.rlike(text, F.lit(r"\|[^\n]*\|")),
+        "has_list": F.rlike(text, F.lit(r"(?m)^\s*(?:[-*+]|\d+\.)\s")),
+        "n_titles": F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s")),
+        "languages": F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"```(\w+)"), F.lit(1)))),
+    }
+
+
 def cache_keywords(text: Column, most: int = 8) -> Column:
     """Words without stop words and single characters: the longest first, at most ``most``, then in
     alphabetical order.  Words of equal length go by the alphabet."""

@@ -71,7 +71,9 @@ def node_not_ready(t: Tables) -> DataFrame:
 
 
 def privileged_containers(t: Tables) -> DataFrame:
-    each = t["pods"].select("namespace", "name", F.explode("containers").alias("c")).where("c.privileged")
+    """Containers and init containers that run privileged, a row each."""
+    named = [F.transform(F.coalesce(c, F.array()), lambda x: F.struct(x["name"].alias("name"), x["privileged"].alias("privileged"))) for c in ("containers", "init_containers") if c in t["pods"].columns]
+    each = t["pods"].select("namespace", "name", F.explode(F.concat(*named)).alias("c")).where("c.privileged")
     return _finding(each, "security_privileged_container", "high", F.concat_ws("/", "namespace", "name", F.col("c.name")), F.lit("privileged"))
 
 
@@ -154,3 +156,8 @@ def health_score(nodes: DataFrame, pods: DataFrame, events: DataFrame) -> DataFr
     )
     scored = one.withColumn("score", F.greatest(score, F.lit(0)).cast("int"))
     return scored.withColumn("band", F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 70, "good").when(F.col("score") >= 50, "fair").otherwise("poor"))
+
+
+def namespace_deployments(status: DataFrame) -> DataFrame:
+    """(namespace, deployments, healthy, desired, available) over the deployments of each namespace."""
+    return status.groupBy("namespace").agg(F.count("*").alias("deployments"), F.count_if("healthy").alias("healthy"), F.sum("desired").alias("desired"), F.sum("available").alias("available"))

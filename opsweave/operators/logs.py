@@ -73,3 +73,37 @@ def tail(df: DataFrame, n: int, by: tuple[str, ...] = ("pod", "container")) -> D
     """The last ``n`` lines of every container."""
     order = Window.partitionBy(*by).orderBy(F.col("line_no").desc())
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def head(df: DataFrame, n: int, by: tuple[str, ...] = ("pod", "container")) -> DataFrame:
+    """The first ``n`` lines of every container."""
+    order = Window.partitionBy(*by).orderBy("line_no")
+    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def errors_by_pod(df: DataFrame, width: int = 200) -> DataFrame:
+    """(error_type, key, n, first): ERROR and FATAL lines by ``pod_type``, with the beginning of the first."""
+    kind = F.coalesce("error_type", F.lit("unknown"))
+    found = df.where(F.col("level").isin("ERROR", "FATAL")).groupBy(kind.alias("error_type"), F.concat_ws("_", "pod", kind).alias("key"))
+    return found.agg(F.count("*").alias("n"), F.min_by(F.substring("line", 1, width), "line_no").alias("first"))
+
+
+def since(df: DataFrame, start: Column, ts: str = "ts") -> DataFrame:
+    """Lines from a time on; those without a time stay."""
+    return df.where(F.col(ts).isNull() | (F.col(ts) >= start))
+
+
+def with_markers(lines: DataFrame, containers: DataFrame) -> DataFrame:
+    """Lines, and for each container that waits or has never run one line that says so.
+
+    ``containers`` has pod, container, state, reason and message.
+    """
+    waiting = containers.where(F.col("state") == "waiting").select("pod", "container", F.lit(0).alias("line_no"), F.concat(F.lit("["), F.col("container"), F.lit("] "), F.coalesce("reason", F.lit("")), F.lit(": "), F.coalesce("message", F.lit(""))).alias("line"))
+    never = containers.where(F.col("state") == "none").select("pod", "container", F.lit(0).alias("line_no"), F.concat(F.lit("["), F.col("container"), F.lit("] never ran")).alias("line"))
+    return lines.select("pod", "container", "line_no", "line").unionByName(waiting).unionByName(never)
+
+
+def within_bytes(df: DataFrame, most: int, by: tuple[str, ...] = ("pod", "container")) -> DataFrame:
+    """The last lines of each container that fit ``most`` bytes together, line ends counted."""
+    so_far = Window.partitionBy(*by).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_b", F.sum(F.octet_length("line") + 1).over(so_far)).where(F.col("_b") <= most).drop("_b")

@@ -159,11 +159,6 @@ def rerank(candidates: DataFrame, query: str = "query", text: str = "text") -> D
     return candidates.withColumn("reranked", F.lit(0.6) * F.col("score") + F.lit(0.4) * token_overlap(F.col(query), F.col(text)))
 
 
-def length_band(chars: Column) -> Column:
-    """Length part of a document's quality."""
-    return F.when(chars.between(200, 2000), 1.0).when(chars.between(100, 4000), 0.7).when(chars >= 50, 0.4).otherwise(0.1)
-
-
 def within_budget(ranked: DataFrame, budget: int = 4000, key: str = "query_id", text: str = "text") -> DataFrame:
     """Rows, best first, as long as their texts fit a budget of characters together."""
     so_far = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

@@ -133,12 +133,15 @@ def counter_rate(df: DataFrame, seconds: int = 300, by: str = BY) -> DataFrame:
     return df.withColumn("_step", step).withColumn("rate", F.sum("_step").over(frame) / F.lit(float(seconds))).drop("_step")
 
 
-def ratio_of(df: DataFrame, over: str, under: str, by: str = BY) -> DataFrame:
-    """One metric divided by another at the same time; rows where both exist (one shuffle, no join)."""
-    wide = df.where(F.col(by).isin(over, under)).groupBy("ts").agg(
+def ratio_of(df: DataFrame, over: str, under: str, by: str = BY, labels: str | None = None) -> DataFrame:
+    """One metric divided by another at the same time and, where samples have a map of ``labels``, with the
+    same labels; rows where both exist (one shuffle, no join)."""
+    keys = ["ts"] if labels is None else ["ts", F.array_sort(F.map_entries(labels)).alias(labels)]
+    wide = df.where(F.col(by).isin(over, under)).groupBy(*keys).agg(
         F.max(F.when(F.col(by) == over, F.col("value"))).alias("over"), F.max(F.when(F.col(by) == under, F.col("value"))).alias("under")
     )
-    return wide.where(F.col("over").isNotNull() & F.col("under").isNotNull()).select("ts", F.try_divide("over", "under").alias("ratio"))
+    out = wide.where(F.col("over").isNotNull() & F.col("under").isNotNull()).withColumn("ratio", F.try_divide("over", "under"))
+    return out.select("ts", "ratio") if labels is None else out.select("ts", F.map_from_entries(labels).alias(labels), "ratio")
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -201,3 +204,47 @@ def serving_features(df: DataFrame, by: str = BY) -> DataFrame:
         F.when(n >= 24, mean(tail(24))).otherwise(mean(v)).alias("mean_24"),
         growth.alias("growth"),
     )
+
+
+def counter_increase(df: DataFrame, by: str = BY) -> DataFrame:
+    """(by, increase): how much each counter has grown; one that falls has started anew."""
+    before = F.lag("value").over(_order(by))
+    step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    return df.withColumn("_step", step).groupBy(by).agg(F.sum("_step").alias("increase"))
+
+
+def sum_by(df: DataFrame, labels: list[str], by: str = BY) -> DataFrame:
+    """(by, labels..., total, mean) of samples with a map of labels."""
+    keys = [F.element_at("labels", name).alias(name) for name in labels]
+    return df.groupBy(by, *keys).agg(F.sum("value").alias("total"), F.avg("value").alias("mean"))
+
+
+def instant(df: DataFrame, at: Column, tie: str, by: str = BY) -> DataFrame:
+    """(by, ts, value): the newest sample of each series up to a time."""
+    newest = F.max_by(F.struct("ts", "value"), F.struct("ts", tie))
+    return df.where(F.col("ts") <= at).groupBy(by).agg(newest.alias("x")).select(by, "x.ts", "x.value")
+
+
+def first_metadata(df: DataFrame, by: str = BY) -> DataFrame:
+    """(by, help): the first entry of each metric by ``seq``."""
+    return df.groupBy(by).agg(F.min_by("help", "seq").alias("help"))
+
+
+def lags_without_history(current: Column) -> dict[str, Column]:
+    """What stands for lags where there is no history: shares of the current value."""
+    return {"lag_1": current * 0.95, "lag_24": current * 0.9, "lag_168": current * 0.85}
+
+
+def history_slope(df: DataFrame, by: str = BY) -> DataFrame:
+    """(by, slope): the least-squares slope over a series' whole history, by row."""
+    numbered = df.withColumn("_i", (F.row_number().over(_order(by)) - 1).cast("double"))
+    return numbered.groupBy(by).agg(F.regr_slope("value", "_i").alias("slope"))
+
+
+# Month and day of holidays.
+HOLIDAYS = ("0101", "0501", "1001")
+
+
+def minute_features(ts: Column, holidays: tuple[str, ...] = HOLIDAYS) -> dict[str, Column]:
+    """Minute, month, whether a month begins, and whether the day is one of the holidays."""
+    return {"minute": F.minute(ts), "month": F.month(ts), "is_month_start": F.dayofmonth(ts) == 1, "is_holiday": F.date_format(ts, "MMdd").isin(*holidays)}

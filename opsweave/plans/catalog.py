@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Modules of this package that add queries.
-FAMILIES = ("series_queries", "cluster_queries", "forecast_queries", "retrieval_queries", "stream_queries")
+FAMILIES = ("series_queries", "cluster_queries", "forecast_queries", "retrieval_queries", "stream_queries", "markdown_queries", "hierarchy_queries", "report_queries")
 
 
 def query(name: str, sql: str | None = None):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsweave.functions import logtext, quantity
 from opsweave.operators import anomaly, cluster_events as ev, inspection, logs, rca
-from opsweave.plans.catalog import query
+from opsweave.plans.catalog import ORACLE_SQL, query
 from opsweave.plans.series_queries import _H
 from opsweave.sources import tables as T
 
@@ -153,15 +153,31 @@ def log_errors(spark, d):
 # ---- root causes ----
 
 
+#: Metric names that event types stand for.
+METRIC_NAMES = {"error": "container_memory_usage_bytes", "view": "container_cpu_usage_seconds_total", "click": "container_network_receive_errors_total", "purchase": "node_filesystem_avail_bytes"}
+_NAMED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METRIC_NAMES.items()) + " ELSE 'kube_resourcequota' END"
+
+
+def _metric_name(kind):
+    out = F.lit("kube_resourcequota")
+    for key, name in METRIC_NAMES.items():
+        out = F.when(kind == key, name).otherwise(out)
+    return out
+
+
+_SCORED = "sc AS (SELECT metric AS event_type, anomaly_score FROM (" + ORACLE_SQL["anomaly_composite"] + "))"
+
+
 def _texts(spark, d):
-    series = anomaly.composite_score(T.hourly(spark, d)).select(F.concat(F.lit("container_memory_usage_bytes/"), F.col("metric")).alias("text"))
+    high = anomaly.composite_score(T.hourly(spark, d)).where("anomaly_score > 0.5")
+    series = high.select(_metric_name(F.col("metric")).alias("text"))
     events = _events(spark, d).select(F.col("reason").alias("text"))
     return series, events, T.log_lines(spark, d).select(F.col("line").alias("text"))
 
 
 @query(
     "root_causes",
-    f"""WITH {T.CLUSTER_EVENTS_SQL}, {T.LOG_LINES_SQL}, pat(seq, cause, m, e, g, w) AS (VALUES
+    f"""WITH {T.CLUSTER_EVENTS_SQL}, {T.LOG_LINES_SQL}, {_SCORED}, mn AS (SELECT {_NAMED} AS name FROM sc WHERE anomaly_score > 0.5), pat(seq, cause, m, e, g, w) AS (VALUES
       (0, 'OOM', 'container_memory_usage_bytes|container_memory_working_set_bytes', 'oomkilled|killing', 'out of memory|oom|memory exhausted', 0.9),
       (1, 'CPU_THROTTLING', 'container_cpu_cfs_throttled_periods_total|container_cpu_usage_seconds_total', 'cputhrottling|highcpu', 'cpu throttled|high cpu usage', 0.85),
       (2, 'CRASH_LOOP', 'kube_pod_container_status_restarts_total', 'crashloopbackoff|backoff|failed', 'panic|fatal error|segmentation fault|restarting failed container', 0.95),
@@ -170,7 +186,7 @@ def _texts(spark, d):
       (5, 'RESOURCE_QUOTA', 'kube_resourcequota', 'failedscheduling|insufficientcpu|insufficientmemory|failedcreate', 'exceeded quota|insufficient resources|forbidden|quota', 0.9),
       (6, 'DISK_PRESSURE', 'node_filesystem_avail_bytes|node_filesystem_size_bytes', 'diskpressure|evictedbynodecondition', 'no space left|disk full', 0.85)),
     c AS (SELECT seq, cause, w, CASE WHEN m IS NULL THEN 2 ELSE 3 END AS n,
-      coalesce(CAST(m IS NOT NULL AND regexp_matches('container_memory_usage_bytes/x', m) AS INT), 0)
+      (SELECT CAST(count(*) > 0 AS INT) FROM mn WHERE regexp_matches(name, m))
       + (SELECT CAST(count(*) > 0 AS INT) FROM k8s WHERE regexp_matches(lower(reason), e)) + (SELECT CAST(count(*) > 0 AS INT) FROM log_lines WHERE regexp_matches(lower(line), g)) AS matched FROM pat)
     SELECT seq, cause, CAST(matched AS BIGINT) AS matched, round(CAST(matched AS DOUBLE) / n * CAST(w AS DOUBLE), 6) AS confidence FROM c WHERE matched / n * w > 0.2 ORDER BY confidence DESC, seq LIMIT 3""",
 )
@@ -206,7 +222,8 @@ def component_multi_source(spark, d):
 
 @query(
     "trending_metrics",
-    None,
+    f"""WITH a AS ({ORACLE_SQL["anomaly_composite"]}), t AS (SELECT metric, n, anomaly_score, trend FROM a)
+    SELECT *, 'high' AS class FROM t WHERE anomaly_score > 0.5 UNION ALL SELECT *, 'trending' FROM t WHERE trend <> 'stable' UNION ALL SELECT *, 'trending' FROM t WHERE anomaly_score <= 0.5 AND trend = 'stable' AND anomaly_score > 0.3""",
 )
 def trending_metrics(spark, d):
     scored = anomaly.scored_series(T.hourly(spark, d)).drop("is_high")
@@ -215,21 +232,28 @@ def trending_metrics(spark, d):
 
 @query(
     "causal_chain",
-    _E
-    + """, f AS (SELECT coalesce(bool_or(reason = 'FailedScheduling'), false) AS u FROM n WHERE severity = 'critical'), g AS (SELECT count(*) > 0 AS x FROM documents)
-    SELECT 'memory pressure -> scheduling failed' || CASE WHEN x THEN ' -> service failing' ELSE '' END AS chain, CASE WHEN x THEN 3 ELSE 2 END AS steps, CAST(0.8 AS DOUBLE) AS confidence FROM f, g WHERE u""",
+    _LEVELS
+    + _E.replace("WITH", ",", 1)
+    + f""", {_SCORED}, o AS (SELECT (SELECT coalesce(bool_or(regexp_matches(reason, 'Insufficient(Memory|CPU)')), false) FROM n WHERE severity = 'critical') AS s, (SELECT coalesce(bool_or(reason = 'FailedScheduling'), false) FROM n WHERE severity = 'critical') AS u,
+      (SELECT count(*) > 0 FROM sc WHERE contains({_NAMED}, 'memory') AND anomaly_score > 0.8) AS m, (SELECT count(*) > 0 FROM p WHERE level IN ('ERROR', 'FATAL')) AS x)
+    SELECT CASE WHEN s THEN 'resource shortage' ELSE 'memory pressure' END || ' -> scheduling failed' || CASE WHEN x THEN ' -> service failing' ELSE '' END AS chain, CASE WHEN x THEN 3 ELSE 2 END AS steps, CAST(0.8 AS DOUBLE) AS confidence FROM o WHERE (s OR m) AND u""",
 )
 def causal_chain(spark, d):
     critical = _events(spark, d).where("severity = 'critical'")
-    metrics = T.hourly(spark, d).groupBy("metric").agg(F.lit(0.9).alias("score")).select(F.concat(F.lit("memory_"), F.col("metric")).alias("name"), "score")
-    return rca.causal_chain(critical, metrics, T.log_lines(spark, d))
+    metrics = anomaly.composite_score(T.hourly(spark, d)).select(_metric_name(F.col("metric")).alias("name"), F.col("anomaly_score").alias("score"))
+    return rca.causal_chain(critical, metrics, _lines(spark, d).where(F.col("level").isin("ERROR", "FATAL")))
 
 
 @query(
     "timeline_topk",
-    _E
+    _LEVELS
+    + _E.replace("WITH", ",", 1)
     + """, u AS (SELECT ts, 'event' AS type, reason || ': ' || substr(message, 1, 100) AS description, severity FROM n WHERE severity IN ('critical', 'high')
-       UNION ALL SELECT max(ts), 'metric', event_type, 'high' FROM events GROUP BY event_type) SELECT * FROM u ORDER BY ts, type, description LIMIT 50""",
+       UNION ALL SELECT max(ts), 'metric', event_type, 'high' FROM events WHERE event_type IN (SELECT metric FROM ("""
+    + ORACLE_SQL["anomaly_composite"]
+    + """) WHERE anomaly_score > 0.6) GROUP BY event_type
+       UNION ALL SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(substr(pod, 5) AS BIGINT) % 43200) + to_seconds(line_no), 'log', '[' || pod || '] ' || substr(line, 1, 100), 'high' FROM p WHERE level IN ('ERROR', 'FATAL'))
+    SELECT * FROM u ORDER BY ts, type, description LIMIT 50""",
 )
 def timeline_topk(spark, d):
     events = _events(spark, d).where(F.col("severity").isin("critical", "high"))
@@ -248,7 +272,7 @@ def timeline_topk(spark, d):
     + f""", {T.CLUSTER_EVENTS_SQL}, m AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
     SELECT (SELECT count(*) FROM m) AS n_metrics, (SELECT round(avg(least(n / 5000.0, 1.0)), 6) FROM m) AS metric_quality, (SELECT count(*) FROM k8s) AS n_events,
       (SELECT count(*) FROM k8s WHERE reason IN ('OOMKilled', 'FailedScheduling')) AS n_critical, (SELECT count(*) FROM p) AS n_logs,
-      (SELECT count(*) FROM p WHERE level IN ('ERROR', 'FATAL')) AS n_errors, CAST(1.0 AS DOUBLE) AS coverage""",
+      (SELECT count(*) FROM p WHERE level IN ('ERROR', 'FATAL')) AS n_errors, CAST(((SELECT count(*) > 0 FROM m)::INT + (SELECT count(*) > 0 FROM k8s)::INT + (SELECT count(*) > 0 FROM p)::INT) / 3.0 AS DOUBLE) AS coverage""",
 )
 def data_completeness(spark, d):
     metrics = T.samples(spark, d).groupBy("metric").agg(F.count("*").alias("n"))
@@ -285,9 +309,10 @@ f AS (
   UNION ALL SELECT 'health_pvc_not_bound', 'medium', p_brand || '/pvc-' || CAST(p_partkey AS VARCHAR), 'phase ' || CASE WHEN p_size % 5 = 0 THEN 'Lost' ELSE 'Pending' END FROM part WHERE p_size % 5 IN (0, 1)
   UNION ALL SELECT 'perf_cpu_throttling', 'low', 'cluster', 'rate(container_cpu_cfs_throttled_seconds_total)#' || n_name FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey % 2 > 0
   UNION ALL SELECT 'perf_http_error_rate', 'medium', 'cluster', 'http_requests_total{{code=~"5.."}}#' || n_name FROM nation WHERE n_nationkey % 5 = 1 AND n_nationkey % 2 > 0
-  UNION ALL SELECT 'event_high_risk', 'high', kind || '/' || name, substr(message, 1, 200) FROM (SELECT * FROM k8s ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE reason IN ('OOMKilled', 'FailedScheduling')
+  UNION ALL SELECT 'event_high_risk', 'high', kind || '/' || name, substr(message, 1, 200) FROM k8s WHERE reason IN ('OOMKilled', 'FailedScheduling')
   UNION ALL SELECT 'reliability_node_not_ready', 'high', s_name, 'node not ready' FROM supplier WHERE s_acctbal <= 0
-  UNION ALL SELECT 'security_privileged_container', 'high', namespace || '/' || name || '/' || container, 'privileged' FROM pods JOIN containers ON o_orderkey = l_orderkey WHERE privileged)"""
+  UNION ALL SELECT 'security_privileged_container', 'high', namespace || '/' || name || '/' || container, 'privileged' FROM pods JOIN containers ON o_orderkey = l_orderkey WHERE privileged
+  UNION ALL SELECT 'security_privileged_container', 'high', namespace || '/' || name || '/init', 'privileged' FROM pods WHERE o_orderkey % 20 = 0)"""
 
 
 @query("inspection_rules", _FINDINGS + " SELECT *, CAST(CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END AS DOUBLE) AS score FROM f")

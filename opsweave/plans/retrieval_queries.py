@@ -14,10 +14,10 @@ from opsweave.sources.tables import read_table
 
 K = 10
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-_INDEX = f"toks AS (SELECT doc_id, {_TOKENS} AS t FROM documents), idx AS (SELECT doc_id, unnest(list_distinct(t[1:80])) AS term FROM toks)"
+_INDEX = f"toks AS (SELECT doc_id, {_TOKENS} AS t FROM documents), idx AS (SELECT doc_id, unnest(list_distinct(t)) AS term FROM toks)"
 _LEXICAL = (
     _INDEX
-    + f""", q AS (SELECT doc_id AS query_id, list_distinct({_TOKENS.replace('lower(text)', "lower(substr(text, 1, 60))")}) AS t FROM documents WHERE doc_id % 50 = 0),
+    + f""", q AS (SELECT doc_id AS query_id, list_distinct({_TOKENS}) AS t FROM documents WHERE doc_id % 50 = 0),
     qt AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM q), hit AS (SELECT query_id, doc_id, count(*) / max(n) AS score FROM qt JOIN idx USING (term) GROUP BY ALL)"""
 )
 _VECTOR = """sim AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score

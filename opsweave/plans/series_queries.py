@@ -177,10 +177,13 @@ def rate_counter(spark, d):
 
 @query(
     "metric_ratio",
-    _H + " SELECT a.ts, round(a.value / b.value, 6) AS ratio FROM hourly a JOIN hourly b ON a.ts = b.ts WHERE a.metric = 'error' AND b.metric = 'view' AND b.value <> 0",
+    """WITH h AS (SELECT event_type AS metric, date_trunc('hour', ts) AS ts, 'pod-' || CAST(user_id % 5 AS VARCHAR) AS pod, avg(value) AS value FROM events GROUP BY 1, 2, 3)
+    SELECT a.ts, a.pod, round(a.value / b.value, 6) AS ratio FROM h a JOIN h b ON a.ts = b.ts AND a.pod = b.pod WHERE a.metric = 'error' AND b.metric = 'view' AND b.value <> 0""",
 )
 def metric_ratio(spark, d):
-    return series.ratio_of(T.hourly(spark, d), "error", "view").select("ts", F.round("ratio", 6).alias("ratio"))
+    rows = T.samples(spark, d).groupBy("metric", F.date_trunc("hour", "ts").alias("ts"), F.element_at("labels", "pod").alias("pod")).agg(F.avg("value").alias("value"))
+    labelled = rows.withColumn("labels", F.create_map(F.lit("pod"), F.col("pod")))
+    return series.ratio_of(labelled, "error", "view", labels="labels").select("ts", F.element_at("labels", "pod").alias("pod"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(

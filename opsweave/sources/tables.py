@@ -49,8 +49,8 @@ def read_inventory(spark: SparkSession, path: str, schema: str = PODS_JSON) -> D
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.{md,txt}", max_bytes: int = 10 << 20) -> DataFrame:
     """(source, content) of text files that are not blank and not over ``max_bytes``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    texts = files.where(F.col("length") <= max_bytes).select(F.col("path").alias("source"), F.decode("content", F.lit("UTF-8")).alias("content"))
-    return texts.where(F.trim("content") != "")
+    texts = files.where(F.col("length") <= max_bytes).select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("content"))
+    return texts.where(F.rlike("content", F.lit(r"\S")))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +130,7 @@ log_lines AS (
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, namespace, phase, containers): orders as pods, their lines as containers."""
+    """(name, namespace, phase, containers, init_containers): orders as pods, their lines as containers."""
     orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
     container = F.struct(
         F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("name"),
@@ -140,8 +140,9 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(container)).alias("containers"))
     phase = F.when(F.col("o_orderstatus") == "F", "Failed").when(F.col("o_orderstatus") == "P", "Pending").otherwise("Running")
+    init = F.struct(F.lit("init").alias("name"), (F.col("o_orderkey") % 20 == 0).alias("privileged"))
     return orders.join(grouped, orders.o_orderkey == grouped.l_orderkey, "left").select(
-        F.concat(F.lit("pod-"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("namespace"), phase.alias("phase"), "containers"
+        F.concat(F.lit("pod-"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("namespace"), phase.alias("phase"), "containers", F.when(F.col("o_orderkey") % 10 == 0, F.array(init)).alias("init_containers")
     )
 
 
@@ -165,3 +166,55 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, namespace, phase): parts as volume claims; some have no phase."""
     phase = F.when(F.col("p_size") % 5 == 0, "Lost").when(F.col("p_size") % 5 == 1, "Pending").when(F.col("p_size") % 5 == 2, F.lit(None)).otherwise("Bound")
     return read_table(spark, sf_dir, "part").select(F.concat(F.lit("pvc-"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("namespace"), phase.alias("phase"))
+
+
+MARKDOWN_LINES = (
+    "# Kubernetes guide {}",
+    "{}",
+    "- step one: kubectl get pods {}",
+    "1. docker build image {}",
+    "```yaml",
+    "key: {}",
+    "```",
+    "> note on the service-mesh operator {}",
+    "| name | port |",
+    "|---|---|",
+    "| {} | 80 |",
+    "",
+    "## Troubleshooting {}",
+    "Error: {} failed",
+    "see config.yaml and https://h.example:8080/api/v1/pods [link](http://x.example) ![img](a.png) {}",
+)
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the sentences of documents as lines of markdown, each in a frame by its number."""
+    lines = F.split("text", r"\n|\. ")
+    frame = lambda i: F.element_at(F.array(*map(F.lit, MARKDOWN_LINES)), ((F.col("doc_id") + i) % len(MARKDOWN_LINES) + 1).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.replace(frame(i), F.lit("{}"), x)), "\n").alias("text"))
+
+
+MARKDOWN_SQL = rf"""md AS (SELECT doc_id, array_to_string(list_transform(string_split_regex(text, '\n|\. '),
+    lambda x, i: replace({list(MARKDOWN_LINES)}[(doc_id + i - 1) % {len(MARKDOWN_LINES)} + 1], '{{}}', x)), chr(10)) AS text FROM documents)"""
+
+
+def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, embedding, cluster, text): vectors with the text of the document of their number."""
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("cluster"))
+    return vectors.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
+
+
+VECTOR_DOCUMENTS_SQL = "vd AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e, label AS cluster, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"
+
+
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(namespace, name, desired, available): customers as deployments, orders as replicas."""
+    orders = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("desired"), F.count_if(F.col("o_orderstatus") != "F").alias("available"))
+    customer = read_table(spark, sf_dir, "customer")
+    return customer.join(orders, customer.c_custkey == orders.o_custkey).select(
+        F.col("c_mktsegment").alias("namespace"), F.concat(F.lit("dep-"), F.col("c_custkey").cast("string")).alias("name"), "desired", "available"
+    )
+
+
+DEPLOYMENTS_SQL = """deps AS (SELECT c_mktsegment AS namespace, 'dep-' || CAST(c_custkey AS VARCHAR) AS name, count(*) AS desired, count(*) FILTER (o_orderstatus <> 'F') AS available
+  FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)"""
