@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from opsweave.llm.common import CACHES, WordCache, bytes_of, leave
+from opsweave.llm.common import CACHES, WordCache, bytes_of, leave, release
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
@@ -123,11 +123,19 @@ class PairIndexEncoder:
         return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, ends)]
 
 
+@functools.cache
+def _library(path: str) -> Tokenizer:
+    """The library's tokenizer; what reading its file took goes back to the machine."""
+    found = Tokenizer.from_file(path)
+    release()
+    return found
+
+
 class LibraryEncoder:
     """The same interface over the tokenizers library: its model encodes one split word a call."""
 
     def __init__(self, path: str):
-        library = Tokenizer.from_file(path)
+        library = _library(path)
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.model = library.model
         self.letters = dict(enumerate(byte_alphabet()))
@@ -146,7 +154,7 @@ class TextEncoder:
 
     def __init__(self, words: PairIndexEncoder | LibraryEncoder, path: str):
         self.words = words
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.bytes_of_letters = {letter: i for i, letter in enumerate(byte_alphabet())}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, words.special)) + ")")
         self.parts = WordCache(CACHE_WORDS)
@@ -178,7 +186,8 @@ class TextEncoder:
             elif _newer().isdisjoint(span):
                 found += self._pieces(span) if span else []
             else:
-                letters = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(span))
+                library = _library(self.path)
+                letters = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(span))
                 found += [bytes(map(self.bytes_of_letters.__getitem__, piece)).decode() for piece, _ in letters]
         return found
 
@@ -217,10 +226,12 @@ class TextEncoder:
 def encoder(kind: str, vocabulary: str = VOCABULARY) -> TextEncoder:
     """One encoder for each Python worker, with its caches."""
     path = public_tokenizers.path(vocabulary)
-    return TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path), path)
+    found = TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path), path)
+    release()
+    return found
 
 
-CACHES.append(encoder.cache_clear)
+CACHES += [encoder.cache_clear, _library.cache_clear]
 
 
 @functools.cache
