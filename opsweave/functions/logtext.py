@@ -46,7 +46,7 @@ def level_rank(level: Column) -> Column:
 
 
 def error_type(line: Column, patterns=ERROR_PATTERNS) -> Column:
-    """The first pattern that matches; null for none.  ``SPECIFIC_FIRST`` is the other order."""
+    """The first pattern that matches; null for none."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(patterns):
         out = F.when(F.rlike(line, F.lit(pattern)), name).otherwise(out)

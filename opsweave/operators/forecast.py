@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values by resource: growth a step, type factor of the confidence, upper bound.
@@ -111,38 +112,54 @@ def scaling_plan(forecast: DataFrame, target: float = 0.7) -> DataFrame:
     )
 
 
+def _fold(rows: DataFrame, by: str, choose) -> DataFrame:
+    """``choose`` of each series' (ts, action, instances) in order, one pass over a series' rows."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("ts", "ascending"), ("action", "ascending"), ("instances", "ascending")])
+        micros = group["ts"].cast(pa.int64()).to_pylist()
+        found = choose(micros, group["action"].to_pylist(), group["instances"].to_pylist())
+        out = group.take(pa.array([at for at, _ in found], pa.int64()))
+        return out.set_column(out.schema.get_field_index("instances"), "instances", pa.array([n for _, n in found], pa.int32()))
+
+    kind = rows.schema[by].dataType.simpleString()
+    plain = rows.select(by, F.col("ts").cast("timestamp_ntz").alias("ts"), "action", F.col("instances").cast("int").alias("instances"))
+    return plain.groupBy(by).applyInArrow(run, f"{by} {kind}, ts timestamp_ntz, action string, instances int")
+
+
 def apply_cooldown(plan: DataFrame, by: str, minutes: float = 5.0) -> DataFrame:
     """Actions at least ``minutes`` after the last accepted one of their series.
 
-    Acceptance depends on what was accepted before, so each series folds over its sorted actions.
+    Acceptance depends on what was accepted before, so each series is read in order.
     """
-    kept = "array<struct<ts:timestamp_ntz,action:string,instances:int>>"
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast(kept).alias("kept"))
+    apart = int(minutes * 60e6)
 
-    def step(s: Column, x: Column) -> Column:
-        apart = F.unix_micros(x["ts"].cast("timestamp")) - F.unix_micros(s["last"].cast("timestamp"))
-        taken = F.struct(x["ts"].alias("last"), F.array_append(s["kept"], x).alias("kept"))
-        return F.when(s["last"].isNull() | (apart >= int(minutes * 60e6)), taken).otherwise(s)
+    def choose(micros: list[int], actions: list, instances: list) -> list[tuple[int, int | None]]:
+        taken, last = [], None
+        for i, at in enumerate(micros):
+            if last is None or at - last >= apart:
+                taken.append((i, instances[i]))
+                last = at
+        return taken
 
-    acts = F.array_sort(F.collect_list(F.struct("ts", "action", "instances")))
-    held = plan.where("action <> 'maintain'").groupBy(by).agg(acts.alias("_a"))
-    return held.select(by, F.explode(F.aggregate("_a", zero, step, lambda s: s["kept"])).alias("x")).select(by, "x.*")
+    return _fold(plan.where("action <> 'maintain'"), by, choose)
 
 
 def merge_recommendations(recs: DataFrame, by: str, seconds: int = 3600) -> DataFrame:
     """Greedy merge: following recommendations of the same action within ``seconds`` of the anchor
     join it, with the most instances of all."""
-    kind = "struct<ts:timestamp_ntz,action:string,instances:int>"
-    zero = F.array().cast(f"array<{kind}>")
-
-    def step(out: Column, x: Column) -> Column:
-        anchor = F.try_element_at(out, F.lit(-1))
-        joins = (x["action"] == anchor["action"]) & (F.unix_timestamp(x["ts"].cast("timestamp")) - F.unix_timestamp(anchor["ts"].cast("timestamp")) <= seconds)
-        merged = F.struct(anchor["ts"].alias("ts"), anchor["action"].alias("action"), F.greatest(anchor["instances"], x["instances"]).alias("instances"))
-        return F.when((F.size(out) > 0) & joins, F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), merged)).otherwise(F.array_append(out, x))
 
-    held = recs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ts", "action", "instances"))).alias("_a"))
-    return held.select(by, F.explode(F.aggregate("_a", zero, step)).alias("x")).select(by, "x.*")
+    def choose(micros: list[int], actions: list, instances: list) -> list[tuple[int, int | None]]:
+        out: list[tuple[int, int | None]] = []
+        for i, at in enumerate(micros):
+            anchor = out[-1][0] if out else None
+            if anchor is not None and actions[i] == actions[anchor] and at // 1_000_000 - micros[anchor] // 1_000_000 <= seconds:
+                out[-1] = anchor, max((n for n in (out[-1][1], instances[i]) if n is not None), default=None)
+            else:
+                out.append((i, instances[i]))
+        return out
+
+    return _fold(recs, by, choose)
 
 
 def first_match(points_: DataFrame, recs: DataFrame, by: str, seconds: int = 3600) -> DataFrame:

@@ -6,6 +6,8 @@ end of what its source holds.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -82,11 +84,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session that names none gets a temporary folder."""
+    """``spark.checkpoint.dir``; only a local session that names none gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="opsweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
