@@ -1,14 +1,16 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback measures each text: characters per token, the share of
-tokens that are single bytes, and the entropy of its tokens.  A text is kept while all three lie
-inside the band of its script.  Each word is encoded by itself (pieces never cross white space),
-so the encodings of words are cached.
+tokens that are single bytes, and the entropy of its tokens; a second one, made for many languages,
+gives its own characters per token.  A text is kept while all four lie inside the band of its script.
+Each word is encoded by itself (pieces never cross white space), so the encodings of words are cached.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,15 +18,17 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import CACHES, WordCache, bytes_of, leave
+from opsweave.llm.common import CACHES, WordCache, bytes_of, leave, release
 from opsweave.llm.rolling import window_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
+SECOND_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words in each generation of the cache.
-CACHE_WORDS = 150_000
-BATCH_BYTES = 4 << 20
+CACHE_WORDS = 100_000
+BATCH_BYTES = 1 << 20
 REPEAT_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -33,79 +37,126 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """What a kept text's measures must lie in."""
+    """What a kept text's measures must lie in; ``least_second`` is for the second vocabulary."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
+    least_second: float
 
 
-#: Rejection bands by script.  Entropy counts against that of all-different tokens.
+#: Rejection bands by script.  Entropy counts against that of all-different tokens.  Where the first
+#: vocabulary knows few letters of a script, and so falls back on bytes, the second one tells more.
 BANDS = {
-    "latin": Band(1.45, 9.0, 0.08, 0.42),
-    "greek": Band(0.8, 6.0, 0.30, 0.35),
-    "cyrillic": Band(1.1, 7.0, 0.10, 0.40),
-    "hebrew": Band(0.6, 6.0, 0.50, 0.30),
-    "arabic": Band(0.6, 6.0, 0.50, 0.30),
-    "indic": Band(0.25, 4.0, 0.95, 0.15),
-    "kana": Band(0.4, 3.0, 0.60, 0.35),
-    "han": Band(0.3, 3.0, 0.80, 0.30),
-    "hangul": Band(0.3, 3.0, 0.90, 0.25),
-    "other": Band(0.2, 12.0, 1.00, 0.10),
+    "latin": Band(1.45, 9.0, 0.08, 0.42, 1.45),
+    "vietnamese": Band(0.8, 6.0, 0.30, 0.42, 1.2),
+    "greek": Band(0.8, 6.0, 0.30, 0.35, 0.8),
+    "cyrillic": Band(1.1, 7.0, 0.10, 0.40, 1.1),
+    "hebrew": Band(0.6, 6.0, 0.50, 0.30, 0.6),
+    "arabic": Band(0.6, 6.0, 0.50, 0.30, 0.7),
+    "indic": Band(0.4, 4.0, 0.50, 0.15, 0.35),
+    "southeast": Band(0.4, 4.0, 0.60, 0.15, 0.30),
+    "georgian": Band(0.4, 5.0, 0.50, 0.15, 0.25),
+    "ethiopic": Band(0.25, 4.0, 0.98, 0.15, 0.25),
+    "kana": Band(0.4, 3.0, 0.60, 0.35, 0.45),
+    "han": Band(0.3, 3.0, 0.80, 0.30, 0.40),
+    "hangul": Band(0.3, 3.0, 0.90, 0.25, 0.40),
+    "other": Band(0.2, 12.0, 1.00, 0.10, 0.15),
 }
 SCRIPTS = tuple(BANDS)
-#: The script that a UTF-8 lead byte points to; -1: none.
-_SCRIPT_OF_LEAD = np.full(256, -1)
-for _first, _last, _script in (
+# Fixed values of Unicode: first and last code point of runs of letters, and their script.
+_RUNS = (
     (0x41, 0x5A, "latin"),
     (0x61, 0x7A, "latin"),
-    (0xC3, 0xC9, "latin"),
-    (0xCD, 0xCF, "greek"),
-    (0xD0, 0xD3, "cyrillic"),
-    (0xD6, 0xD7, "hebrew"),
-    (0xD8, 0xDD, "arabic"),
-    (0xE0, 0xE1, "indic"),
-    (0xE3, 0xE3, "kana"),
-    (0xE4, 0xE9, "han"),
-    (0xEA, 0xED, "hangul"),
-    (0xF0, 0xF4, "other"),
-):
-    _SCRIPT_OF_LEAD[_first : _last + 1] = SCRIPTS.index(_script)
+    (0xC0, 0x24F, "latin"),
+    (0x370, 0x3FF, "greek"),
+    (0x400, 0x52F, "cyrillic"),
+    (0x530, 0x58F, "other"),
+    (0x590, 0x5FF, "hebrew"),
+    (0x600, 0x7BF, "arabic"),
+    (0x8A0, 0x8FF, "arabic"),
+    (0x900, 0xDFF, "indic"),
+    (0xE00, 0xEFF, "southeast"),
+    (0xF00, 0xFFF, "other"),
+    (0x1000, 0x109F, "southeast"),
+    (0x10A0, 0x10FF, "georgian"),
+    (0x1100, 0x11FF, "hangul"),
+    (0x1200, 0x139F, "ethiopic"),
+    (0x13A0, 0x177F, "other"),
+    (0x1780, 0x17FF, "southeast"),
+    (0x1800, 0x18AF, "other"),
+    (0x1C80, 0x1C8F, "cyrillic"),
+    (0x1C90, 0x1CBF, "georgian"),
+    (0x1E00, 0x1EFF, "vietnamese"),
+    (0x1F00, 0x1FFF, "greek"),
+    (0x2D00, 0x2D2F, "georgian"),
+    (0x2D80, 0x2DDF, "ethiopic"),
+    (0x3041, 0x30FF, "kana"),
+    (0x3130, 0x318F, "hangul"),
+    (0x31F0, 0x31FF, "kana"),
+    (0x3400, 0x4DBF, "han"),
+    (0x4E00, 0x9FFF, "han"),
+    (0xA640, 0xA69F, "cyrillic"),
+    (0xA720, 0xA7FF, "latin"),
+    (0xAB00, 0xAB2F, "ethiopic"),
+    (0xAC00, 0xD7FF, "hangul"),
+    (0xF900, 0xFAFF, "han"),
+    (0xFB50, 0xFDFF, "arabic"),
+    (0xFE70, 0xFEFE, "arabic"),
+    (0x10000, 0x1FFFF, "other"),
+    (0x20000, 0x323AF, "han"),
+)
+#: Bounds between the runs and what lies before each; 0: no letters.
+_BOUNDS = np.array([x for first, last, _ in _RUNS for x in (first, last + 1)])
+_KIND = np.array([0, *(x for _, _, name in _RUNS for x in (1 + SCRIPTS.index(name), 0))])
 
 
 class WordPieces:
-    """Ids of words as packed 16-bit integers, cached."""
+    """Ids of words as packed 16-bit integers, and their number of tokens in the second vocabulary, cached."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, second: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(second, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = self.pieces.vocab_size()
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.size)])
         self.known = WordCache(CACHE_WORDS)
 
     def learn(self, words: set[bytes]) -> None:
         new = self.known.missing(words)
-        for word, ids in zip(new, self.pieces.encode([w.decode() for w in new], num_threads=1)):
-            self.known.now[word] = np.array(ids, "<u2").tobytes()
+        texts = [w.decode() for w in new]
+        for word, text, ids in zip(new, texts, self.pieces.encode(texts, num_threads=1)):
+            # A word stands behind a space in the second vocabulary.
+            self.known.now[word] = array("H", ids).tobytes(), len(self.second.encode_ordinary(" " + text))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.now.__getitem__, words)), "<u2")
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, int]:
+        """(ids, number of tokens in the second vocabulary) of a text's words."""
+        found = list(map(self.known.now.__getitem__, words))
+        return np.frombuffer(b"".join([x[0] for x in found]), "<u2"), sum([x[1] for x in found])
 
 
 @functools.cache
-def word_pieces(vocabulary: str) -> WordPieces:
-    return WordPieces(public_tokenizers.path(vocabulary))
+def word_pieces(vocabulary: str, second: str) -> WordPieces:
+    found = WordPieces(public_tokenizers.path(vocabulary), public_tokenizers.path(second))
+    release()
+    return found
 
 
 CACHES.append(word_pieces.cache_clear)
 
 
-def script_of(byte_counts: np.ndarray) -> str:
-    """The script with the most letters, from the counts of a text's bytes."""
-    letters = np.bincount(_SCRIPT_OF_LEAD + 1, weights=byte_counts, minlength=len(SCRIPTS) + 1)[1:]
+def script_of(text: bytes) -> str:
+    """The script with the most letters, by their code points; Latin text with many letters of Vietnamese
+    counts as that."""
+    points, many = np.unique(np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+    letters = np.bincount(_KIND[np.searchsorted(_BOUNDS, points, "right")], weights=many, minlength=len(SCRIPTS) + 1)[1:]
     # Japanese text is known by its kana, however many Han characters stand between them.
     if letters[SCRIPTS.index("kana")] * 5 > letters[SCRIPTS.index("han")] > 0:
         letters[SCRIPTS.index("kana")] += letters[SCRIPTS.index("han")]
+    if letters[SCRIPTS.index("vietnamese")] * 12 > letters[SCRIPTS.index("latin")] > 0:
+        letters[SCRIPTS.index("vietnamese")] += letters[SCRIPTS.index("latin")]
     return SCRIPTS[int(letters.argmax())] if letters.any() else "other"
 
 
@@ -152,6 +203,7 @@ _MEASURES = (
     ("chars_per_token", "double"),
     ("byte_share", "double"),
     ("token_entropy", "double"),
+    ("second_chars_per_token", "double"),
 )
 
 
@@ -163,14 +215,16 @@ def _measure(text: bytes, words: list[bytes], pieces: WordPieces, bands: dict[st
     symbols = int(byte_counts[np.frombuffer(SYMBOLS, np.uint8)].sum())
     repeats = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-    script = script_of(byte_counts)
-    per_token, share, entropy = fertility(pieces.ids(words), chars, pieces.is_byte)
+    script = script_of(text)
+    ids, second = pieces.ids(words)
+    per_token, share, entropy = fertility(ids, chars, pieces.is_byte)
+    per_second = chars / second if second else 0.0
     band = bands[script]
-    inside = band.least_chars <= per_token <= band.most_chars and share <= band.most_bytes and entropy >= band.least_entropy
-    return n, chars, symbols, duplicate_lines(text), repeats, failed, not failed and inside, script, per_token, share, entropy
+    inside = band.least_chars <= per_token <= band.most_chars and share <= band.most_bytes and entropy >= band.least_entropy and per_second >= band.least_second
+    return n, chars, symbols, duplicate_lines(text), repeats, failed, not failed and inside, script, per_token, share, entropy, per_second
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, bands: dict[str, Band] | None = None) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, bands: dict[str, Band] | None = None, second: str = SECOND_VOCABULARY) -> DataFrame:
     """(doc_id, the measures, base_failed, kept) for every row.
 
     A null or empty text has no words and fails.  Repeated rows are measured alike; other columns
@@ -180,7 +234,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", voc
 
     @leave("fertility")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = word_pieces(vocabulary)
+        pieces = word_pieces(vocabulary, second)
         for batch in batches:
             rows: list[tuple] = []
             held: list[tuple[bytes, list[bytes]]] = []

@@ -175,8 +175,16 @@ def test_quality_rules_reject_noise(spark):
     noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzQXZJ0123456789") for _ in range(30)) for _ in range(60))
     clean = "The committee met on Thursday to discuss the new budget for the city library and its three branches across town."
     german = "Die Sitzung begann am Morgen und dauerte bis zum Abend, weil viele Fragen zum Haushalt der Stadt noch offen waren und alle reden wollten."
-    got = {r.doc_id: r.kept for r in fertility.quality_rules(spark.createDataFrame([(1, clean), (2, german), (3, noise)], "doc_id long, text string")).collect()}
-    assert got == {1: True, 2: True, 3: False}
+    vietnamese = "Cuộc họp bắt đầu vào buổi sáng và kéo dài đến tối vì nhiều câu hỏi về ngân sách của thành phố vẫn còn bỏ ngỏ và mọi người đều muốn phát biểu."
+    hindi = "बैठक सुबह शुरू हुई और शाम तक चली क्योंकि शहर के बजट के बारे में कई सवाल अभी भी खुले थे और सभी लोग बोलना चाहते थे ।"
+    found = fertility.quality_rules(spark.createDataFrame([(1, clean), (2, german), (3, noise), (4, vietnamese), (5, hindi)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in found} == {1: True, 2: True, 3: False, 4: True, 5: True}
+    assert {r.doc_id: r.script for r in found} == {1: "latin", 2: "latin", 3: "latin", 4: "vietnamese", 5: "indic"}
+
+
+def test_scripts():
+    texts = {"ภาษาไทย": "southeast", "ქართული": "georgian", "አማርኛ": "ethiopic", "日本語の文章です": "kana", "中文文本": "han", "한국어": "hangul", "русский": "cyrillic", "ελληνικά": "greek", "العربية": "arabic", "1234 !?": "other", "": "other"}
+    assert {t: fertility.script_of(t.encode()) for t in texts} == texts
 
 
 def test_classifier_handles_odd_input(docs, spark, data_dir):
