@@ -27,7 +27,6 @@ RANGES_A_SHARD = 64
 LARGE_SHARE = 32
 #: A range with more than this many times its share of bytes is overfull.
 OVERFULL = 2.0
-MAX_ROUNDS = 6
 
 
 def _records(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -54,7 +53,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str
     target = max(1.0, total / shards)
     large_at = max(1, int(target / LARGE_SHARE))
     # Sizes above a fixed share of a shard: fewer than shards * LARGE_SHARE rows exist.
-    large = [tuple(r) for r in records.where(F.col("size") > large_at).select("k", "tie", "size", "text_crc32").collect()]
+    large = [tuple(r) for r in records.where(F.col("size") > large_at).select("k", "tie", "size", "text_crc32", "doc_id").collect()]
     small = records.where(F.col("size") <= large_at)
     loads, dealt = _deal(large, shards)
 
@@ -77,8 +76,8 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str
         .select("doc_id", "size", "text_crc32", "shard", "slot")
     )
     heavy_rows = []
-    for (k, _, size, crc), to in zip(large, dealt):
-        heavy_rows.append((None if k == -(2**63) else k, size, crc, to, filled[to]))
+    for (_, _, size, crc, doc), to in zip(large, dealt):
+        heavy_rows.append((doc, size, crc, to, filled[to]))
         filled[to] += 1
     heavy = spark.createDataFrame(heavy_rows, "doc_id long, size long, text_crc32 long, shard int, slot long")
     return light.unionByName(heavy).select(
@@ -107,17 +106,18 @@ def _splitters(small: DataFrame, shards: int, target: float) -> list[tuple[int,
     chance = min(1.0, wanted * SAMPLES_A_RANGE / weight)
     found = _quantiles(_sample(small, chance, 0), wanted)
     share = weight / wanted
-    for round_ in range(1, MAX_ROUNDS):
+    round_ = 0
+    while True:
         ranged = small.withColumn("range", _range_column(small.sparkSession, found)("k", "tie"))
         # A range of one key and tie cannot be cut further.
         heavy = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min(F.struct("k", "tie")) == F.max(F.struct("k", "tie"))).alias("one"))
-        over = [r["range"] for r in heavy.where((F.col("bytes") > OVERFULL * share) & ~F.col("one")).collect()]
+        over = [r["range"] for r in heavy.where((F.col("bytes") > OVERFULL * share) & ~F.col("one")).collect()]  # at most one row a range
         if not over:
-            break
-        inside = ranged.where(F.col("range").isin(over))
-        more = _sample(inside, min(1.0, chance * 4**round_), round_)
+            return found
+        # Sampled ever more densely, in the end by every key, so that each round cuts what is overfull.
+        round_ += 1
+        more = _sample(ranged.where(F.col("range").isin(over)), min(1.0, chance * 4**round_), round_)
         found = sorted(set(found) | set(_quantiles(more, wanted)))
-    return found
 
 
 def _sample(df: DataFrame, chance: float, seed: int) -> list[tuple[int, int]]:
