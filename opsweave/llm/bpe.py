@@ -13,7 +13,7 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -25,9 +25,9 @@ from opsweave.llm.common import CACHES, WordCache, bytes_of, leave, release
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: Bytes of text whose new words are merged together.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 
 # Fixed value of the vocabulary's file: its split pattern; here a line feed, which no part has, stands by itself.
 SPLIT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -204,7 +204,7 @@ class TextEncoder:
         for part, pieces in zip(fresh, split):
             parts_known[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         batch: list[list[bytes]] = []
         held = 0
@@ -255,7 +255,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "token_ids", voc
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker = encoder("index", vocabulary)
         for column in batches:
-            yield pa.array([list(memoryview(x).cast("I")) for x in worker.encode(list(bytes_of(column)))], pa.list_(pa.int32()))
+            yield pa.array([list(memoryview(x).cast("I")) for x in worker.encode(bytes_of(column))], pa.list_(pa.int32()))
 
     return df.withColumn(out, F.arrow_udf(run, "array<int>")(F.col(text).cast("string")))
 
@@ -283,7 +283,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabu
         worker = encoder("index", vocabulary)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for ids in worker.encode(list(bytes_of(batch.column(1)))):
+            for ids in worker.encode(bytes_of(batch.column(1))):
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decode_bytes(ids, vocabulary).encode()).hexdigest())

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import inspect
+import re
 import tempfile
 import time
 import uuid
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local session, as in tests) a temporary folder is used.
+    Only where a local session names none (as in tests) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="opsweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,7 +51,8 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column, without decoding them."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     for chunk in chunks:
-        yield from chunk.cast(pa.large_binary()).to_pylist()
+        for first in range(0, len(chunk), 256):
+            yield from chunk.slice(first, 256).cast(pa.large_binary()).to_pylist()
 
 
 def ascii_lower(text: bytes) -> bytes:
@@ -119,7 +123,9 @@ class WordCache:
 CACHES: list[Callable[[], None]] = []
 _running = [""]
 #: Arrays from this size on are given back to the machine as soon as they are dropped.
-_GIVEN_BACK = 1 << 20
+_GIVEN_BACK = 1 << 18
+#: Bytes of a large group.
+_LARGE = 1 << 19
 
 
 def settle(operator: str) -> None:
@@ -148,7 +154,7 @@ def release() -> None:
 def leave(operator: str) -> Callable:
     """Wraps a function of ``mapInArrow`` or a group function: ``settle`` before, ``release`` after, caches
     included: Spark keeps several workers for each core and turns from one to the next, so what a worker
-    holds while it waits counts many times.  Group functions run often and release once a second."""
+    holds while it waits counts many times.  Functions of small groups run often and release once a second."""
 
     def wrap(function: Callable) -> Callable:
         if inspect.isgeneratorfunction(function):
@@ -169,7 +175,8 @@ def leave(operator: str) -> Callable:
         def group(*args):
             settle(operator)
             out = function(*args)
-            if time.monotonic() > _released[0] + 1:
+            if any(x.nbytes > _LARGE for x in args[1:]) or time.monotonic() > _released[0] + 1:
+                del args
                 release()
                 _released[0] = time.monotonic()
             return out

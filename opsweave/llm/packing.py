@@ -35,7 +35,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
-            for row, ids in enumerate(worker.encode(list(bytes_of(batch.column(1))))):
+            for row, ids in enumerate(worker.encode(bytes_of(batch.column(1)))):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[start * 4 : (start + capacity) * 4]
