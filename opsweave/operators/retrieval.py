@@ -19,6 +19,8 @@ from opsweave.functions.text import token_overlap, tokens
 LEAST_SIMILARITY = 0.05
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 4096
+#: Queries and vectors whose similarities a task holds at once.
+QUERY_TILE, DOC_TILE = 512, 2048
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.6, 0.4
 #: Digits of a score that decide an order, so that it does not hang on summation order.
 DIGITS = 9
@@ -68,18 +70,25 @@ def _search_block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
         found_ids, found = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        best, best_ids = np.zeros((len(q), k)), np.zeros((len(q), k), np.int64)
         for batch in batches:
             rows = batch.column(1).to_pylist()
             right = [i for i, v in enumerate(rows) if v is not None and len(v) == q.shape[1] and None not in v]
             if not right:
                 continue
-            v = np.array([rows[i] for i in right], float)
-            norms = np.linalg.norm(v, axis=1)
-            v = v / np.where(norms > 0, norms, 1.0)[:, None]
-            sims = np.concatenate([found, q @ v.T], axis=1)
-            docs = np.concatenate([found_ids, np.broadcast_to(batch.column(0).to_numpy()[right], (len(q), len(right)))], axis=1)
-            order = np.lexsort((docs, -np.round(sims, DIGITS)), axis=1)[:, :k]
-            found, found_ids = np.take_along_axis(sims, order, 1), np.take_along_axis(docs, order, 1)
+            ids = batch.column(0).to_numpy()[right]
+            for first in range(0, len(right), DOC_TILE):
+                v = np.array([rows[i] for i in right[first : first + DOC_TILE]], float)
+                norms = np.linalg.norm(v, axis=1)
+                v = v / np.where(norms > 0, norms, 1.0)[:, None]
+                for a in range(0, len(q), QUERY_TILE):
+                    z = slice(a, a + QUERY_TILE)
+                    sims = np.concatenate([found[z], q[z] @ v.T], axis=1)
+                    docs = np.concatenate([found_ids[z], np.broadcast_to(ids[first : first + DOC_TILE], (len(sims), len(v)))], axis=1)
+                    order = np.lexsort((docs, -np.round(sims, DIGITS)), axis=1)[:, :k]
+                    best[z, : order.shape[1]], best_ids[z, : order.shape[1]] = np.take_along_axis(sims, order, 1), np.take_along_axis(docs, order, 1)
+                width = min(k, found.shape[1] + len(v))
+                found, found_ids = best[:, :width].copy(), best_ids[:, :width].copy()
         keep = found > least
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(query_ids, keep.sum(axis=1))), pa.array(found_ids[keep]), pa.array(found[keep])], ["query_id", "doc_id", "score"]
