@@ -113,10 +113,10 @@ def corpus_counts(spark, d):
     return docs.crossJoin(T.read_table(spark, d, "embeddings").agg(F.count("*").alias("vectors"))).select("documents", "vectors", "sources", "chars")  # one row each
 
 
-@query("expired_sessions", "SELECT user_id AS session, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR")
+@query("expired_sessions", "SELECT user_id AS session, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 24 HOUR")
 def expired_sessions(spark, d):
     rows = T.read_table(spark, d, "events").select(F.col("user_id").alias("session"), "ts")
-    return S.expired(rows, F.to_timestamp_ntz(F.lit("2024-01-30 00:00:00")))
+    return S.expired(rows, F.to_timestamp_ntz(F.lit("2024-01-31 12:00:00")))
 
 
 @query(
