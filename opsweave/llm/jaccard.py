@@ -8,11 +8,8 @@
 4. Each group is joined exactly by a signature tree: nodes hold OR-combined token bitmaps and
    size ranges, and a dual traversal leaves out node pairs whose maximum possible overlap is too
    small or whose documents are connected already.  Groups beyond ``GROUP_DOCS`` are dealt into
-   parts, each joined together with a few pivots of its group.
-5. What may still link in a large group meets in blocks of a prefix shingle and a size step.  Blocks
-   of one component are done; small ones are joined by a tree; large ones are split by the next
-   shingle that both must have.  Where a block is large even then, only its documents outside of its
-   largest component meet all others.
+   parts: each part is joined together with a few pivots of its group, then those pairs of parts
+   that are not one component yet are joined in full.
 
 The result is exact up to collisions of 64-bit shingle hashes.
 """
@@ -27,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opsweave.llm.common import ascii_lower, bytes_of, leave, pack_sorted, pack_uint, stash, unpack_sorted, unpack_uint, width_of, words_of
+from opsweave.llm.common import ascii_lower, by_number, bytes_of, leave, pack_sorted, pack_uint, stash, unpack_sorted, unpack_uint, width_of, words_of
 from opsweave.llm.components import connected_components
 from opsweave.llm.rolling import window_hashes
 from opsweave.llm.substring_dedup import bucket_bits
@@ -37,7 +34,7 @@ WORDS = 5
 PERCENT = 80
 #: Shingles that a task gathers before it sends them off.
 CHUNK_SHINGLES = 1_000_000
-#: Documents, and shingles, that one tree joins.
+#: Documents, and shingles, that one task joins by a tree.
 GROUP_DOCS = 1_500
 GROUP_SHINGLES = 1_000_000
 PIVOTS = 48
@@ -212,7 +209,9 @@ def candidate_edges(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(tokens)), prefixes))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], ["token", "doc_id", "size"])
 
-    members = alive.mapInArrow(blocks, "token long, doc_id long, size long").withColumn("step", F.floor(F.log("size") / F.lit(_step(percent))))
+    # Sizes that may link differ by one step at most; a hair wider for the sake of rounding.
+    step = float(np.log(100.0 / percent)) * 1.000001
+    members = alive.mapInArrow(blocks, "token long, doc_id long, size long").withColumn("step", F.floor(F.log("size") / F.lit(step)))
     hubs = members.groupBy("token", "step").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
     stars = members.join(hubs.where("hub <> last"), ["token", "step"]).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     above = hubs.select("token", (F.col("step") - 1).alias("step"), F.col("hub").alias("b"))
@@ -223,11 +222,12 @@ def candidate_edges(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
 class SignatureTree:
     """A tree over shingle sets; ``links`` walks it against itself."""
 
-    def __init__(self, ids: list[int], sizes: list[int], sets: list[np.ndarray], labels: list[int], percent: int):
+    def __init__(self, ids: list[int], sizes: list[int], sets: list[np.ndarray], labels: list[int], parts: list[int] | None, percent: int):
         order = sorted(range(len(ids)), key=lambda i: (int(np.log2(sizes[i] + 1)), int(sets[i][0]) if len(sets[i]) else 0, ids[i]))
         self.ids = [ids[i] for i in order]
         self.sizes = np.array([sizes[i] for i in order], np.int64)
         self.sets = [sets[i] for i in order]
+        self.parts = None if parts is None else [parts[i] for i in order]
         self.percent = percent
         self.parent = list(range(len(ids)))
         first: dict[int, int] = {}
@@ -304,7 +304,7 @@ class SignatureTree:
         most = np.minimum(most, np.minimum(sizes[left, None], sizes[None, right]))
         for i, j in np.argwhere((100 + self.percent) * most >= self.percent * both).tolist():
             i, j = i + a * LEAF, j + b * LEAF
-            if i >= j and a == b:
+            if i >= j and a == b or self.parts is not None and self.parts[i] == self.parts[j]:
                 continue
             first, second = self.root(i), self.root(j)
             if first == second:
@@ -315,88 +315,19 @@ class SignatureTree:
                 found.append((self.ids[i], self.ids[j]))
 
 
-def _joined(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(a, b) verified links within each group of (doc_id, size, shingles, label)."""
+def _joined(groups: DataFrame, keys: list[str], percent: int, across: bool) -> DataFrame:
+    """(a, b) verified links within each group of (doc_id, size, shingles, label, part); with
+    ``across`` only between parts, as those within are known."""
 
     @leave("jaccard")
     def join(key: tuple, group: pa.Table) -> pa.Table:
         sets = [np.sort(np.frombuffer(x, "<u8")) for x in group["shingles"].to_pylist()]
-        tree = SignatureTree(group["doc_id"].to_pylist(), group["size"].to_pylist(), sets, group["label"].to_pylist(), percent)
+        parts = group["part"].to_pylist() if across else None
+        tree = SignatureTree(group["doc_id"].to_pylist(), group["size"].to_pylist(), sets, group["label"].to_pylist(), parts, percent)
         links = tree.links()
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return groups.select(*keys, "doc_id", "size", "shingles", "label").groupBy(*keys).applyInArrow(join, "a long, b long")
-
-
-def _step(percent: int) -> float:
-    """Sizes that may link differ by one step of their logarithm at most; a hair wider for rounding."""
-    return float(np.log(100.0 / percent)) * 1.000001
-
-
-_IN_BLOCK = "block binary, doc_id long, label long, held long"
-
-
-def _first_blocks(known: DataFrame, percent: int) -> DataFrame:
-    """A row for each document, prefix shingle and step of sizes: its own and the one below."""
-    step = _step(percent)
-
-    @leave("jaccard")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, size, prefix, body, label in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                tokens = [body[8 * i : 8 * i + 8] for i in range(prefix)]
-                at = int(np.log(size) / step)
-                blocks = [bytes([k & 255, k >> 8 & 255]) + t for k in (at, at + 1) for t in tokens]
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([label] * n, pa.int64()), pa.array([len(body) // 8] * n, pa.int64())], ["block", "doc_id", "label", "held"])
-
-    return known.select("doc_id", "size", "prefix", "shingles", "label").mapInArrow(run, _IN_BLOCK)
-
-
-def _next_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of one shingle more: linked documents that share the first of their prefixes have another one
-    in common within prefixes that are longer by one."""
-
-    @leave("jaccard")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, doc, prefix, body, label in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                tokens = [body[8 * i : 8 * i + 8] for i in range(min(prefix + 1, len(body) // 8))]
-                blocks = [block + t for t in tokens[tokens.index(block[2:]) + 1 :]]
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([label] * n, pa.int64()), pa.array([len(body) // 8] * n, pa.int64())], ["block", "doc_id", "label", "held"])
-
-    return rows.select("block", "doc_id", "prefix", "shingles", "label").mapInArrow(run, _IN_BLOCK)
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """(block, parts) of the blocks that more than one component meets in."""
-    parts = F.ceil(F.greatest(F.col("n") / GROUP_DOCS, F.col("held") / GROUP_SHINGLES)).cast("int").alias("parts")
-    return rows.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("held").alias("held")).where("low < high").select("block", parts)
-
-
-def _links_of_blocks(known: DataFrame, percent: int) -> list[DataFrame]:
-    """Links between documents of different components, by blocks."""
-    bodies = known.select("doc_id", "size", "prefix", "shingles")
-    out = []
-    rows = stash(_first_blocks(known, percent), "blocks")
-    for last in (False, True):
-        opened = stash(_open(rows), "open")
-        meeting = rows.join(opened, "block")
-        out.append(_joined(meeting.where("parts = 1").join(bodies, "doc_id"), ["block"], percent))
-        if opened.where("parts > 1").isEmpty():
-            return out
-        large = meeting.where("parts > 1")
-        if not last:
-            rows = stash(_next_blocks(large.join(bodies, "doc_id")), "blocks")
-    # Blocks of many documents that share even two rare shingles: all against those outside of the largest component.
-    counts = large.groupBy("block", "label").agg(F.count("*").alias("n"))
-    major = counts.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("others"))
-    placed = large.join(stash(major, "major"), "block").withColumn("turns", F.ceil(F.col("others") / GROUP_DOCS).cast("int"))
-    all_of = placed.select("block", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("j"))
-    others = placed.where("label <> major").select("block", "doc_id", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("turn")), "turns").cast("int").alias("j"))
-    out.append(_joined(all_of.union(others).distinct().join(bodies, "doc_id"), ["block", "i", "j"], percent))
-    return out
+    return groups.select(*keys, *[c for c in ("doc_id", "size", "shingles", "label", "part") if c not in keys]).groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
 def linked_components(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -407,24 +338,31 @@ def linked_components(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("held") / GROUP_SHINGLES)).cast("int")
     sizes = sizes.where("docs > 1").withColumn("parts", parts)
     members = grouped.join(sizes, "candidate").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = stash(members.select("candidate", "parts", "part", "docs", "doc_id", "size", "prefix", "shingles"), "members")
+    members = stash(members.select("candidate", "parts", "part", "docs", "doc_id", "size", "shingles"), "members")
 
     # Every part of a large group is joined alone, but for about PIVOTS of the group's documents,
     # which stand in all its parts: what links to one of them is connected across parts.
     pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("docs")) < PIVOTS)
     stands = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     first = members.withColumn("label", F.col("doc_id")).withColumn("part", F.explode(stands))
-    found = stash(_joined(first, ["candidate", "part"], percent), "links")
+    found = stash(_joined(first, ["candidate", "part"], percent, False), "links")
     components = connected_components(found)
     large = members.where("parts > 1")
     if large.isEmpty():
         return components
 
+    # Pairs of parts with more than one component between them are joined in full.
     named = components.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-    known = large.select("doc_id", "size", "prefix", "shingles").join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    for more in _links_of_blocks(stash(known, "known"), percent):
-        found = found.union(more)
-    return connected_components(found)
+    known = large.join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    spread = known.groupBy("candidate", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = spread.select("candidate", F.col("part").alias("part_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    open_pairs = spread.join(other, "candidate").where("part < part_b and not (low = high and low_b = high_b and low = low_b)")
+    open_pairs = stash(open_pairs.select("candidate", F.col("part").alias("part_a"), "part_b"), "pairs")
+    if open_pairs.isEmpty():
+        return components
+    sides = open_pairs.select("candidate", F.col("part_a").alias("part"), "part_a", "part_b").union(open_pairs.select("candidate", F.col("part_b").alias("part"), "part_a", "part_b"))
+    across = _joined(known.join(sides, ["candidate", "part"]), ["candidate", "part_a", "part_b"], percent, True)
+    return connected_components(found.union(across))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -447,7 +385,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, with all their columns; rows
-    with a null id stay."""
-    groups = similar_components(df, id_col, text, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return df.join(groups, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of ``df`` whose id is the smallest of its component, with all their columns, whatever their
+    names; rows with a null id stay, and so do rows that repeat such an id; an empty table stays empty."""
+    rows, (id_at, text_at) = by_number(df, id_col, text)
+    gone = similar_components(rows, id_at, text_at, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(gone, F.col(id_at).cast("long") == F.col("gone"), "left_anti").toDF(*df.columns)
