@@ -47,6 +47,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_number(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by their number, so that an operator's own names clash with none, and
+    the new names of ``names``.  ``toDF(*df.columns)`` names them back."""
+    at = {name: f"c{k}" for k, name in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), [at[name] for name in names]
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column, without decoding them."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from opsweave.llm.common import ascii_lower, bytes_of, leave, stash
+from opsweave.llm.common import ascii_lower, by_number, bytes_of, leave, stash
 
 #: Slots of one filter segment: segments are merged apart from each other.
 SEGMENT = 1 << 16
@@ -160,8 +160,11 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; same rules as ``mark_duplicates``."""
-    sha, flag, found = "_opsweave_sha256", "_opsweave_may_repeat", "_opsweave_found"
+    """The rows of ``df`` that stay, with all their columns, whatever their names: of equal texts the row with
+    the largest id (null is the smallest), once where rows repeat id and text.  A null text counts as
+    empty; an empty table stays empty."""
+    sha, flag, found, names = "sha", "may_repeat", "found", df.columns
+    df, (id_col, text) = by_number(df, id_col, text)
     hashes = stash(with_text_sha256(df.select(F.col(id_col).alias("_k_id"), text), text, "_k_sha").select("_k_id", "_k_sha"), "hashes")
     may_repeat = candidate_filter(hashes, "_k_sha", max_filter_bits)
 
@@ -178,4 +181,4 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     # Hash and id together are the key, so that a large group of copies spreads out.
     again = flagged.where(flag).join(keepers, (F.col(sha) == F.col("_k_sha")) & F.col(id_col).eqNullSafe(F.col("_k_id")), "left_semi")
     again = again.dropDuplicates([sha, id_col])  # rows that repeat id and text: the hash stands for the text
-    return flagged.where(~F.col(flag)).unionByName(again).select(*df.columns)
+    return flagged.where(~F.col(flag)).unionByName(again).select(*df.columns).toDF(*names)

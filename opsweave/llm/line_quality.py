@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsweave.llm.common import bytes_of, leave, stash
+from opsweave.llm.common import by_number, bytes_of, leave, stash
 
 #: Labelled documents, and lines of all of them together, that the model is fitted on at most.
 SAMPLE_DOCS = 4_000
@@ -25,8 +25,8 @@ RATE = 0.05
 PENALTY = 1e-3
 #: Lines that are scored at once, and cells of the table (documents by their longest one's lines)
 #: that forward-backward fills at once.
-BATCH_LINES = 20_000
-TABLE_CELLS = 200_000
+BATCH_LINES = 8_000
+TABLE_CELLS = 80_000
 
 _CLASSES = ("upper", "lower", "digit", "space", "bang", "pipe", "markup", "point", "other", "high")
 _CLASS_OF = np.full(256, 8, np.uint8)
@@ -275,5 +275,6 @@ def predict(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` whose score is at least 0.5, with all their columns, repeated rows too;
     an empty table stays empty."""
-    scored = score(documents, train(documents, labels, id_col=id_col, text=text), text, "_opsweave_score")
-    return scored.where("_opsweave_score >= 0.5").select(*documents.columns)
+    rows, (id_at, text_at) = by_number(documents, id_col, text)
+    scored = score(rows, train(rows, labels, id_col=id_at, text=text_at), text_at, "score")
+    return scored.where("score >= 0.5").drop("score").toDF(*documents.columns)
