@@ -1,8 +1,8 @@
 """Retrieval over a text and vector corpus: inverted index, lexical and vector search, fusion, MMR.
 
-Queries come in batches and every search is one job over all of them.  Postings join on terms;
-vectors meet queries in blocks of bounded size, each task keeps its best ``k`` a query, and a window
-over what is left gives the result.
+Queries come in batches and every search is one job over all of them.  Vectors meet queries in blocks of
+bounded size, each task keeps its best ``k`` a query, and a window over what is left gives the result.
+Lexical search is in ``postings``, indexed vector search in ``ivf``.
 """
 
 from __future__ import annotations
@@ -56,14 +56,6 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def lexical_search(index: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): share of a query's distinct terms that a document has."""
-    terms = queries.select("query_id", F.array_distinct(tokens(F.col(text))).alias("_terms")).where(F.size("_terms") > 0)
-    wanted = terms.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
-    hits = index.join(wanted, "term").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("_n")).alias("score"))
-    return top_k(hits, k)
-
-
 def _search_block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, least: float) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -132,21 +124,49 @@ def fuse(semantic: DataFrame, lexical: DataFrame, semantic_weight: float = SEMAN
     return both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def hybrid_search(vectors: DataFrame, index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.3, vector: str = "embedding", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): ``3 k`` candidates of either search, fused, at least
-    ``max(threshold / 2, 0.1)``, the best ``k``."""
-    fused = fuse(vector_search(vectors, queries, 3 * k, vector=vector), lexical_search(index, queries, 3 * k, text=text))
-    return top_k(fused.where(F.col("score") >= max(0.5 * threshold, 0.1)), k)
+def fused_candidates(semantic: DataFrame, lexical: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(query_id, doc_id, score): both searches' rows fused, those of at least ``max(threshold / 2, 0.1)``."""
+    return fuse(semantic, lexical).where(F.col("score") >= max(0.5 * threshold, 0.1))
+
+
+def hybrid_search(semantic: DataFrame, lexical: DataFrame, k: int, threshold: float = 0.3) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` of the ``3 k`` candidates that either search gives, fused."""
+    return top_k(fused_candidates(semantic, lexical, threshold), k)
+
+
+def diversified(semantic: DataFrame, lexical: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.3, weight: float = 0.5) -> DataFrame:
+    """(query_id, doc_id, rank): hybrid search whose last step is ``mmr`` where a query has more than ``k`` fused
+    candidates, and the fused order where it has not.
+
+    Relevance in ``mmr`` is the cosine of query and document; one without a vector counts as 0.
+    """
+    fused = top_k(fused_candidates(semantic, lexical, threshold), 6 * k)  # 3 k of either search at the most
+    sizes = fused.groupBy("query_id").agg((F.count("*") > k).alias("_many"))
+    marked = fused.join(sizes, "query_id")
+    v = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["doc_id"])
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_asked")).dropDuplicates(["query_id"])
+    rows = marked.where("_many").join(v, "doc_id", "left").join(q, "query_id", "left")
+    picked = mmr(rows.select("query_id", "doc_id", cosine("_asked", "embedding").alias("score"), "embedding"), k, weight)
+    return picked.unionByName(marked.where(~F.col("_many")).select("query_id", "doc_id", "rank"))
+
+
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two arrays; 0 where one is null, zero or of another length."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)) * F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
+    return F.coalesce(F.when(F.size(a) == F.size(b), F.try_divide(dot, size)), F.lit(0.0))
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     """(query_id, doc_id, rank): greedy choice by ``weight * score - (1 - weight) * max similarity to
-    those chosen``.  ``candidates`` has query_id, doc_id, score and a vector; a group is one query's
-    candidates, a bounded number."""
+    those chosen``.  ``candidates`` has query_id, doc_id, score and a vector (null: similar to none); a group
+    is one query's candidates, a bounded number."""
 
     def choose(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("score", "descending"), ("doc_id", "ascending")])
-        v = np.array(group["embedding"].to_pylist(), float)
+        rows = group["embedding"].to_pylist()
+        width = max((len(x) for x in rows if x), default=1)
+        v = np.array([x if x and len(x) == width else [0.0] * width for x in rows], float)
         norms = np.linalg.norm(v, axis=1)
         v = v / np.where(norms > 0, norms, 1.0)[:, None]
         score, ids = group["score"].to_numpy(), group["doc_id"].to_numpy()
@@ -168,10 +188,56 @@ def rerank(candidates: DataFrame, query: str = "query", text: str = "text") -> D
     return candidates.withColumn("reranked", F.lit(0.6) * F.col("score") + F.lit(0.4) * token_overlap(F.col(query), F.col(text)))
 
 
-def within_budget(ranked: DataFrame, budget: int = 4000, key: str = "query_id", text: str = "text") -> DataFrame:
-    """Rows, best first, as long as their texts fit a budget of characters together."""
-    so_far = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("used", F.sum(F.length(text)).over(so_far)).where(F.col("used") <= budget)
+# What makes a query ask for an overview, and the words that then lift or lower a document.
+OVERVIEW_QUERY = ("介绍", "平台", "概述", "什么是", "简介", "功能", "特性", "总览")
+OVERVIEW_SOURCE = ("总览", "平台", "介绍", "核心")
+OVERVIEW_CONTENT = ("平台简介", "核心功能", "平台概述", "平台是")
+
+
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
+def document_priority(query: Column, source: Column, text: Column, score: Column, names: tuple[str, ...] = ()) -> Column:
+    """Ten times the score, and what a document gains or loses by what its query asks for.  ``names``: further
+    words of a text's first 500 characters that make it an overview."""
+    query, source, text = (F.coalesce(x, F.lit("")) for x in (query, F.lower(source), F.lower(text)))
+    overview = (
+        F.when(_any_of(source, OVERVIEW_SOURCE), 200)
+        .when(_any_of(F.substring(text, 1, 500), (*names, *OVERVIEW_CONTENT)), 150)
+        .when(F.contains(source, F.lit("故障诊断")) | F.contains(F.substring(text, 1, 200), F.lit("故障")), -100)
+        .when(_any_of(source, ("部署", "配置")), -30)
+        .otherwise(0)
+    )
+    other = F.when(F.contains(query, F.lit("故障")) & _any_of(source, ("故障", "诊断")), 50).when(F.contains(query, F.lit("部署")) & F.contains(source, F.lit("部署")), 50).otherwise(0)
+    return F.when(_any_of(query, OVERVIEW_QUERY), overview).otherwise(other) + 10 * score
+
+
+def context_parts(ranked: DataFrame, budget: int = 4000, least_left: int = 200, margin: int = 10, names: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``place`` (from 1, by priority), ``part`` (head and content) and ``cut``; rows beyond the budget go.
+
+    ``ranked`` has query_id, query, doc_id, source, text, score.  A part is a head with place, source and score, a
+    line end and the content.  The first document that finds no more than ``least_left`` characters ends the
+    context; one that does not fit is cut to what is left, with three dots.
+    """
+    priority = document_priority(F.col("query"), F.col("source"), F.col("text"), F.col("score"), names)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("_priority", DIGITS)), F.desc(F.round("score", DIGITS)), "doc_id")
+    so_far = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    text = F.coalesce("text", F.lit(""))
+    source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit(" - 来源: "), "source")).otherwise("")
+    score = F.when(F.col("score") != 0, F.format_string(" - 相关性: %.2f", F.col("score"))).otherwise("")
+    placed = ranked.withColumn("_priority", priority).withColumn("place", F.row_number().over(order))
+    headed = placed.withColumn("_head", F.concat(F.lit("[文档"), F.col("place").cast("string"), source, score, F.lit("]")))
+    before = F.coalesce(F.sum(F.length("_head") + 1 + F.length(text)).over(so_far), F.lit(0))  # whole so far: a cut one ends the context
+    left = headed.withColumn("_left", budget - before - F.length("_head") - margin)
+    kept = left.withColumn("_least", F.min("_left").over(up_to)).where(F.col("_least") > least_left)
+    cut = F.length(text) > F.col("_left")
+    content = F.when(cut, F.concat(F.substring(text, F.lit(1), F.col("_left").cast("int")), F.lit("..."))).otherwise(text)
+    return kept.withColumn("part", F.concat("_head", F.lit("\n"), content)).withColumn("cut", cut).drop("_priority", "_head", "_left", "_least")
 
 
 def answer_confidence(ranked: DataFrame, answer_chars: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsweave.operators import hierarchy as H, retrieval as R
+from opsweave.operators import hierarchy as H, postings, retrieval as R
 from opsweave.plans.catalog import query
 from opsweave.sources import tables as T
 
@@ -200,8 +200,9 @@ def multi_query_retrieve(spark, d):
     docs = T.read_table(spark, d, "documents").select("doc_id", "text")
     asked = _asked(spark, d).where("conv_id % 50 = 0").withColumn("intent", H.best_intent(H.intents(F.col("q")))["intent"])
     forms = asked.select((F.col("conv_id") * 100 + F.col("turn")).alias("asked"), F.posexplode(H.expansions(F.col("q"), F.col("intent"))).alias("i", "text"))
-    forms = forms.select(F.struct("asked", "i").alias("query_id"), "text")
-    found = R.lexical_search(R.inverted_index(docs), forms, 10).groupBy(F.col("query_id.asked").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
+    forms = forms.select((F.col("asked") * 8 + F.col("i")).alias("query_id"), "text")  # five forms at most
+    found = postings.lexical_search(postings.posting_blocks(docs), forms, 10)
+    found = found.groupBy(F.floor(F.col("query_id") / 8).alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
     best = R.top_k(found, 20).join(docs, "doc_id")
     return H.diverse(H.distinct_content(best), 0.6, 5).select("query_id", "doc_id")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsweave.functions import text as X
-from opsweave.operators import retrieval as R
+from opsweave.operators import ivf, postings, retrieval as R
 from opsweave.plans.catalog import query
 from opsweave.sources.tables import read_table
 
@@ -36,6 +36,10 @@ def _index(spark, d):
     return R.inverted_index(_documents(spark, d))
 
 
+def _lexical(spark, d, k):
+    return postings.lexical_search(postings.posting_blocks(_documents(spark, d)), _questions(spark, d), k)
+
+
 def _questions(spark, d):
     return _documents(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
@@ -68,7 +72,7 @@ def postings_vacuum(spark, d):
 
 @query("lexical_search", f"WITH {_LEXICAL}, best AS ({_best('hit', K)}) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM best")
 def lexical_search(spark, d):
-    return R.lexical_search(_index(spark, d), _questions(spark, d), K).withColumn("score", F.round("score", 6))
+    return _lexical(spark, d, K).withColumn("score", F.round("score", 6))
 
 
 @query("vector_search", f"WITH {_VECTOR}, near AS (SELECT * FROM sim WHERE score > 0.05), best AS ({_best('near', K)}) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM best")
@@ -83,8 +87,25 @@ def vector_search(spark, d):
     good AS (SELECT * FROM fused WHERE score >= 0.15), best AS ({_best('good', K)}) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM best""",
 )
 def hybrid_search(spark, d):
-    asked = _questions(spark, d).join(_asked(spark, d), "query_id", "full")
-    return R.hybrid_search(_vectors(spark, d), _index(spark, d), asked, K).withColumn("score", F.round("score", 6))
+    semantic = R.vector_search(_vectors(spark, d), _asked(spark, d), 3 * K)
+    return R.hybrid_search(semantic, _lexical(spark, d, 3 * K), K).withColumn("score", F.round("score", 6))
+
+
+@query("hybrid_mmr")
+def hybrid_mmr(spark, d):
+    vectors, asked = _vectors(spark, d), _asked(spark, d)
+    return R.diversified(R.vector_search(vectors, asked, 3 * K), _lexical(spark, d, 3 * K), vectors, asked, K)
+
+
+@query("ivf_search")
+def ivf_search(spark, d):
+    vectors = _vectors(spark, d)
+    return ivf.search(ivf.build(vectors, K), _asked(spark, d), K).withColumn("score", F.round("score", 6))
+
+
+@query("ivf_search_exact", f"WITH {_VECTOR}, near AS (SELECT * FROM sim WHERE score > 0.05), best AS ({_best('near', K)}) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM best")
+def ivf_search_exact(spark, d):
+    return ivf.search(ivf.build(_vectors(spark, d), K), _asked(spark, d), K, probes=2, exact=True).withColumn("score", F.round("score", 6))
 
 
 @query("mmr_rerank")
@@ -96,12 +117,18 @@ def mmr_rerank(spark, d):
 
 @query(
     "context_budget",
-    f"""WITH {_LEXICAL}, best AS ({_best('hit', K)}), u AS (SELECT query_id, doc_id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM best JOIN documents USING (doc_id))
-    SELECT query_id, doc_id, rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= 4000""",
+    f"""WITH {_LEXICAL}, best AS ({_best('hit', K)}),
+    p AS (SELECT b.query_id, doc_id, d.text, b.score, d.source, row_number() OVER (PARTITION BY b.query_id ORDER BY round(10 * b.score, 9) DESC, round(b.score, 9) DESC, doc_id) AS place FROM best b JOIN documents d USING (doc_id)),
+    h AS (SELECT *, '[文档' || place || CASE WHEN coalesce(source, '') <> '' THEN ' - 来源: ' || source ELSE '' END || CASE WHEN score <> 0 THEN printf(' - 相关性: %.2f', score) ELSE '' END || ']' AS head FROM p),
+    l AS (SELECT *, 4000 - coalesce(sum(length(head) + 1 + length(text)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) - 10 AS room FROM h)
+    SELECT query_id, doc_id, place, length(text) > room AS cut, CAST(length(head) + 1 + CASE WHEN length(text) > room THEN room + 3 ELSE length(text) END AS BIGINT) AS n_chars
+    FROM l QUALIFY min(room) OVER (PARTITION BY query_id ORDER BY place) > 200""",
 )
 def context_budget(spark, d):
-    found = R.lexical_search(_index(spark, d), _questions(spark, d), K).join(_documents(spark, d), "doc_id")
-    return R.within_budget(found).select("query_id", "doc_id", "rank", "used")
+    documents = read_table(spark, d, "documents").select("doc_id", "text", "source")
+    asked = _questions(spark, d).withColumnRenamed("text", "query")
+    found = _lexical(spark, d, K).join(documents, "doc_id").join(asked, "query_id")
+    return R.context_parts(found).select("query_id", "doc_id", "place", "cut", F.length("part").cast("long").alias("n_chars"))
 
 
 @query(
@@ -110,7 +137,7 @@ def context_budget(spark, d):
     SELECT query_id, round(0.3 * least(n / 3, 1.0) + 0.4 * top + 0.15 * least(chars / 500, 1.0), 6) AS confidence FROM n""",
 )
 def answer_confidence(spark, d):
-    found = R.lexical_search(_index(spark, d), _questions(spark, d), K).join(_documents(spark, d), "doc_id")
+    found = _lexical(spark, d, K).join(_documents(spark, d), "doc_id")
     return R.answer_confidence(found, F.length("text")).withColumn("confidence", F.round("confidence", 6))
 
 
