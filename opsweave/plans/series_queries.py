@@ -172,7 +172,7 @@ def quantile_clip(spark, d):
 )
 def rate_counter(spark, d):
     rows = T.read_table(spark, d, "events").select("event_id", F.col("event_type").alias("metric"), "ts", "value")
-    return series.counter_rate(rows, 3600).select("event_id", F.round("rate", 6).alias("rate"))
+    return series.counter_rate(rows, 3600, tie=("event_id",)).select("event_id", F.round("rate", 6).alias("rate"))
 
 
 @query(
