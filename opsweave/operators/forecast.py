@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opsweave.operators import folds, tiles
+
 # Fixed values by resource: growth a step, type factor of the confidence, upper bound.
 GROWTH = {"qps": 0.02, "cpu": 0.01, "memory": 0.005, "disk": 0.003}
 TYPE_FACTOR = {"qps": 0.9, "cpu": 0.85, "memory": 0.95, "disk": 0.98}
@@ -112,54 +113,39 @@ def scaling_plan(forecast: DataFrame, target: float = 0.7) -> DataFrame:
     )
 
 
-def _fold(rows: DataFrame, by: str, choose) -> DataFrame:
-    """``choose`` of each series' (ts, action, instances) in order, one pass over a series' rows."""
+_ORDER = ("action", "instances")
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("ts", "ascending"), ("action", "ascending"), ("instances", "ascending")])
-        micros = group["ts"].cast(pa.int64()).to_pylist()
-        found = choose(micros, group["action"].to_pylist(), group["instances"].to_pylist())
-        out = group.take(pa.array([at for at, _ in found], pa.int64()))
-        return out.set_column(out.schema.get_field_index("instances"), "instances", pa.array([n for _, n in found], pa.int32()))
 
-    kind = rows.schema[by].dataType.simpleString()
-    plain = rows.select(by, F.col("ts").cast("timestamp_ntz").alias("ts"), "action", F.col("instances").cast("int").alias("instances"))
-    return plain.groupBy(by).applyInArrow(run, f"{by} {kind}, ts timestamp_ntz, action string, instances int")
+def _numbered(rows: DataFrame, by: str) -> DataFrame:
+    plain = rows.where("ts is not null").select(by, F.col("ts").cast("timestamp_ntz").alias("ts"), "action", F.col("instances").cast("int").alias("instances"))
+    return tiles.numbered(plain, by, tie=_ORDER)
 
 
 def apply_cooldown(plan: DataFrame, by: str, minutes: float = 5.0) -> DataFrame:
-    """Actions at least ``minutes`` after the last accepted one of their series.
+    """Actions at least ``minutes`` after the last accepted one of their series; rows without time are left out.
 
-    Acceptance depends on what was accepted before, so each series is read in order.
+    Each action's next possible one is a search in time; which are accepted follows by pointer jumping.
     """
-    apart = int(minutes * 60e6)
-
-    def choose(micros: list[int], actions: list, instances: list) -> list[tuple[int, int | None]]:
-        taken, last = [], None
-        for i, at in enumerate(micros):
-            if last is None or at - last >= apart:
-                taken.append((i, instances[i]))
-                last = at
-        return taken
-
-    return _fold(plan.where("action <> 'maintain'"), by, choose)
+    rows = _numbered(plan.where("action <> 'maintain'"), by)
+    pointed = folds.first_from(rows, folds.micros("ts") + int(minutes * 60e6))
+    return folds.accepted(pointed).where(folds.ANCHOR).select(by, "ts", "action", "instances")
 
 
 def merge_recommendations(recs: DataFrame, by: str, seconds: int = 3600) -> DataFrame:
     """Greedy merge: following recommendations of the same action within ``seconds`` of the anchor
-    join it, with the most instances of all."""
-
-    def choose(micros: list[int], actions: list, instances: list) -> list[tuple[int, int | None]]:
-        out: list[tuple[int, int | None]] = []
-        for i, at in enumerate(micros):
-            anchor = out[-1][0] if out else None
-            if anchor is not None and actions[i] == actions[anchor] and at // 1_000_000 - micros[anchor] // 1_000_000 <= seconds:
-                out[-1] = anchor, max((n for n in (out[-1][1], instances[i]) if n is not None), default=None)
-            else:
-                out.append((i, instances[i]))
-        return out
-
-    return _fold(recs, by, choose)
+    join it, with the most instances of all.
+
+    An anchor's next one is the next change of action or the first row that is too late, whichever comes first.
+    """
+    rows = folds.next_change(_numbered(recs, by), "action", "_change")
+    late = (F.floor(folds.micros("ts") / 1_000_000) + seconds + 1) * 1_000_000
+    pointed = folds.first_from(rows, late).withColumn(folds.NEXT, F.least(folds.NEXT, "_change")).drop("_change")
+    joined = folds.anchor_of(folds.accepted(pointed), "_of")
+    anchor = F.col(folds.ANCHOR)
+    merged = joined.groupBy(tiles.SERIES, "_of").agg(
+        *[F.max(F.when(anchor, F.col(c))).alias(c) for c in (by, "ts", "action")], F.max("instances").alias("instances")
+    )
+    return merged.select(by, "ts", "action", "instances")
 
 
 def first_match(points_: DataFrame, recs: DataFrame, by: str, seconds: int = 3600) -> DataFrame:
