@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsweave.plans.catalog import query
-from opsweave.streaming import metrics
+from opsweave.streaming import metrics, stateful
 
 
 def _samples(spark, d):
@@ -60,4 +60,4 @@ def stream_first_of_each(spark, d):
 )
 def stream_cooldown(spark, d):
     rows = _samples(spark, d).where("value > 50").select(F.col("user_id").alias("series"), "ts", F.col("metric").alias("action"))
-    return _all(metrics.cooldown(rows, 6 * 3600))
+    return _all(stateful.cooldown(rows, 6 * 3600))

@@ -6,14 +6,11 @@ end of what its source holds.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from opsweave.sources.shared import shared_dir
 
 LATE = "10 minutes"
 
@@ -48,32 +45,11 @@ def first_of_each(rows: DataFrame, keys: list[str], late: str = LATE) -> DataFra
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def cooldown(actions: DataFrame, seconds: int = 300, late: str = LATE) -> DataFrame:
-    """(series, ts, action): of each series' actions, those at least ``seconds`` after the last one
-    that passed.  State is that one time for each series."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "action"])
-        passed = []
-        for at, action in zip(rows["ts"], rows["action"]):
-            now = at.value // 1000
-            if last is None or now - last >= seconds * 1_000_000:
-                passed.append((key[0], at, action))
-                last = now
-        state.update((last,))
-        yield pd.DataFrame(passed, columns=["series", "ts", "action"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in actions.schema.fields}
-    rows = actions.select("series", "ts", "action").withWatermark("ts", late)
-    return rows.groupBy("series").applyInPandasWithState(step, f"series {kinds['series']}, ts timestamp, action string", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that the query gives for what its source holds now, written by the stream as Parquet into
     the shared folder (complete results by way of ``foreachBatch``) and read back."""
     spark = stream.sparkSession
-    root = f"{_shared(spark)}/opsweave-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/opsweave-stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/rows").start()
@@ -81,14 +57,3 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-
-
-def _shared(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session that names none gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="opsweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
