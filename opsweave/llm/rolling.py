@@ -1,22 +1,26 @@
-"""Rabin-Karp hashes of word windows, vectorised over a whole text."""
+"""Rabin-Karp hashes of word windows, vectorised over a whole text.
+
+The letters of the polynomial are words, each by a 64-bit digest.  Bytes as letters would not do: the polynomial is
+modulo 2**64, where words can be made (Thue-Morse words and their complements) whose hashes agree for every odd
+multiplier.  Words of random-looking digests have no such structure in a window of a few dozen.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
+import xxhash
 
 #: Odd multiplier of the polynomial, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Multiplier of a second polynomial, for those who check a match of the first.
+#: Multiplier of a second polynomial, over other digests, for those who check a match of the first.
 SECOND_BASE = 0xD1B54A32D192ED03
-#: Words longer than this stand in the polynomial by a digest, behind a tab that no word has.
-LONG_WORD = 1 << 12
-#: Words hashed at once.
-PIECE = 1 << 14
+#: Words longer than this are digested by SHA-256 first, behind a tab that no word has.
+LONG_WORD = 240
 
-_MASK = (1 << 64) - 1
-_LETTERS = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:8] for b in range(256)), "<u8").astype(np.uint64)
+_DIGESTS = {BASE: partial(xxhash.xxh3_64_intdigest, seed=1), SECOND_BASE: partial(xxhash.xxh3_64_intdigest, seed=2)}
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,23 +42,13 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def window_hashes(words: list[bytes], width: int, base: int = BASE) -> np.ndarray:
     """The hash of each window of ``width`` consecutive words, in order of start."""
-    inverse = pow(base, -1, 1 << 64)
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if max(map(len, words)) > LONG_WORD:
         words = [b"\t" + hashlib.sha256(w).digest() if len(w) > LONG_WORD else w for w in words]
-    out = np.empty(n, np.uint64)
-    for first in range(0, n, PIECE):
-        count = min(PIECE, n - first)
-        part = words[first : first + count + width - 1]
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths + 1) - 1  # words are joined by one space
-        starts = ends - lengths
-        letters = _LETTERS[np.frombuffer(b" ".join(part), np.uint8)]
-        letters *= _power(base, len(letters))
-        prefix = np.zeros(len(letters) + 1, np.uint64)
-        np.cumsum(letters, out=prefix[1:])
-        begin = starts[:count]
-        out[first : first + count] = (prefix[ends[width - 1 :]] - prefix[begin]) * _power(inverse, int(begin[-1]) + 1)[begin]
-    return mix(out)
+    letters = np.fromiter(map(_DIGESTS[base], words), np.uint64, len(words))
+    letters *= _power(base, len(words))
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(letters, out=prefix[1:])
+    return mix((prefix[width:] - prefix[:-width]) * _power(pow(base, -1, 1 << 64), n))
