@@ -176,7 +176,9 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
             yield pa.StructArray.from_arrays([pa.array(hexes, pa.string()), pa.array(may_repeat(hexes), pa.bool_())], ["sha", "again"])
 
     keepers = hashes.where(candidate_flag(may_repeat)("_k_sha")).groupBy("_k_sha").agg(F.max("_k_id").alias("_k_id"))
-    probed = df.withColumn(found, F.arrow_udf(hash_and_probe, "sha string, again boolean")(F.col(text).cast("string")))
+    # Not deterministic, as far as Spark knows: else the filters on its result are pushed down as calls of their own.
+    probe = F.arrow_udf(hash_and_probe, "sha string, again boolean").asNondeterministic()
+    probed = df.withColumn(found, probe(F.col(text).cast("string")))
     flagged = probed.withColumns({sha: F.col(f"{found}.sha"), flag: F.col(f"{found}.again")})
     # Hash and id together are the key, so that a large group of copies spreads out.
     again = flagged.where(flag).join(keepers, (F.col(sha) == F.col("_k_sha")) & F.col(id_col).eqNullSafe(F.col("_k_id")), "left_semi")
