@@ -21,7 +21,9 @@ ERROR_PATTERNS = (
     ("Memory Error", r"(?i)(?:out of memory|oom|memory exhausted)"),
     ("Disk Error", r"(?i)(?:no space left|disk full|filesystem full)"),
 )
-STACK = r'^\s*at\s+|^\s*File\s+"|^\s*Traceback|^\s*goroutine\s+|^\s*\w+\.\w+\(|^\s+\^'
+STACK_STARTS = ("    at ", "  File ", "Traceback", "goroutine", "\tat")
+STACK_SIGNS = (".java:", ".py:", ".go:", "()", ".js:", "line ", "Line ", "at ", "File ")
+STACK = r'^\s*at\s+|^\s*File\s+"|^\s*Traceback'
 STAMP = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}|\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2})"
 LEVEL_RANKS = {"FATAL": 5, "ERROR": 4, "WARN": 3, "WARNING": 3, "INFO": 2, "DEBUG": 1, "TRACE": 0}
 
@@ -62,7 +64,21 @@ def contains_error(line: Column) -> Column:
 
 
 def is_stack_line(line: Column) -> Column:
-    return F.rlike(line, F.lit(STACK))
+    """A line that starts like one of a trace; or that is indented, has over ten characters and a sign of a call or a
+    file; or that matches one of three patterns."""
+    starts = F.lit(False)
+    for start in STACK_STARTS:
+        starts = starts | F.startswith(line, F.lit(start))
+    signs = F.lit(False)
+    for sign in STACK_SIGNS:
+        signs = signs | F.contains(line, F.lit(sign))
+    indented = F.rlike(line, F.lit(r"^[ \t]")) & (F.length(stripped(line)) > 10)
+    return starts | (indented & signs) | F.rlike(line, F.lit(STACK))
+
+
+def stripped(line: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
 
 
 def log_time(line: Column, year: int | None = None) -> Column:

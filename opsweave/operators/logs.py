@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsweave.functions.logtext import contains_error, error_type, is_stack_line, level_rank, log_level
+from opsweave.functions.logtext import contains_error, error_type, is_stack_line, level_rank, log_level, stripped
 
 
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
-    """Adds level, error type and whether a line belongs to a stack trace."""
+    """Adds level, error type and whether a line, without white space around it, belongs to a stack trace."""
     text = F.col(line)
-    return df.withColumns({"level": log_level(text), "error_type": error_type(text), "is_stack": is_stack_line(text)})
+    return df.withColumns({"level": log_level(text), "error_type": error_type(text), "is_stack": is_stack_line(stripped(text))})
 
 
 def fold_entries(df: DataFrame, by: tuple[str, ...] = ("pod", "container"), most_stack: int | None = None) -> DataFrame:

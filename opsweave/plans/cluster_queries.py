@@ -131,12 +131,16 @@ def log_tail(spark, d):
     return logs.tail(T.log_lines(spark, d), 3).select("pod", "line_no")
 
 
-_STACK = r"""'^\s*at\s+|^\s*File\s+"|^\s*Traceback|^\s*goroutine\s+|^\s*\w+\.\w+\(|^\s+\^'"""
+# A line without white space around it cannot be indented: two beginnings and the first three patterns are left.
+_STACK = r"""'^at\s+|^File\s+"|^Traceback|^goroutine'"""
+_RAW_STACK = r"""(line LIKE '    at %' OR line LIKE '  File %' OR line LIKE 'Traceback%' OR line LIKE 'goroutine%' OR line LIKE chr(9) || 'at%'
+    OR (line[1] IN (' ', chr(9)) AND length(trim(line, ' ' || chr(9))) > 10 AND regexp_matches(line, '\.java:|\.py:|\.go:|\(\)|\.js:|line |Line |at |File '))
+    OR regexp_matches(line, '^\s*at\s+|^\s*File\s+"|^\s*Traceback'))"""
 
 
 @query(
     "log_entries",
-    f"""WITH {T.LOG_LINES_SQL}, s AS (SELECT *, regexp_matches(line, {_STACK}) AS st FROM log_lines),
+    f"""WITH {T.LOG_LINES_SQL}, s AS (SELECT *, regexp_matches(trim(line, ' ' || chr(9) || chr(10) || chr(13)), {_STACK}) AS st FROM log_lines),
     e AS (SELECT *, sum(CAST(NOT st AS INT)) OVER (PARTITION BY pod, container ORDER BY line_no) AS entry FROM s)
     SELECT pod, container, CAST(entry AS BIGINT) AS entry, min(line_no) AS line_no, arg_min(line, line_no) AS line, count(*) FILTER (st) AS n_stack, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (st), '') AS stack
     FROM e WHERE entry > 0 GROUP BY pod, container, entry""",
@@ -145,6 +149,17 @@ def log_entries(spark, d):
     return logs.fold_entries(_lines(spark, d)).select("pod", "container", "entry", "line_no", "line", "n_stack", "stack")
 
 
+@query(
+    "stack_lines",
+    f"""WITH {T.LOG_LINES_SQL}, l AS (SELECT pod, line_no, CASE line_no % 4 WHEN 0 THEN '  ' ELSE '' END || line AS line FROM log_lines)
+    SELECT pod, line_no FROM l WHERE {_RAW_STACK}""",
+)
+def stack_lines(spark, d):
+    """Every fourth line is indented, as frames of a trace are."""
+    lines = T.log_lines(spark, d).withColumn("line", F.concat(F.when(F.col("line_no") % 4 == 0, "  ").otherwise(""), "line"))
+    return lines.where(logtext.is_stack_line(F.col("line"))).select("pod", "line_no")
+
+
 @query("log_errors", _LEVELS + " SELECT pod, line_no FROM p WHERE level IN ('ERROR', 'FATAL', 'WARN', 'WARNING') OR regexp_matches(lower(line), 'error|exception|failed|fatal|crash|panic|died|错误|异常|失败|崩溃|死机|宕机|故障|中断|timeout|超时') OR error_type = 'Http Error'")
 def log_errors(spark, d):
     return logs.errors_only(_lines(spark, d)).select("pod", "line_no")
