@@ -8,19 +8,17 @@ multiplier.  Words of random-looking digests have no such structure in a window
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import xxhash
 
 #: Odd multiplier of the polynomial, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Multiplier of a second polynomial, over other digests, for those who check a match of the first.
+#: Multiplier of a second polynomial, for those who check a match of the first.
 SECOND_BASE = 0xD1B54A32D192ED03
 #: Words longer than this are digested by SHA-256 first, behind a tab that no word has.
 LONG_WORD = 240
 
-_DIGESTS = {BASE: partial(xxhash.xxh3_64_intdigest, seed=1), SECOND_BASE: partial(xxhash.xxh3_64_intdigest, seed=2)}
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,15 +38,23 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def window_hashes(words: list[bytes], width: int, base: int = BASE) -> np.ndarray:
-    """The hash of each window of ``width`` consecutive words, in order of start."""
-    n = len(words) - width + 1
+def letters_of(words: list[bytes]) -> np.ndarray:
+    """The digest of each word."""
+    if words and max(map(len, words)) > LONG_WORD:
+        words = [b"\t" + hashlib.sha256(w).digest() if len(w) > LONG_WORD else w for w in words]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def roll(letters: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
+    """The hash of each window of ``width`` consecutive letters, in order of start."""
+    n = len(letters) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if max(map(len, words)) > LONG_WORD:
-        words = [b"\t" + hashlib.sha256(w).digest() if len(w) > LONG_WORD else w for w in words]
-    letters = np.fromiter(map(_DIGESTS[base], words), np.uint64, len(words))
-    letters *= _power(base, len(words))
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(letters, out=prefix[1:])
+    prefix = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * _power(base, len(letters)), out=prefix[1:])
     return mix((prefix[width:] - prefix[:-width]) * _power(pow(base, -1, 1 << 64), n))
+
+
+def window_hashes(words: list[bytes], width: int, base: int = BASE) -> np.ndarray:
+    """The hash of each window of ``width`` consecutive words, in order of start."""
+    return roll(letters_of(words), width, base) if len(words) >= width else np.zeros(0, np.uint64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from opsweave.llm.common import bytes_of, leave, pack_sorted, pack_uint, unpack_sorted, unpack_uint, width_of, words_of
-from opsweave.llm.rolling import SECOND_BASE, window_hashes
+from opsweave.llm.rolling import SECOND_BASE, letters_of, roll
 
 WIDTH = 20
 #: Bytes of text that a chunk has on average, and bytes of text that give one window, about.
@@ -65,7 +65,8 @@ class _Chunk:
 
     def hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all windows, number of the first window of each document and of the end)."""
-        found = [window_hashes(w, width) for w in self.words]
+        self.letters = [letters_of(w) for w in self.words]
+        found = [roll(x, width) for x in self.letters]
         return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum([0, *map(len, found)])
 
 
@@ -175,7 +176,7 @@ def _by_chunk(rows: DataFrame, width: int, finish: Callable, schema: str) -> Dat
         second = np.zeros(len(taken), np.uint32)
         cuts = np.flatnonzero(np.diff(doc, prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
-            second[a:b] = window_hashes(chunk.words[doc[a]], width, SECOND_BASE)[start[a:b]] >> np.uint64(32)
+            second[a:b] = roll(chunk.letters[doc[a]], width, SECOND_BASE)[start[a:b]] >> np.uint64(32)
         valid = np.array([d[0] for d in chunk.docs], bool)[doc]
         codes = np.array([d[1] for d in chunk.docs], np.int64).view(np.uint64)[doc] ^ _SIGN
         # Of windows that are alike in the chunk the earliest goes; the others stay behind as repeats.
