@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 #: Rows of a tile; the most that a frame may reach on either side.
 TILE = 4096
@@ -30,9 +30,11 @@ def series_of(by: str | list[str]) -> Column:
 def numbered(df: DataFrame, by: str | list[str], ts: str = "ts", tie: tuple[str, ...] = (), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Adds ``_series``, ``_row``, the number, from 1, of each row in its series by time and then ``tie``, and ``_size``.
 
-    A null time comes first.
+    A null time comes first.  ``ts`` may be a struct that begins with the time and goes on with ties.
     """
-    bucket = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bucket_seconds * 1_000_000)), F.lit(-(1 << 62)))
+    kind = df.schema[ts].dataType
+    time = F.col(f"{ts}.{kind.fields[0].name}") if isinstance(kind, T.StructType) else F.col(ts)
+    bucket = F.coalesce(F.floor(F.unix_micros(time.cast("timestamp")) / (bucket_seconds * 1_000_000)), F.lit(-(1 << 62)))
     rows = df.withColumns({SERIES: series_of(by), "_bucket": bucket})
     counts = rows.groupBy(SERIES, "_bucket").agg(F.count("*").alias("_count"))
     before = Window.partitionBy(SERIES).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
