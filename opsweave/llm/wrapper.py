@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host by simple tree matching over their
-block-level DOM trees, so that text nodes of different pages get common slots.  Over all distinct
-pages of the host, a slot whose text stays the same is template; slots that vary are content, unless
-they stand in menus, headers, footers, sidebars, notices, adverts, forms or comments.
+Pages of one host and layout are aligned with a reference page by simple tree matching over their
+block-level DOM trees, so that nodes of different pages get common slots.  Over all distinct pages of the
+layout, waste included, a text slot that stays the same is template; the smallest element that holds most
+of the varying text is the content region.  Elements and names (menus, adverts, comments) veto what varies
+inside of the region; they decide alone only where a layout has too few pages or no region stands out.
 """
 
 from __future__ import annotations
@@ -60,10 +61,14 @@ SAYS_OTHERWISE = frozenset("has have is no not with without hide use js on".spli
 CARRIERS = frozenset("div section ul ol dl p table center figure header details li fieldset hgroup".split())
 MAIN = ("article", "main")
 
-#: Share of a host's distinct pages, and pages at least, that make a text template: outside of the
-#: main element and inside of it.
-OUTSIDE = (0.5, 3)
-INSIDE = (0.9, 20)
+#: Share of a layout's distinct pages that makes the text of a slot template: outside of the main element
+#: and inside of it.
+OUTSIDE, INSIDE = 0.5, 0.9
+#: Distinct pages from which on a layout is induced; fewer show no difference between template and content.
+LEAST_PAGES = 3
+#: Share of a layout's varying text that the content region holds.
+REGION = 0.8
+HEADINGS = ("h1", "h2", "h3")
 MAX_DEPTH = 100
 #: Cells of a matching's table that are held at once; longer child lists are halved, with the same result.
 TABLE_CELLS = 1 << 20
@@ -282,12 +287,12 @@ class Shapes:
         return sorted(found)
 
     def align(self, page: Node, reference: Node) -> None:
-        """Gives the page's text nodes the slots of the reference's that they match."""
+        """Gives the page's nodes the slots of the reference's that they match."""
         pending = [(page, reference)]
         while pending:
             a, b = pending.pop()
+            a.slot = b.slot
             if a.tag == "#":
-                a.slot = b.slot
                 continue
             x, y = a.children, b.children
             low, high_x, high_y = _trim([c.shape for c in x], [c.shape for c in y])
@@ -324,47 +329,127 @@ def _print(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class HostWrapper:
-    """The reference page of a host."""
+class LayoutWrapper:
+    """The reference page of a layout, its nodes numbered in page order (slots), the root 0."""
 
     def __init__(self, page: str):
         self.shapes = Shapes()
         self.tree = parse(page)
         self.shapes.assign(self.tree)
-        for slot, node in enumerate(_texts(self.tree)):
-            node.slot = slot
-
-    def read(self, page: str) -> list[Node]:
-        """The text nodes of a page, with their slots."""
+        self.nodes: list[Node] = []
+        self.parents: list[int] = []
+        pending = [(self.tree, -1)]
+        while pending:
+            node, parent = pending.pop()
+            node.slot = len(self.nodes)
+            self.nodes.append(node)
+            self.parents.append(parent)
+            pending += [(child, node.slot) for child in reversed(node.children)]
+
+    def read(self, page: str) -> Node:
+        """The tree of a page, with its slots."""
         if len(self.shapes.parts) > MAX_SHAPES or len(self.shapes.weights) > MAX_WEIGHTS:
             self.shapes = Shapes()
             self.shapes.assign(self.tree)
         tree = parse(page)
         self.shapes.assign(tree)
         self.shapes.align(tree, self.tree)
-        return list(_texts(tree))
+        return tree
+
+    def region(self, varying: dict[int, int]) -> int:
+        """The content region: the smallest element with ``REGION`` of the varying characters, which are
+        given by text slot, or by -1 - slot for what stands unmatched in an element.  Inside of a main
+        element it is that; what an element or a name calls waste is left for what is around it.  0: none."""
+        mass = [0] * len(self.nodes)
+        for slot, chars in varying.items():
+            mass[slot if slot >= 0 else -1 - slot] += chars
+        for slot in range(len(mass) - 1, 0, -1):  # children follow their parents
+            mass[self.parents[slot]] += mass[slot]
+        least = REGION * mass[0]
+        # A share above a half is on one path only, whose last element has the largest number.
+        at = max((k for k, node in enumerate(self.nodes) if node.tag != "#" and mass[k] >= least), default=0) if mass[0] else 0
+        while at and (self.nodes[at].waste or self.nodes[at].named or self.nodes[self.parents[at]].main or self.nodes[at].tag in ("html", "body", "p", *HEADINGS)):
+            at = self.parents[at]
+        return at
+
+    def path(self, slot: int) -> set[int]:
+        """The slots from the root to ``slot``."""
+        found = set()
+        while slot >= 0:
+            found.add(slot)
+            slot = self.parents[slot]
+        return found
 
 
 @functools.lru_cache(maxsize=64)
-def _wrapper(reference: str) -> HostWrapper:
-    return HostWrapper(reference)
+def _wrapper(reference: str) -> LayoutWrapper:
+    return LayoutWrapper(reference)
 
 
 CACHES.append(_wrapper.cache_clear)
 
 
-def read_page(page: str, reference: str | None) -> list[Node]:
-    return _wrapper(reference).read(page) if reference else list(_texts(parse(page)))
+def slots_of(tree: Node) -> Iterator[tuple[int, Node]]:
+    """(slot, text node) in page order; a text that matches none has -1 - slot of the closest matched element."""
+    pending = [(tree, 0)]
+    while pending:
+        node, owner = pending.pop()
+        if node.tag == "#":
+            yield (node.slot if node.slot >= 0 else -1 - owner), node
+        else:
+            owner = node.slot if node.slot >= 0 else owner
+            pending += [(child, owner) for child in reversed(node.children)]
+
+
+def region_texts(tree: Node, path: set[int], region: int) -> list[Node] | None:
+    """Text nodes of the page's content region with the headings beside the way to it; None where the page has no such region."""
+    before, after, node = [], [], tree
+    while node.slot != region:
+        at = next((k for k, child in enumerate(node.children) if child.tag != "#" and child.slot in path), None)
+        if at is None:
+            return None
+        if not node.children[at].main:
+            before += [t for child in node.children[:at] if child.tag in HEADINGS for t in _texts(child)]
+            after[:0] = [t for child in node.children[at + 1 :] if child.tag in HEADINGS for t in _texts(child)]
+        node = node.children[at]
+    return [*before, *_texts(node), *after]
+
+
+def main_text(tree: Node, template: set[tuple[int, int]], path: set[int] = frozenset(), region: int = 0) -> str:
+    """Content joined by blank lines: what varies in the content region if the layout has one and the page's
+    holds text, else of the main element if the page has one, else of the page.
+
+    What varies is content unless its element or a name says otherwise; where names would leave nothing,
+    they are not believed."""
+    varying = [n for n in _texts(tree) if not n.waste and (n.slot < 0 or (n.slot, _print(n.text)) not in template)]
+    within = region_texts(tree, path, region) if region else None
+    ids = set(map(id, within or ()))
+    chosen = [n for n in varying if id(n) in ids] or [n for n in varying if n.main] or varying
+    return "\n\n".join(n.text for n in [n for n in chosen if not n.named] or chosen)
 
 
-def main_text(nodes: list[Node], template: set[tuple[int, int]]) -> str:
-    """Content joined by blank lines: of the main element if the page has one, else of the page.
+#: Elements that lay out a page.
+_FRAMES = "body|div|section|nav|article|main|header|footer|aside|form|table"
 
-    Slots come first: what is left after the template is content unless its element or a name says
-    otherwise; where names would leave nothing, they are not believed."""
-    varying = [n for n in nodes if not n.waste and (n.slot < 0 or (n.slot, _print(n.text)) not in template)]
-    varying = [n for n in varying if n.main] or varying
-    return "\n\n".join(n.text for n in [n for n in varying if not n.named] or varying)
+
+def _layout(page):
+    """A number for the frames directly inside of the body, neighbours of one kind counted once; of a lone
+    frame, those inside of it.  Text and what the frames hold do not matter."""
+    tags = F.regexp_extract_all(F.lower(page), F.lit(rf"<(/?(?:{_FRAMES}))\b"), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("outer"), F.lit("").alias("inner"))
+
+    def step(state, tag):
+        ends = tag.startswith("/")
+        depth = F.when(tag == "body", 0).when(tag == "/body", state["depth"]).when(ends, F.greatest(F.lit(0), state["depth"] - 1)).otherwise(state["depth"] + 1)
+
+        def add(text, level):
+            new = ~ends & (tag != "body") & (depth == level) & ~text.endswith(F.concat(tag, F.lit(" ")))
+            return F.when(new, F.concat(text, tag, F.lit(" "))).otherwise(text)
+
+        return F.struct(depth.alias("depth"), add(state["outer"], 1).alias("outer"), add(state["inner"], 2).alias("inner"))
+
+    found = F.aggregate(tags, start, step, lambda s: F.when(F.regexp_count(s["outer"], F.lit(" ")) == 1, F.concat(s["outer"], F.lit("/ "), s["inner"])).otherwise(s["outer"]))
+    return F.xxhash64(found)
 
 
 def _host(url: str):
@@ -372,8 +457,8 @@ def _host(url: str):
 
 
 def _beside(pages: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """``pages`` with the columns of ``small`` for its host: broadcast while its measured size allows."""
-    return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "host", "left")
+    """``pages`` with the columns of ``small`` for its host and layout: broadcast while its measured size allows."""
+    return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, ["host", "layout"], "left")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -381,12 +466,14 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
 
     A null page counts as empty and has empty text.  Pages without a host share no template.  Repeated
     rows give repeated results, and equal pages of a host count once for its template.  An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored, whatever their names.  Very long, wide and deep pages are
+    read whole (below ``MAX_DEPTH`` a page is a list of texts).
     """
-    named = df.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"), _host(url).alias("host"))
-    hosted = named.where(F.col("host") != "")
-    # One page of each host, the one with the smallest hash.
-    references = hosted.where("html <> ''").groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("reference"))
+    html_text = F.coalesce(F.col(page).cast("string"), F.lit(""))
+    named = df.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), html_text.alias("html"), _host(url).alias("host"), _layout(html_text).alias("layout"))
+    hosted = named.where("host <> '' and html <> ''")
+    # One page of each layout, the one with the smallest hash.
+    references = hosted.groupBy("host", "layout").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("reference"))
     references = stash(references, "references")
     size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
 
@@ -394,39 +481,65 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for host, body, reference in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                kept = [n for n in read_page(body, reference) if n.slot >= 0 and not n.waste]
-                if kept:
-                    prints = [_print(n.text) for n in kept]
-                    whole = int.from_bytes(hashlib.blake2b(np.array(prints, "<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
-                    out.append((host, whole, [n.slot for n in kept], prints, [n.main for n in kept]))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "whole", "slots", "prints", "mains"])
-
-    seen = _beside(hosted, references, size).select("host", "html", "reference").mapInArrow(slots, "host string, whole long, slots array<int>, prints array<long>, mains array<boolean>")
-    # Equal pages count once: the first of each host and print.
-    seen = stash(seen.groupBy("host", "whole").agg(F.first("slots").alias("slots"), F.first("prints").alias("prints"), F.first("mains").alias("mains")), "slots")
-    totals = seen.groupBy("host").agg(F.count("*").alias("pages"))
+            for host, layout, body, reference in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found: dict[tuple, list] = {}
+                whole = hashlib.blake2b(digest_size=8)
+                for slot, node in slots_of(_wrapper(reference).read(body)):
+                    mark = _print(node.text)
+                    whole.update(b"%d %d " % (slot, mark))
+                    entry = found.setdefault((slot, mark if slot >= 0 else 0, node.main), [0])
+                    entry[0] += len(node.text)
+                keys = list(found)
+                out.append((host, layout, int.from_bytes(whole.digest(), "little", signed=True), [k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [v[0] for v in found.values()]))
+            columns = list(zip(*out)) or [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "layout", "whole", "slots", "prints", "mains", "chars"])
+
+    seen = _beside(hosted, references, size).select("host", "layout", "html", "reference")
+    seen = seen.mapInArrow(slots, "host string, layout long, whole long, slots array<int>, prints array<long>, mains array<boolean>, chars array<long>")
+    # Equal pages count once: the first of each layout and print.
+    seen = stash(seen.groupBy("host", "layout", "whole").agg(*(F.first(c).alias(c) for c in ("slots", "prints", "mains", "chars"))), "slots")
+    totals = seen.groupBy("host", "layout").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     counted = (
-        seen.select("host", F.explode(F.arrays_zip("slots", "prints", "mains")).alias("x"))
-        .groupBy("host", F.col("x.slots").alias("slot"), F.col("x.prints").alias("print"), F.col("x.mains").alias("main"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min(OUTSIDE[1], INSIDE[1]))
+        seen.select("host", "layout", F.explode(F.arrays_zip("slots", "prints", "mains", "chars")).alias("x"))
+        .groupBy("host", "layout", F.col("x.slots").alias("slot"), F.col("x.prints").alias("print"), F.col("x.mains").alias("main"))
+        .agg(F.count("*").alias("n"), F.sum("x.chars").alias("chars"))
+        .join(totals, ["host", "layout"])
     )
-    often = F.when(F.col("main"), (F.col("n") >= INSIDE[1]) & (F.col("n") >= INSIDE[0] * F.col("pages"))).otherwise((F.col("n") >= OUTSIDE[1]) & (F.col("n") >= OUTSIDE[0] * F.col("pages")))
-    template = counted.join(totals, "host").where(often).groupBy("host").agg(F.collect_list(F.struct("slot", "print")).alias("template"))
-    wrappers = stash(references.join(template, "host", "left"), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("reference") + 16 * F.greatest(F.lit(0), F.size("template")))).first()[0] or 0
+    often = (F.col("slot") >= 0) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.when(F.col("main"), INSIDE).otherwise(OUTSIDE) * F.col("pages"))
+    # A reference page has so many slots; a slot has at most two constant texts.
+    induced = (
+        counted.groupBy("host", "layout", "slot")
+        .agg(F.collect_list(F.when(often, F.struct("slot", "print"))).alias("constant"), F.sum(F.when(~often, F.col("chars"))).alias("chars"))
+        .groupBy("host", "layout")
+        .agg(F.flatten(F.collect_list("constant")).alias("template"), F.collect_list(F.struct("slot", "chars")).alias("varying"))
+    )
+
+    @leave("wrapper")
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                _wrapper(reference).region({v["slot"]: v["chars"] for v in varying if v["chars"]})
+                for reference, varying in zip(batch.column("reference").to_pylist(), batch.column("varying").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "layout", "reference", "template")), pa.array(found, pa.int32())], ["host", "layout", "reference", "template", "region"])
+
+    wrappers = references.join(induced, ["host", "layout"]).mapInArrow(regions, "host string, layout long, reference string, template array<struct<slot:int,print:long>>, region int")
+    wrappers = stash(wrappers, "wrappers")
+    size = wrappers.agg(F.sum(F.octet_length("reference") + 16 * F.size("template"))).first()[0] or 0
 
     @leave("wrapper")
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, reference, constant in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                out.append(main_text(read_page(body, reference), {(c["slot"], c["print"]) for c in constant or ()}))
+            for body, reference, constant, region in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                if reference is None:
+                    out.append(main_text(parse(body), set()))
+                    continue
+                layout = _wrapper(reference)
+                out.append(main_text(layout.read(body), {(c["slot"], c["print"]) for c in constant}, layout.path(region), region))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
-    beside = _beside(named, wrappers, size).select("page_id", "url", "html", "reference", "template")
+    beside = _beside(named, wrappers, size).select("page_id", "url", "html", "reference", "template", "region")
     return beside.mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -120,3 +120,94 @@ def test_wide_and_long_pages(spark):
     wide = [(i, "http://w.example/", "<article>" + "".join(f"<p>{k} {i}</p><div><b>{k}</b></div>" if (k + i) % 7 else f"<ul><li>{k}</ul>" for k in range(1500)) + "</article>") for i in range(2)]
     got = extract(spark, [*wide, (9, "http://w.example/", "<p>" + "long " * 300_000 + "</p>")])
     assert got[0].text.count("\n\n") > 2500 and got[9].n_chars == 5 * 300_000 - 1
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+
+def plain_pages(host, seed, n):
+    """Pages with neither article nor main, class or id, in two layouts, with what a reader would keep.
+
+    Menus, notices and imprints are the same on most pages; asides vary, but outside of the content."""
+    import random
+
+    rng, rows, want = random.Random(seed), [], {}
+    for i in range(n):
+        title, parts = words(rng, 4), [words(rng, rng.randrange(30, 60)) for _ in range(rng.randrange(2, 6))]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        menu = "<ul><li>Home</li><li>News</li><li>Contact</li></ul>"
+        if i % 2:
+            page = f"<body><div>{menu}</div><div><h1>{title}</h1>{body}</div><div><p>{words(rng, 3)}</p></div><div><p>All rights kept</p></div></body>"
+        else:
+            page = f"<body><section>{menu}</section><table><tr><td><p>Weather: {words(rng, 2)}</p></td><td><h1>{title}</h1><p>Please read on</p>{body}</td></tr></table><section>All rights kept</section></body>"
+        rows.append((seed * 1000 + i, f"https://{host}/{i}", f"<!DOCTYPE html><html><head><title>{title}</title></head>{page}</html>"))
+        want[seed * 1000 + i] = "\n\n".join([title, *parts])
+    return rows, want
+
+
+def test_layouts_without_names(spark):
+    first, one = plain_pages("plain.example", 1, 24)
+    second, two = plain_pages("other.example", 2, 13)
+    got = extract(spark, first + second)
+    assert {k: r.text for k, r in got.items()} == {**one, **two}
+    # Too few pages of a layout: nothing is induced and everything stays.
+    few, _ = plain_pages("few.example", 3, 4)
+    got = extract(spark, few)
+    assert all("All rights kept" in r.text and "Home" in r.text for r in got.values())
+
+
+def test_induction_overrules_no_veto(spark):
+    """A region of varying text keeps out what varies beside it, and names keep out what varies in it."""
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(9):
+        parts = [words(rng, 40) for _ in range(3)]
+        inner = f"<p>{parts[0]}</p><div class=ad>{words(rng, 5)}</div><p>{parts[1]}</p><aside>{words(rng, 4)}</aside><p>{parts[2]}</p><div class=comments><p>{words(rng, 6)}</p></div>"
+        rows.append((i, f"http://veto.example/{i}", f"<body><div><p>{words(rng, 3)}</p></div><div><div>{inner}</div></div><div><p>{words(rng, 3)}</p></div></body>"))
+        want[i] = "\n\n".join(parts)
+    assert {k: r.text for k, r in extract(spark, rows).items()} == want
+
+
+def test_long_comments_are_no_region(spark):
+    """Comments that outweigh the story do not become the content."""
+    import random
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(9):
+        story = words(rng, 20)
+        rows.append((i, f"http://talk.example/{i}", f"<body><div><p>{story}</p></div><div id=comments><p>{words(rng, 300)}</p></div></body>"))
+        want[i] = story
+    assert {k: r.text for k, r in extract(spark, rows).items()} == want
+
+
+def test_region_by_its_definition():
+    """The smallest element with the share of the varying text, on random trees."""
+    import random
+
+    rng = random.Random(8)
+
+    def markup(depth):
+        return "".join(f"<div>{markup(depth - 1)}</div>" if depth and rng.random() < 0.6 else f"<p>{'x' * rng.randrange(1, 90)}</p>" for _ in range(rng.randrange(1, 4)))
+
+    for _ in range(80):
+        layout = wrapper.LayoutWrapper(f"<body>{markup(4)}</body>")
+        varying = {n.slot: len(n.text) for n in layout.nodes if n.tag == "#" and rng.random() < 0.8}
+
+        def mass(node):
+            return varying.get(node.slot, 0) + sum(map(mass, node.children))
+
+        total = mass(layout.tree)
+        fit = [n for n in layout.nodes if n.tag == "div" and total and mass(n) >= wrapper.REGION * total]
+        assert layout.region(varying) == (min(fit, key=lambda n: (mass(n), -n.slot)).slot if fit else 0)
+        assert layout.path(layout.region(varying)) >= {0}
+
+
+def test_repeats_and_partitions_change_nothing(spark):
+    rows, want = plain_pages("same.example", 4, 16)
+    df = spark.createDataFrame(rows * 3, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert {(r.page_id, r.text) for r in wrapper.extract(df.repartition(parts)).collect()} == set(want.items())
