@@ -46,9 +46,14 @@ def rule_forecast(series: DataFrame, now: str, hours: int = 24, granularity: str
 
     ``series`` has (kind, current) and any keys; ``sigma`` is the noise as a share of the value.
     """
-    n, step = points(hours, granularity), MINUTES[granularity]
+    return rule_points(series.withColumn("_now", F.lit(now).cast("timestamp_ntz")), "_now", points(hours, granularity), granularity, sigma, seed)
+
+
+def rule_points(series: DataFrame, now: str, n: int, granularity: str, sigma: float = 0.0, seed: int = 7) -> DataFrame:
+    """``rule_forecast`` for ``n`` points after the time in the column ``now``, which goes."""
+    step = MINUTES[granularity]
     rows = series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))) if n > 0 else F.explode(F.array().cast("array<int>")))
-    rows = rows.withColumn("ts", F.lit(now).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("step") * step))
+    rows = rows.withColumn("ts", F.col(now) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("step") * step)).drop(now)
     hour, day = F.hour("ts"), F.weekday("ts")
     factor = F.when((hour >= 9) & (hour <= 18) & (day < 5), 1.2).when(hour < 6, 0.6).otherwise(1.0)
     raw = F.col("current") * (1 + _by_kind(F.col("kind"), GROWTH, 0.01) * F.col("step")) * factor

@@ -309,6 +309,23 @@ def model_selection(spark, d):
     return spark.createDataFrame(scores, "model string, rmse double")
 
 
+FORECAST_FEATURES = ["value", "sin_hour", "cos_hour", "sin_day", "cos_day", "is_business_hour", "is_weekend", "lag_1", "lag_24", "lag_168", "change", "mean_6", "std_6"]
+#: The kind of resource that each series stands for, and the candidate its model is; one has no model.
+FORECAST_KINDS = {"qps": "ridge", "cpu": "boosted", "memory": "forest"}
+
+
+def _kind():
+    return F.when(F.col("metric") == "error", "qps").when(F.col("metric") == "view", "cpu").when(F.col("metric") == "click", "memory").otherwise("disk")
+
+
+@query("model_forecast")
+def model_forecast(spark, d):
+    rows = T.hourly(spark, d)
+    trained = M.with_next(series.training_features(rows).na.fill(0.0)).withColumn("kind", _kind())
+    models = {kind: (M.fit_model(trained.where(F.col("kind") == kind), FORECAST_FEATURES, name), FORECAST_FEATURES) for kind, name in FORECAST_KINDS.items()}
+    return M.model_forecast(M.newest_values(rows).withColumn("kind", _kind()), models, 24)
+
+
 # ---- generators ----
 
 _U = lambda key, salt: f"((('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 12))::BIGINT + 0.5) / {float(16**12)}::DOUBLE)"
