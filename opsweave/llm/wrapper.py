@@ -61,8 +61,8 @@ SAYS_OTHERWISE = frozenset("has have is no not with without hide use js on".spli
 CARRIERS = frozenset("div section ul ol dl p table center figure header details li fieldset hgroup".split())
 MAIN = ("article", "main")
 
-#: Share of a layout's distinct pages that makes the text of a slot template: outside of the main element
-#: and inside of it.
+#: Share of a layout's distinct pages that makes the text of a slot template: more than this outside of the
+#: main element, this at least inside of it.
 OUTSIDE, INSIDE = 0.5, 0.9
 #: Distinct pages from which on a layout is induced; fewer show no difference between template and content.
 LEAST_PAGES = 3
@@ -415,13 +415,13 @@ def region_texts(tree: Node, path: set[int], region: int) -> list[Node] | None:
     return [*before, *_texts(node), *after]
 
 
-def main_text(tree: Node, template: set[tuple[int, int]], path: set[int] = frozenset(), region: int = 0) -> str:
+def main_text(tree: Node, template: dict[int, int], path: set[int] = frozenset(), region: int = 0) -> str:
     """Content joined by blank lines: what varies in the content region if the layout has one and the page's
     holds text, else of the main element if the page has one, else of the page.
 
     What varies is content unless its element or a name says otherwise; where names would leave nothing,
     they are not believed."""
-    varying = [n for n in _texts(tree) if not n.waste and (n.slot < 0 or (n.slot, _print(n.text)) not in template)]
+    varying = [n for n in _texts(tree) if not n.waste and (n.slot not in template or template[n.slot] != _print(n.text))]
     within = region_texts(tree, path, region) if region else None
     ids = set(map(id, within or ()))
     chosen = [n for n in varying if id(n) in ids] or [n for n in varying if n.main] or varying
@@ -482,15 +482,12 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
         for batch in batches:
             out: list[tuple] = []
             for host, layout, body, reference in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                found: dict[tuple, list] = {}
-                whole = hashlib.blake2b(digest_size=8)
-                for slot, node in slots_of(_wrapper(reference).read(body)):
-                    mark = _print(node.text)
-                    whole.update(b"%d %d " % (slot, mark))
-                    entry = found.setdefault((slot, mark if slot >= 0 else 0, node.main), [0])
-                    entry[0] += len(node.text)
-                keys = list(found)
-                out.append((host, layout, int.from_bytes(whole.digest(), "little", signed=True), [k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [v[0] for v in found.values()]))
+                marks, nodes = map(list, zip(*pairs)) if (pairs := list(slots_of(_wrapper(reference).read(body)))) else ([], [])
+                prints = [_print(n.text) for n in nodes]
+                whole = hashlib.blake2b(np.array([marks, prints], "<i8").tobytes(), digest_size=8).digest()
+                # What is unmatched is only measured.
+                kept = [p if slot >= 0 else 0 for slot, p in zip(marks, prints)]
+                out.append((host, layout, int.from_bytes(whole, "little", signed=True), marks, kept, [n.main for n in nodes], [len(n.text) for n in nodes]))
             columns = list(zip(*out)) or [[]] * 7
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "layout", "whole", "slots", "prints", "mains", "chars"])
@@ -500,19 +497,21 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     # Equal pages count once: the first of each layout and print.
     seen = stash(seen.groupBy("host", "layout", "whole").agg(*(F.first(c).alias(c) for c in ("slots", "prints", "mains", "chars"))), "slots")
     totals = seen.groupBy("host", "layout").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    # Counts shrink by text, then by slot, so that of a hot host no more rows come together than its reference has
+    # slots.  One text at most stands on more than half of the pages.
     counted = (
         seen.select("host", "layout", F.explode(F.arrays_zip("slots", "prints", "mains", "chars")).alias("x"))
-        .groupBy("host", "layout", F.col("x.slots").alias("slot"), F.col("x.prints").alias("print"), F.col("x.mains").alias("main"))
-        .agg(F.count("*").alias("n"), F.sum("x.chars").alias("chars"))
+        .groupBy("host", "layout", F.col("x.slots").alias("slot"), F.col("x.prints").alias("print"))
+        .agg(F.count("*").alias("n"), F.max("x.mains").alias("main"), F.sum("x.chars").alias("chars"))
+        .groupBy("host", "layout", "slot")
+        .agg(F.max(F.struct("n", "print", "main", "chars")).alias("most"), F.sum("chars").alias("chars"))
         .join(totals, ["host", "layout"])
     )
-    often = (F.col("slot") >= 0) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.when(F.col("main"), INSIDE).otherwise(OUTSIDE) * F.col("pages"))
-    # A reference page has so many slots; a slot has at most two constant texts.
-    induced = (
-        counted.groupBy("host", "layout", "slot")
-        .agg(F.collect_list(F.when(often, F.struct("slot", "print"))).alias("constant"), F.sum(F.when(~often, F.col("chars"))).alias("chars"))
-        .groupBy("host", "layout")
-        .agg(F.flatten(F.collect_list("constant")).alias("template"), F.collect_list(F.struct("slot", "chars")).alias("varying"))
+    often = F.when(F.col("most.main"), F.col("most.n") >= INSIDE * F.col("pages")).otherwise(F.col("most.n") > OUTSIDE * F.col("pages"))
+    often = often & (F.col("slot") >= 0) & (F.col("most.n") >= LEAST_PAGES)
+    induced = counted.groupBy("host", "layout").agg(
+        F.collect_list(F.when(often, F.struct("slot", F.col("most.print").alias("print")))).alias("template"),
+        F.collect_list(F.struct("slot", (F.col("chars") - F.when(often, F.col("most.chars")).otherwise(0)).alias("chars"))).alias("varying"),
     )
 
     @leave("wrapper")
@@ -534,10 +533,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
             out = []
             for body, reference, constant, region in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 if reference is None:
-                    out.append(main_text(parse(body), set()))
+                    out.append(main_text(parse(body), {}))
                     continue
                 layout = _wrapper(reference)
-                out.append(main_text(layout.read(body), {(c["slot"], c["print"]) for c in constant}, layout.path(region), region))
+                out.append(main_text(layout.read(body), {c["slot"]: c["print"] for c in constant}, layout.path(region), region))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
