@@ -5,11 +5,14 @@ Query sets are the rows whose id is divisible by 50; a document's query is its w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opsweave.functions import text as X
-from opsweave.operators import ivf, postings, retrieval as R
+from opsweave.operators import ivf, postings, retrieval as R, store
 from opsweave.plans.catalog import query
+from opsweave.sources.shared import shared_dir
 from opsweave.sources.tables import read_table
 
 K = 10
@@ -166,3 +169,17 @@ def cache_keys(spark, d):
 @query("text_chunks")
 def text_chunks(spark, d):
     return R.md_chunks(_documents(spark, d)).drop("chunk")
+
+
+@query(
+    "store_upsert",
+    f"WITH d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), t AS (SELECT md5(text) AS doc_id, len(list_distinct({_TOKENS})) AS n_terms FROM d) SELECT doc_id, n_terms FROM t WHERE n_terms > 0",
+)
+def store_upsert(spark, d):
+    """Documents of even ids are stored, then all documents are upserted."""
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    docs = _documents(spark, d).join(vectors, "doc_id", "left").select("doc_id", F.col("text").alias("content"), F.col("doc_id").cast("string").alias("metadata"), "embedding")
+    folder = f"{shared_dir(spark)}/opsweave-store-{uuid.uuid4().hex}"
+    store.build(docs.where("doc_id % 2 = 0"), folder)
+    store.upsert(docs, folder)
+    return store.load(spark, folder, "postings").groupBy("doc_id").agg(F.count("*").alias("n_terms"))
