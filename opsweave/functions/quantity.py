@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cpu_cores(text: Column) -> Column:
@@ -132,3 +132,46 @@ def convert(value: Column, source: str, target: str) -> Column:
         if source in units and target in units:
             return F.round(value * units[source] / units[target], 6)
     return F.lit(None).cast("double")
+
+
+# What one unit is in others.  Only these pairs convert, so a unit may be a target and no source.
+FACTORS = {
+    "length": {
+        "m": {"m": 1, "cm": 100, "mm": 1000, "km": 0.001, "ft": 3.28084, "in": 39.3701, "yd": 1.09361},
+        "cm": {"m": 0.01, "cm": 1, "mm": 10, "km": 0.00001, "ft": 0.0328084, "in": 0.393701, "yd": 0.0109361},
+        "ft": {"m": 0.3048, "cm": 30.48, "mm": 304.8, "km": 0.0003048, "ft": 1, "in": 12, "yd": 0.333333},
+    },
+    "weight": {
+        "kg": {"kg": 1, "g": 1000, "mg": 1000000, "lb": 2.20462, "oz": 35.274},
+        "g": {"kg": 0.001, "g": 1, "mg": 1000, "lb": 0.00220462, "oz": 0.035274},
+        "lb": {"kg": 0.453592, "g": 453.592, "mg": 453592, "lb": 1, "oz": 16},
+    },
+    "storage": {
+        "b": {"b": 1, "kb": 0.0009765625, "mb": 0.000000953674, "gb": 0.000000000931323, "tb": 0.000000000000909495},
+        "kb": {"b": 1024, "kb": 1, "mb": 0.0009765625, "gb": 0.000000953674, "tb": 0.000000000931323},
+        "mb": {"b": 1048576, "kb": 1024, "mb": 1, "gb": 0.0009765625, "tb": 0.000000953674},
+        "gb": {"b": 1073741824, "kb": 1048576, "mb": 1024, "gb": 1, "tb": 0.0009765625},
+    },
+    "time": {
+        "s": {"s": 1, "min": 1 / 60, "h": 1 / 3600, "day": 1 / 86400, "ms": 1000, "us": 1000000},
+        "min": {"s": 60, "min": 1, "h": 1 / 60, "day": 1 / 1440, "ms": 60000, "us": 60000000},
+        "h": {"s": 3600, "min": 60, "h": 1, "day": 1 / 24, "ms": 3600000, "us": 3600000000},
+    },
+}
+TEMPERATURES = ("c", "f", "k")
+
+
+def unit_pairs() -> list[tuple[str, str, str, float, float, float]]:
+    """(category, source, target, less, factor, plus) of every pair: (value - less) * factor + plus."""
+    pairs = [(kind, a, b, 0.0, float(x), 0.0) for kind, units in FACTORS.items() for a, targets in units.items() for b, x in targets.items()]
+    freezing, degree = {"c": 0.0, "f": 32.0, "k": 273.15}, {"c": 1.0, "f": 1.8, "k": 1.0}
+    return pairs + [("temperature", a, b, freezing[a], degree[b] / degree[a], freezing[b]) for a in TEMPERATURES for b in TEMPERATURES]
+
+
+def convert_rows(df: DataFrame, value: str, category: str, source: str, target: str) -> DataFrame:
+    """Adds ``converted``, each row's value in its own target unit, rounded to six places; units in any case.  A
+    pair that is not in the table, and a null, give null.  The table has some hundred rows and is broadcast."""
+    table = df.sparkSession.createDataFrame(unit_pairs(), "_kind string, _from string, _to string, _less double, _factor double, _plus double")
+    same = (F.col(category) == F.col("_kind")) & (F.lower(source) == F.col("_from")) & (F.lower(target) == F.col("_to"))
+    joined = df.join(F.broadcast(table), same, "left")
+    return joined.withColumn("converted", F.round((F.col(value).cast("double") - F.col("_less")) * F.col("_factor") + F.col("_plus"), 6)).drop("_kind", "_from", "_to", "_less", "_factor", "_plus")

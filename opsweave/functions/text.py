@@ -34,7 +34,7 @@ def tidy_markdown(text: Column) -> Column:
 def structure(text: Column) -> dict[str, Column]:
     """Counts and flags of a text's layout."""
     return {
-        "n_words": F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")),
+        "n_words": F.size(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")),
         "n_chars": F.length(text),
         "n_lines": F.size(F.split(text, "\n")),
         "has_code": F.contains(text, F.lit(FENCE)),
@@ -56,19 +56,27 @@ def quick_structure(text: Column) -> dict[str, Column]:
     }
 
 
-def cache_keywords(text: Column, most: int = 8) -> Column:
-    """Words without stop words and single characters: the longest first, at most ``most``, then in
-    alphabetical order.  Words of equal length go by the alphabet."""
-    useful = F.array_distinct(F.filter(tokens(text), lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS)))
+def longest_words(words: Column, most: int = 8) -> Column:
+    """Distinct words without stop words and single characters: the longest ``most``, in alphabetical order.
+    Words of equal length go by the alphabet."""
+    useful = F.array_distinct(F.filter(words, lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS)))
     by_length = F.array_sort(F.transform(useful, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word"))))
     return F.array_sort(F.transform(F.slice(by_length, 1, most), lambda x: x["word"]))
 
 
-def cache_key(text: Column, most: int = 8) -> Column:
-    return F.sha2(F.array_join(cache_keywords(text, most), " "), 256)
+def cache_keywords(text: Column, most: int = 8) -> Column:
+    return longest_words(tokens(text), most)
+
+
+def spaced_words(text: Column) -> Column:
+    """What white space separates, unchanged."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
 
-def token_overlap(query: Column, text: Column, first: int = 100) -> Column:
-    """Share of a query's distinct words among the first words of a text."""
-    q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.slice(tokens(text), 1, first))) / F.size(q)).otherwise(F.lit(0.0))
+def cache_key(text: Column, most: int = 8, before: Column | None = None, most_before: int = 3) -> Column:
+    """Hash of a question's keywords, and of the longest words of the exchange ``before`` it where that has any."""
+    key = F.array_join(cache_keywords(text, most), "|")
+    if before is not None:
+        context = longest_words(spaced_words(F.coalesce(before, F.lit(""))), most_before)
+        key = F.when(F.size(context) > 0, F.concat(key, F.lit("|ctx:"), F.array_join(context, "|"))).otherwise(key)
+    return F.sha2(key, 256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Tables = dict[str, DataFrame]
 FINDING = ("rule_id", "severity", "resource", "message")
@@ -123,6 +123,75 @@ def distinct_recommendations(df: DataFrame, limit: int = 10) -> DataFrame:
     return df.groupBy("recommendation").agg(F.min("seq").alias("seq")).orderBy("seq", "recommendation").limit(limit)
 
 
+# What is recommended whenever a finding is high.
+GENERAL = ("为核心服务启用 HPA/VPA", "配置 PDB 保障可用性")
+
+
+def collected_recommendations(df: DataFrame, limit: int = 10) -> DataFrame:
+    """(place, recommendation) from (seq, severity, recommendation): each once, in the order first seen, then the
+    general ones if any finding is high; the first ``limit`` of all.  Null recommendations are none."""
+    seen = df.where(F.col("recommendation").isNotNull()).groupBy("recommendation").agg(F.min("seq").alias("_seq")).select(F.lit(0).alias("_part"), "_seq", "recommendation")
+    high = df.agg(F.coalesce(F.max(F.col("severity") == "high"), F.lit(False)).alias("_high")).where("_high")
+    general = high.select(F.lit(1).alias("_part"), F.posexplode(F.array(*map(F.lit, GENERAL))).alias("_seq", "recommendation")).withColumn("_seq", F.col("_seq").cast("long"))
+    order = ("_part", "_seq", "recommendation")
+    first = seen.withColumn("_seq", F.col("_seq").cast("long")).unionByName(general).orderBy(*order).limit(limit)
+    return first.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "recommendation")  # at most ``limit`` rows
+
+
+def numbered_findings(findings: DataFrame) -> DataFrame:
+    """Adds ``n``, from 1, by rule and within it by the hash of the resource, resource and message.  Rows are numbered
+    in 256 buckets a rule and the counts before a bucket added, so that one rule may have most findings."""
+    rows = findings.withColumn("_bucket", F.substring(F.md5(F.coalesce("resource", F.lit(""))), 1, 2))
+    counts = rows.groupBy("rule_id", "_bucket").agg(F.count("*").alias("_count"))
+    before = Window.orderBy("rule_id", "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each rule and bucket
+    offsets = counts.select("rule_id", "_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("rule_id", "_bucket").orderBy("resource", "message"))
+    numbered = rows.withColumn("_inside", inside).join(F.broadcast(offsets), ["rule_id", "_bucket"])
+    return numbered.withColumn("n", F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
+
+
+def report_rows(findings: DataFrame, recommendations: DataFrame, report_id: str, scope: str, namespace: str = "", checks: int = len(RULES)) -> DataFrame:
+    """(section, n, part, line): an inspection report in Markdown, a row a line, in the order of its first columns.
+
+    Sections: 1 title and overview, 2 findings (numbered, with resource and message where they have one), 3
+    recommendations, 4 counts by rule.  Findings and recommendations stay distributed; a report without any says so.
+    """
+    total = findings.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SCORES])
+    number = lambda c: F.col(c).cast("string")
+    levels = F.concat_ws("/", *[number(s) for s in SCORES])
+    overview = F.concat(F.lit(f"- 检查数: {checks}，问题: "), number("total"), F.lit(" (H/M/L: "), levels, F.lit(")"))
+    head = F.array(F.lit(f"# 巡检报告 {report_id}"), F.lit(""), F.lit("## 概览"), F.lit(f"- 范围: {scope} {namespace}"), overview, F.lit(""))
+
+    def lines(df: DataFrame, section: int, n: Column, texts: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), n.cast("long").alias("n"), F.posexplode(F.array_compact(texts)).alias("part", "line"))
+
+    def text(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    none, last = F.lit(0), (1 << 62)
+    each = numbered_findings(findings)
+    level = F.upper(F.coalesce("severity", F.lit("low")))
+    where = F.replace("resource", F.lit("/"), F.lit(":"))
+    body = F.array(text(number("n"), ". [", level, "] ", F.col("rule_id")), F.when(F.col("resource") != "", text("   - 资源: ", where)), F.when(F.col("message") != "", text("   - 描述: ", F.col("message"))))
+    advised = recommendations.agg(F.count("*").alias("k"))
+    by_rule = findings.groupBy("rule_id").agg(F.count("*").alias("k"))
+    sections = [
+        lines(total, 1, none, head),
+        lines(total, 2, none, F.array(F.lit("## 发现列表"), F.when(F.col("total") == 0, "无显著问题"))),
+        lines(each, 2, F.col("n"), body),
+        lines(total, 2, F.lit(last), F.array(F.lit(""))),
+        lines(advised, 3, none, F.array(F.lit("## 建议"), F.when(F.col("k") == 0, "- 暂无"))),
+        lines(recommendations, 3, F.col("place"), F.array(text("- ", F.col("recommendation")))),
+        lines(advised, 3, F.lit(last), F.array(F.lit(""))),
+        lines(total, 4, none, F.array(F.lit("## 统计"))),
+        lines(by_rule.withColumn("n", F.row_number().over(Window.orderBy("rule_id"))), 4, F.col("n"), F.array(text("- ", F.col("rule_id"), ": ", number("k")))),
+    ]
+    out = sections[0]
+    for section in sections[1:]:
+        out = out.unionByName(section)
+    return out
+
+
 def pod_overview(pods: DataFrame) -> DataFrame:
     """(namespace, name, phase, ready ``r/t``, restarts) of each pod."""
     held = F.coalesce("containers", F.array())

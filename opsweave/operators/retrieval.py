@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from opsweave.functions.text import token_overlap, tokens
+from opsweave.functions.text import spaced_words, tokens
 
 LEAST_SIMILARITY = 0.05
 #: Queries that are broadcast at once; more are searched block after block.
@@ -183,9 +183,22 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     return rows.groupBy("query_id").applyInArrow(choose, "query_id long, doc_id long, rank int")
 
 
-def rerank(candidates: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
-    """Adds ``reranked``: 0.6 of the score and 0.4 of the share of query words in the text's first 100."""
-    return candidates.withColumn("reranked", F.lit(0.6) * F.col("score") + F.lit(0.4) * token_overlap(F.col(query), F.col(text)))
+def rerank(candidates: DataFrame, query: str = "query", text: str = "text", first: int = 100) -> DataFrame:
+    """Adds ``reranked``: 0.6 of the score (0.5 where it is null) and 0.4 of the share of a query's distinct words, as white
+    space separates them, that are among the text's first 100.  A query without words has no share."""
+    asked = F.array_distinct(spaced_words(F.lower(F.coalesce(query, F.lit("")))))
+    seen = F.slice(spaced_words(F.lower(F.coalesce(text, F.lit("")))), 1, first)
+    share = F.size(F.array_intersect(asked, seen)) / F.greatest(F.size(asked), F.lit(1))
+    return candidates.withColumn("reranked", F.lit(0.6) * F.coalesce("score", F.lit(0.5)) + F.lit(0.4) * share)
+
+
+def best_reranked(candidates: DataFrame, k: int = 5, least: float = 0.1, query: str = "query", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, reranked, rank, text): candidates over ``least`` by their reranked score, ties by doc_id, numbered;
+    with ``k`` None all.  Candidates of a query are bounded by the search before."""
+    scored = rerank(candidates, query, text).where(F.col("reranked") > least)
+    order = Window.partitionBy("query_id").orderBy(F.round("reranked", 9).desc(), "doc_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "reranked", "rank", text)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 # What makes a query ask for an overview, and the words that then lift or lower a document.

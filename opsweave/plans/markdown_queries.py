@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsweave.functions import text as X
 from opsweave.operators import markdown as M
-from opsweave.plans.catalog import query
+from opsweave.plans.catalog import ORACLE_SQL, query
 from opsweave.sources import tables as T
 
 _MD = f"WITH {T.MARKDOWN_SQL}"
@@ -141,6 +141,20 @@ def text_quality(spark, d):
     )
 
 
+@query(
+    "enhanced_weights",
+    "WITH tq AS (" + ORACLE_SQL["text_quality"] + """)
+    SELECT doc_id, round(greatest(0.5, least(2.0, (0.4 + 0.3 * (doc_id % 7)) * CASE WHEN depth > 0.7 THEN 1.2 WHEN depth > 0.5 THEN 1.1 ELSE 1.0 END
+        * CASE complexity WHEN 'moderate' THEN 1.05 WHEN 'complex' THEN 1.1 WHEN 'expert' THEN 1.15 ELSE 1.0 END))::DOUBLE, 6) AS semantic_weight,
+      round(greatest(0.5, least(2.0, (0.4 + 0.4 * (doc_id % 5)) * CASE WHEN completeness > 0.8 THEN 1.15 WHEN completeness > 0.6 THEN 1.05 ELSE 1.0 END))::DOUBLE, 6) AS structural_weight FROM tq""",
+)
+def enhanced_weights(spark, d):
+    # The weights before follow from the number, so that both ends of the range are met.
+    rows = text_quality(spark, d).withColumns({"semantic_weight": 0.4 + 0.3 * (F.col("doc_id") % 7), "structural_weight": 0.4 + 0.4 * (F.col("doc_id") % 5)})
+    out = M.enhanced_weights(rows, F.col("depth"), F.col("completeness"), F.col("complexity"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("semantic_weight", "structural_weight")])
+
+
 @query(
     "content_patterns",
     _MD

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opsweave.functions import logtext, quantity as Q
 from opsweave.operators import anomaly, cluster_events as ev, diagnosis as D, inspection, logs, models as M, rca, series, statistics as S
 from opsweave.plans.catalog import ORACLE_SQL, query
-from opsweave.plans.cluster_queries import _E, _LEVELS, _events, _lines
-from opsweave.sources import generators as G, tables as T
+from opsweave.plans.cluster_queries import _E, _FINDINGS, _LEVELS, _events, _lines, _tables
+from opsweave.sources import generators as G, ranges, tables as T
+from opsweave.sources.shared import shared_dir, written
 
 _H = f"WITH {T.HOURLY_SQL}"
 
@@ -593,3 +596,72 @@ def first_lines(spark, d):
 )
 def log_error_groups(spark, d):
     return logs.errors_by_pod(_lines(spark, d))
+
+
+# ---- units, recommendations, reports, stored ranges ----
+
+_PAIRS = [p[:3] for p in Q.unit_pairs()] + [("length", "km", "m"), ("weight", "oz", "g"), ("time", "day", "h"), ("storage", "tb", "b"), ("speed", "m", "s")]
+
+
+def _unit_sql() -> str:
+    """Factors as SQL of their own form: linear ones from the table, temperatures by their formulas."""
+    rows = ", ".join(f"({i}, '{a}', '{b}', '{c}', {Q.FACTORS[a][b][c]!r}::DOUBLE)" if c in Q.FACTORS.get(a, {}).get(b, {}) else f"({i}, '{a}', '{b}', '{c}', NULL)" for i, (a, b, c) in enumerate(_PAIRS))
+    celsius = "CASE f WHEN 'c' THEN v WHEN 'f' THEN (v - 32) * 5 / 9 ELSE v - 273.15 END"
+    return f"""WITH u(i, kind, f, t, x) AS (VALUES {rows}), p AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS v, p_partkey % {len(_PAIRS)} AS i FROM part)
+    SELECT p_partkey, f AS source, t AS target, round(CASE WHEN kind <> 'temperature' THEN v * x WHEN f = t THEN v WHEN t = 'c' THEN {celsius} WHEN t = 'f' THEN ({celsius}) * 9 / 5 + 32 ELSE ({celsius}) + 273.15 END, 6) AS converted FROM p JOIN u USING (i)"""
+
+
+@query("unit_rows", _unit_sql())
+def unit_rows(spark, d):
+    pairs = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "source", "target"), p)]) for p in _PAIRS])
+    rows = T.read_table(spark, d, "part").select("p_partkey", "p_retailprice", F.element_at(pairs, (F.col("p_partkey") % len(_PAIRS) + 1).cast("int")).alias("u"))
+    rows = rows.select("p_partkey", "p_retailprice", "u.*")
+    return Q.convert_rows(rows, "p_retailprice", "kind", "source", "target").select("p_partkey", "source", "target", "converted")
+
+
+#: Parts as findings: a recommendation by brand, high where the part is large.
+def _advice(spark, d, brands: int):
+    rows = T.read_table(spark, d, "part").where(F.substring("p_brand", 7, 2).cast("int") < brands)
+    severity = F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 20, "medium").otherwise("low")
+    return rows.select(F.col("p_partkey").alias("seq"), severity.alias("severity"), F.concat("p_brand", F.lit(" check")).alias("recommendation"))
+
+
+def _advice_sql(brands: int) -> str:
+    return f"""adv AS (SELECT * FROM part WHERE CAST(substr(p_brand, 7, 2) AS INT) < {brands}),
+    rec AS (SELECT p_brand || ' check' AS recommendation, 0 AS k, min(p_partkey) AS seq FROM adv GROUP BY 1
+      UNION ALL SELECT r, 1, s FROM (VALUES ('为核心服务启用 HPA/VPA', 0), ('配置 PDB 保障可用性', 1)) v(r, s) WHERE EXISTS (SELECT 1 FROM adv WHERE p_size > 40)),
+    adviced AS (SELECT CAST(row_number() OVER (ORDER BY k, seq, recommendation) AS INT) AS place, recommendation FROM rec QUALIFY place <= 10)"""
+
+
+@query("collected_recommendations", f"WITH {_advice_sql(15)} SELECT * FROM adviced")
+def collected_recommendations(spark, d):
+    return inspection.collected_recommendations(_advice(spark, d, 15))
+
+
+@query(
+    "report_markdown",
+    _FINDINGS
+    + f""", {_advice_sql(15)}, o AS (SELECT *, row_number() OVER (ORDER BY rule_id, substr(md5(resource), 1, 2), resource, message) AS n FROM f),
+    c AS (SELECT count(*) AS t, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, count(*) FILTER (severity = 'low') AS l FROM f), z AS (SELECT CAST(4611686018427387904 AS BIGINT) AS z),
+    r AS (SELECT rule_id, count(*) AS k, row_number() OVER (ORDER BY rule_id) AS n FROM f GROUP BY rule_id),
+    a AS (SELECT 1 AS section, 0 AS n, ['# 巡检报告 r-1', '', '## 概览', '- 范围: cluster ', '- 检查数: 9，问题: ' || t || ' (H/M/L: ' || h || '/' || m || '/' || l || ')', ''] AS x FROM c
+      UNION ALL SELECT 2, 0, CASE WHEN t = 0 THEN ['## 发现列表', '无显著问题'] ELSE ['## 发现列表'] END FROM c
+      UNION ALL SELECT 2, n, [n || '. [' || upper(severity) || '] ' || rule_id, '   - 资源: ' || replace(resource, '/', ':'), '   - 描述: ' || message] FROM o
+      UNION ALL SELECT 2, z, [''] FROM z UNION ALL SELECT 3, 0, ['## 建议'] FROM z UNION ALL SELECT 3, place, ['- ' || recommendation] FROM adviced UNION ALL SELECT 3, z, [''] FROM z
+      UNION ALL SELECT 4, 0, ['## 统计'] FROM z UNION ALL SELECT 4, n, ['- ' || rule_id || ': ' || k] FROM r)
+    SELECT section, n, CAST(unnest(range(len(x))) AS INT) AS part, unnest(x) AS line FROM a""",
+)
+def report_markdown(spark, d):
+    findings = written(inspection.inspect(_tables(spark, d)), "findings")
+    return inspection.report_rows(findings, inspection.collected_recommendations(_advice(spark, d, 15)), "r-1", "cluster")
+
+
+@query(
+    "stored_range",
+    """SELECT event_type AS metric, 'pod-' || CAST(user_id % 5 AS VARCHAR) AS pod, date_trunc('minute', ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY ALL""",
+)
+def stored_range(spark, d):
+    path = f"{shared_dir(spark)}/opsweave-pages-{uuid.uuid4().hex}"
+    ranges.write_pages(T.samples(spark, d), path)
+    rows = ranges.read_pages(spark, path).withColumn("pod", F.element_at("labels", "pod"))
+    return series.resample(rows, "1 minute", by=["metric", "pod"]).withColumn("value", F.round("value", 6))

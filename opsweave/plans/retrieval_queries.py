@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from opsweave.functions import text as X
-from opsweave.operators import ivf, postings, retrieval as R, store
+from opsweave.operators import hierarchy as H, ivf, postings, retrieval as R, store
 from opsweave.plans.catalog import query
 from opsweave.sources.shared import shared_dir
 from opsweave.sources.tables import read_table
@@ -160,12 +160,57 @@ def text_structure(spark, d):
     "cache_keys",
     "WITH t AS (SELECT doc_id, list_distinct(list_filter(" + _TOKENS + ", lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + """))) AS w FROM documents),
     s AS (SELECT doc_id, unnest(w) AS word FROM t), b AS (SELECT doc_id, word FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) <= 8)
-    SELECT doc_id, sha256(coalesce(k, '')) AS cache_key FROM documents LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS k FROM b GROUP BY doc_id) USING (doc_id)""",
+    SELECT doc_id, sha256(coalesce(k, '')) AS cache_key FROM documents LEFT JOIN (SELECT doc_id, string_agg(word, '|' ORDER BY word) AS k FROM b GROUP BY doc_id) USING (doc_id)""",
 )
 def cache_keys(spark, d):
     return _documents(spark, d).select("doc_id", X.cache_key(F.coalesce("text", F.lit(""))).alias("cache_key"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(
+    "cache_keys_in_session",
+    f"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter({_TOKENS}, lambda x: length(x) > 1 AND x NOT IN ({_STOP})))) AS word FROM documents),
+    b AS (SELECT doc_id, word FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) <= 8),
+    k AS (SELECT doc_id, string_agg(word, '|' ORDER BY word) AS k FROM b GROUP BY doc_id),
+    u AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})))) AS word FROM documents),
+    c AS (SELECT doc_id, word FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) <= 3),
+    x AS (SELECT doc_id + 1 AS doc_id, string_agg(word, '|' ORDER BY word) AS ctx FROM c GROUP BY doc_id)
+    SELECT doc_id, sha256(coalesce(k, '') || coalesce('|ctx:' || ctx, '')) AS cache_key FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN x USING (doc_id)""",
+)
+def cache_keys_in_session(spark, d):
+    # The document before plays the exchange before.
+    docs = _documents(spark, d)
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
+    return docs.join(before, "doc_id", "left").select("doc_id", X.cache_key(F.coalesce("text", F.lit("")), before=F.col("before")).alias("cache_key"))
+
+
+_SPACED = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '\\s+'), lambda x: x <> '')"
+
+
+@query(
+    "reranked",
+    f"""WITH {_LEXICAL}, best AS ({_best('hit', 3 * K)}),
+    w AS (SELECT doc_id, list_distinct({_SPACED.format('text')}) AS asked, {_SPACED.format('text')}[1:100] AS seen FROM documents),
+    s AS (SELECT b.query_id, b.doc_id, 0.6 * b.score + 0.4 * len(list_intersect(q.asked, v.seen)) / greatest(len(q.asked), 1) AS reranked FROM best b JOIN w q ON q.doc_id = b.query_id JOIN w v ON v.doc_id = b.doc_id)
+    SELECT query_id, doc_id, round(reranked, 6) AS reranked, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(reranked, 9) DESC, doc_id) AS INT) AS rank FROM s WHERE reranked > 0.1""",
+)
+def reranked(spark, d):
+    return _reranked(spark, d).withColumn("reranked", F.round("reranked", 6)).drop("text")
+
+
+def _reranked(spark, d):
+    asked = _questions(spark, d).withColumnRenamed("text", "query")
+    found = _lexical(spark, d, 3 * K).select("query_id", "doc_id", "score")
+    return R.best_reranked(found.join(_documents(spark, d), "doc_id").join(asked, "query_id"), k=None)
+
+
+@query("reranked_diverse")
+def reranked_diverse(spark, d):
+    return H.diverse(_reranked(spark, d), 0.7, 5).select("query_id", "doc_id", "rank")
+
+
 @query("text_chunks")
 def text_chunks(spark, d):
     return R.md_chunks(_documents(spark, d)).drop("chunk")
