@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from opsweave.functions import logtext, quantity as Q
-from opsweave.operators import anomaly, cluster_events as ev, diagnosis as D, inspection, logs, models as M, rca, series, statistics as S
+from opsweave.operators import anomaly, cluster_events as ev, diagnosis as D, inspection, listings, logs, models as M, rca, series, statistics as S
 from opsweave.plans.catalog import ORACLE_SQL, query
 from opsweave.plans.cluster_queries import _E, _FINDINGS, _LEVELS, _events, _lines, _tables
 from opsweave.sources import generators as G, ranges, tables as T
@@ -665,3 +665,55 @@ def stored_range(spark, d):
     ranges.write_pages(T.samples(spark, d), path)
     rows = ranges.read_pages(spark, path).withColumn("pod", F.element_at("labels", "pod"))
     return series.resample(rows, "1 minute", by=["metric", "pod"]).withColumn("value", F.round("value", 6))
+
+
+# ---- listings ----
+
+
+def _meta(name, namespace, annotations=None, app=None):
+    none = F.lit(None)
+    labels = F.create_map(F.lit("app"), app) if app is not None else none.cast("map<string,string>")
+    return F.struct(name.alias("name"), namespace.alias("namespace"), none.cast("timestamp").alias("creation_timestamp"), (none.cast("map<string,string>") if annotations is None else annotations).alias("annotations"), labels.alias("labels"))
+
+
+@query(
+    "rollout_history",
+    """SELECT o_orderpriority AS namespace, 'dep-' || CAST(o_custkey AS VARCHAR) AS deployment, CAST(o_orderkey AS INT) AS revision, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE '未记录' END AS change_cause,
+    'rs-' || CAST(o_orderkey AS VARCHAR) AS replica_set, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 7 END AS INT) AS replicas, CAST(o_orderkey % 2 AS INT) AS ready FROM orders WHERE o_orderkey % 4 > 0""",
+)
+def rollout_history(spark, d):
+    # Orders as replica sets of their customer; one in four has no usable revision.
+    key = F.col("o_orderkey")
+    revision = F.when(key % 8 == 0, "latest").when(key % 4 > 0, key.cast("string"))
+    noted = F.map_filter(F.create_map(F.lit(listings.REVISION), revision, F.lit(listings.CAUSE), F.when(key % 3 == 0, F.col("o_orderstatus"))), lambda _, v: v.isNotNull())
+    name = F.concat(F.lit("rs-"), key.cast("string"))
+    meta = _meta(name, F.col("o_orderpriority"), noted, F.concat(F.lit("dep-"), F.col("o_custkey").cast("string")))
+    sets = T.read_table(spark, d, "orders").select(meta.alias("metadata"), F.struct(F.when(key % 5 > 0, key % 7).cast("int").alias("replicas")).alias("spec"), F.struct((key % 2).cast("int").alias("ready_replicas")).alias("status"))
+    return listings.rollout_history(sets).drop("created")
+
+
+@query(
+    "autoscaler_list",
+    "SELECT c_mktsegment AS namespace, 'hpa-' || CAST(c_custkey AS VARCHAR) AS name, 'Deployment/dep-' || CAST(c_custkey AS VARCHAR) AS target, CAST(1 AS INT) AS min, CAST(c_custkey % 9 + 1 AS INT) AS max, CAST(c_custkey % 4 AS INT) AS current, CAST(c_custkey % 5 AS INT) AS desired FROM customer",
+)
+def autoscaler_list(spark, d):
+    key, name = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    target = F.struct(F.lit("apps/v1").alias("api_version"), F.lit("Deployment").alias("kind"), F.concat(F.lit("dep-"), name).alias("name"))
+    spec = F.struct(target.alias("scale_target_ref"), F.lit(1).alias("min_replicas"), (key % 9 + 1).cast("int").alias("max_replicas"))
+    status = F.struct((key % 4).cast("int").alias("current_replicas"), (key % 5).cast("int").alias("desired_replicas"))
+    return listings.autoscalers(T.read_table(spark, d, "customer").select(_meta(F.concat(F.lit("hpa-"), name), F.col("c_mktsegment")).alias("metadata"), spec.alias("spec"), status.alias("status")))
+
+
+@query(
+    "quota_list",
+    """WITH q AS (SELECT p_brand AS namespace, 'quota-' || CAST(p_partkey AS VARCHAR) AS name, p_partkey, CAST(p_size AS VARCHAR) AS s FROM part)
+    SELECT namespace, name, 'cpu' AS resource, s AS hard, CASE WHEN p_partkey % 3 > 0 THEN s END AS used FROM q WHERE p_partkey % 2 = 0
+    UNION ALL SELECT namespace, name, 'cpu', NULL, s FROM q WHERE p_partkey % 2 = 1 AND p_partkey % 3 > 0""",
+)
+def quota_list(spark, d):
+    # Parts as quotas; every second one grants nothing, every third one uses nothing.
+    key, size = F.col("p_partkey"), F.create_map(F.lit("cpu"), F.col("p_size").cast("string"))
+    meta = _meta(F.concat(F.lit("quota-"), key.cast("string")), F.col("p_brand"))
+    spec = F.struct(F.when(key % 2 == 0, size).alias("hard"), F.lit(None).cast("array<string>").alias("scopes"))
+    rows = T.read_table(spark, d, "part").select(meta.alias("metadata"), spec.alias("spec"), F.struct(F.when(key % 3 > 0, size).alias("used")).alias("status"))
+    return listings.quota_rows(listings.quotas(rows))

@@ -82,3 +82,23 @@ def test_diverse_choice_is_the_greedy_one(spark, data_dir):
     for r in E.queries()["reranked_diverse"](spark, data_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
     assert got == {q: [d for d, _ in kept] for q, kept in taken.items() if kept}
+
+
+def test_listings_from_files(spark, tmp_path):
+    from opsweave.operators import listings as L
+    from opsweave.sources import tables as T
+
+    def read(text, schema):
+        (tmp_path / "x.json").write_text(text)
+        return T.read_inventory(spark, str(tmp_path / "x.json"), schema)
+
+    meta = '"metadata":{"name":"a","namespace":"n","labels":{"app":"web"},"annotations":%s}'
+    sets = "{%s}\n{%s,\"spec\":{\"replicas\":2}}\n{%s}\n" % (meta % "null", meta % '{"deployment.kubernetes.io/revision":"10"}', meta % '{"deployment.kubernetes.io/revision":"x"}')
+    got = L.rollout_history(read(sets, L.REPLICA_SETS)).collect()
+    assert [(r.deployment, r.revision, r.change_cause, r.replicas, r.ready) for r in got] == [("web", 10, L.NO_CAUSE, 2, 0)]
+    quota = "{%s,\"spec\":{\"hard\":{\"pods\":\"4\"}},\"status\":{\"used\":{\"cpu\":\"1\"}}}\n{%s}\n" % (meta % "{}", meta % "{}")
+    maps = L.quotas(read(quota, L.QUOTAS))
+    assert sorted((r.hard.get("pods", ""), r.used.get("cpu", ""), r.scopes) for r in maps.collect()) == [("", "", []), ("4", "1", [])]
+    assert sorted((r.resource, r.hard, r.used) for r in L.quota_rows(maps).collect()) == [("cpu", None, "1"), ("pods", "4", None)]
+    scaler = '{%s,"spec":{"scale_target_ref":{"kind":"Deployment","name":"web"},"max_replicas":3}}' % (meta % "{}")
+    assert L.autoscalers(read(scaler, L.AUTOSCALERS)).first() == ("n", "a", "Deployment/web", None, 3, None, None)
