@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding with a public word-level vocabulary.
 
-New words are encoded many at a time: a pair occurrence index maps each mergeable pair to all
-its positions in the batch, active ranks are applied in ascending order, and the occurrence
-lists of the neighbouring pairs are updated.  Encodings of words are kept in a bounded cache.
+New words are encoded many at a time: a pair occurrence index holds the mergeable pairs at all
+positions of the batch, each word's ranks are applied in ascending order, those of all words in
+the same rounds, and the neighbouring pairs are updated in the index.  Encodings of words are kept
+in a bounded cache.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -28,6 +30,12 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 60_000
 #: Bytes of text whose new words are merged together.
 BATCH_BYTES = 1 << 20
+#: Bytes of a word beyond which it is encoded by itself.
+LONG_WORD = 64
+#: Bits of a slot's number in the hash table of pairs, five slots for each pair of the vocabulary.
+SLOT_BITS = 18
+#: Stands between the ids of two parts; every four bytes in a row of ids have two of zero.
+BETWEEN = b"\xff\xff\xff\xff"
 
 # Fixed value of the vocabulary's file: its split pattern; here a line feed, which no part has, stands by itself.
 SPLIT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -49,56 +57,160 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
 class PairIndexEncoder:
-    """Encodes batches of words with the merges of a vocabulary file."""
+    """Encodes batches of words with the merges of a vocabulary file.
+
+    ``encode_words`` gives the ids of each word as little-endian unsigned 32-bit integers.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.vocabulary: dict[str, int] = model["vocab"]
+        vocabulary: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocabulary | self.special).items()}
+        self.tokens = {i: t for t, i in (vocabulary | self.special).items()}
         suffix = model["end_of_word_suffix"]
         letters = byte_alphabet()
-        self.inner = [self.vocabulary[c] for c in letters]
-        self.last = [self.vocabulary[c + suffix] for c in letters]
-        #: rank -> (left, right, merged); pair as one integer -> rank
-        self.merges = [(self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]) for a, b in model["merges"]]
-        self.ranks = {a << 20 | b: rank for rank, (a, b, _) in reversed(list(enumerate(self.merges)))}
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+        self.inner = np.array([vocabulary[c] for c in letters], np.int32)
+        self.last = np.array([vocabulary[c + suffix] for c in letters], np.int32)
+        pairs = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in model["merges"]], np.int64)
+        #: By rank, then for no rank: what the pair becomes.
+        self.merged = np.array([*(vocabulary[a + b] for a, b in model["merges"]), -1], np.int32)
+        #: Pairs as one integer, and the lowest rank of each.
+        self.pairs, first = np.unique(pairs, return_index=True)
+        self.ranks = first.astype(np.int32)
+        self.no_rank = len(pairs)
+        self._fill()
+        # The lowest rank that each token takes part in.  A merge whose result takes part in one of lower rank is taken
+        # once at a time, since that one goes first.
+        lowest = np.full(1 << 20, self.no_rank, np.int32)
+        np.minimum.at(lowest, self.pairs >> 20, self.ranks)
+        np.minimum.at(lowest, self.pairs & (1 << 20) - 1, self.ranks)
+        self._long: tuple[dict, dict] | None = None
+        self.singly = np.append(lowest[self.merged[:-1]] < np.arange(self.no_rank), False)
+
+    def _fill(self) -> None:
+        """The hash table that ``_ranks_of`` looks into: a pair lies in its slot or in the ones after it, which are taken."""
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.slot_ranks = np.full(1 << SLOT_BITS, self.no_rank, np.int32)
+        left, at = np.arange(len(self.pairs)), _slot(self.pairs)
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            placed = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[placed]] = self.pairs[left[placed]]
+            self.slot_ranks[at[placed]] = self.ranks[left[placed]]
+            left, at = np.delete(left, placed), (np.delete(at, placed) + 1) % len(self.slots)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left.astype(np.int64) << 20 | right
+        at = _slot(pairs)
+        held = self.slots[at]
+        ranks = np.where(held == pairs, self.slot_ranks[at], np.int32(self.no_rank))
+        further = np.flatnonzero((held != pairs) & (held >= 0))
+        at = at[further]
+        while len(further):
+            at = at + 1 & len(self.slots) - 1
+            held, wanted = self.slots[at], pairs[further]
+            same = held == wanted
+            ranks[further[same]] = self.slot_ranks[at[same]]
+            on = ~same & (held >= 0)
+            further, at = further[on], at[on]
+        return ranks
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            data = word.encode()
-            first = len(symbols)
-            starts.append(first)
-            symbols += [self.inner[b] for b in data[:-1]]
-            symbols += [self.last[b] for b in data[-1:]]
-            end = len(symbols)
-            before += [-1, *range(first, end - 1)][: end - first]
-            after += [*range(first + 1, end), -1][: end - first]
-
-        ranks = self.ranks
+        data = [word.encode() for word in words]
+        short = self._encode_short([word for word in data if len(word) <= LONG_WORD])
+        if len(short) == len(data):
+            return short
+        found = iter(short)
+        return [next(found) if len(word) <= LONG_WORD else self._encode_long(word) for word in data]
+
+    def _start(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of all words, a number for the word of each, and the rank of each with its follower."""
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        symbols = self.inner[raw]
+        ends = np.cumsum(lengths)[lengths > 0] - 1
+        symbols[ends] = self.last[raw[ends]]
+        ranks = np.full(len(raw), self.no_rank, np.int32)
+        ranks[:-1] = self._ranks_of(symbols[:-1], symbols[1:])
+        ranks[ends] = self.no_rank
+        return symbols, np.repeat(np.arange(len(data)), lengths), ranks
+
+    def _encode_short(self, data: list[bytes]) -> list[bytes]:
+        """All words together.  The index is an array of the rank of the pair at each position; in each round every word
+        takes its lowest one, at all positions that have it, and the pairs beside these are looked up again."""
+        symbols, word, ranks = self._start(data)
+        size = len(symbols)
+        # The followers and forerunners within the words; none is `size`, a place of its own.
+        after = np.arange(1, size + 1)
+        before = np.arange(-1, size)
+        borders = np.flatnonzero(word[1:] != word[:-1])
+        after[borders] = size
+        before[borders + 1] = size
+        before[:1] = size
+        after[-1:] = size
+        symbols, ranks = np.append(symbols, -1), np.append(ranks, np.int32(self.no_rank))
+        while len(live := np.flatnonzero(ranks < self.no_rank)):
+            found, owner = ranks[live], word[live]
+            firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            lowest = np.minimum.reduceat(found, firsts)
+            take = found == np.repeat(lowest, np.diff(firsts, append=len(live)))
+            at, rank = live[take], found[take]
+            # Of overlapping ones (aaa) every other one is taken, from the left.
+            follows = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            keep = np.ones(len(at), bool)
+            if follows.any():
+                place = np.arange(len(at))
+                keep = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+            if (single := self.singly[rank]).any():
+                of = word[at]
+                keep &= ~single | np.concatenate([[True], of[1:] != of[:-1]])
+            at, rank = at[keep], rank[keep]
+            gone = after[at]
+            beyond = after[gone]
+            symbols[at], symbols[gone] = self.merged[rank], -1
+            ranks[gone] = self.no_rank
+            after[at] = beyond
+            before[beyond] = at
+            previous = before[at]
+            changed = np.concatenate([at[beyond < size], previous[previous < size]])
+            ranks[at] = self.no_rank
+            ranks[changed] = self._ranks_of(symbols[changed], symbols[after[changed]])
+        kept = np.flatnonzero(symbols[:-1] >= 0)
+        ids = symbols[kept].astype("<u4").tobytes()
+        bounds = (4 * np.searchsorted(word[kept], np.arange(len(data) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_long(self, data: bytes) -> bytes:
+        """One long word: its index maps each rank to the positions, and ranks are applied in ascending order."""
+        start, _, found_ranks = self._start([data])
+        symbols = start.tolist()
+        end = len(symbols)
+        after = [*range(1, end), -1]
+        before = [*range(-1, end - 1)]
         index: dict[int, list[int]] = {}
-        for at, following in enumerate(after):
-            if following >= 0 and (rank := ranks.get(symbols[at] << 20 | symbols[following])) is not None:
+        for at, rank in enumerate(found_ranks.tolist()):
+            if rank < self.no_rank:
                 index.setdefault(rank, []).append(at)
         active = list(index)
         heapq.heapify(active)
+        ranks, sources = self._pairs_long()
         while active:
             rank = heapq.heappop(active)
             if rank not in index:
                 continue
-            left, right, merged = self.merges[rank]
+            pair, merged = sources[rank]
             positions = sorted(index.pop(rank))
             for k, at in enumerate(positions):
                 following = after[at]
-                if symbols[at] != left or following < 0 or symbols[following] != right:
+                if following < 0 or symbols[at] < 0 or symbols[at] << 20 | symbols[following] != pair:
                     continue  # another merge has taken one of the two
                 symbols[at], symbols[following] = merged, -1
                 beyond = after[at] = after[following]
@@ -119,8 +231,14 @@ class PairIndexEncoder:
                     index.setdefault(rank, []).extend(positions[k + 1 :])
                     heapq.heappush(active, rank)
                     break
-        ends = [*starts[1:], len(symbols)]
-        return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, ends)]
+        return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
+
+    def _pairs_long(self) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+        """(pair -> rank, rank -> pair and what it becomes), made when the first long word comes."""
+        if self._long is None:
+            pairs, ranks = self.pairs.tolist(), self.ranks.tolist()
+            self._long = dict(zip(pairs, ranks)), {r: (p, m) for p, r, m in zip(pairs, ranks, self.merged[self.ranks].tolist())}
+        return self._long
 
 
 @functools.cache
@@ -140,9 +258,9 @@ class LibraryEncoder:
         self.model = library.model
         self.letters = dict(enumerate(byte_alphabet()))
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         as_letters = (word.encode().decode("latin-1").translate(self.letters) for word in words)
-        return [[token.id for token in self.model.tokenize(word)] for word in as_letters]
+        return [array("I", [token.id for token in self.model.tokenize(word)]).tobytes() for word in as_letters]
 
 
 class TextEncoder:
@@ -157,21 +275,19 @@ class TextEncoder:
         self.path = path
         self.bytes_of_letters = {letter: i for i, letter in enumerate(byte_alphabet())}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, words.special)) + ")")
+        self.fixed = {piece: array("I", [i]).tobytes() for piece, i in words.special.items()} | {"\n": BETWEEN}
         self.parts = WordCache(CACHE_WORDS)
         self.pieces = WordCache(CACHE_WORDS)
 
-    def _split(self, parts: list[bytes]) -> list[list[str]]:
-        """The pieces of each part; all parts go through the patterns together, one on a line."""
+    def _split(self, parts: list[bytes]) -> list[str]:
+        """The pieces of all parts, with a line feed between one part's and the next's."""
         text = b"\n".join(parts).decode()
         if self.specials.search(text) or not text.isascii() and not _newer().isdisjoint(set(text)):
-            return [self._split_rare(part) for part in parts]
-        out: list[list[str]] = [[]]
-        for piece in self._pieces(text):
-            if piece == "\n":
-                out.append([])
-            else:
-                out[-1].append(piece)
-        return out
+            found: list[str] = []
+            for part in parts:
+                found += ["\n", *self._split_rare(part)]
+            return found[1:]
+        return self._pieces(text)
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -192,17 +308,15 @@ class TextEncoder:
         return found
 
     def learn(self, parts: set[bytes]) -> None:
-        fresh = self.parts.missing(parts)
-        split = self._split(fresh) if fresh else []
-        new = self.pieces.missing({piece for pieces in split for piece in pieces})
-        ordinary = [piece for piece in new if piece not in self.words.special]
-        known, parts_known = self.pieces.now, self.parts.now
-        for piece, ids in zip(ordinary, self.words.encode_words(ordinary)):
-            known[piece] = array("I", ids).tobytes()
-        for piece in set(new) - set(ordinary):
-            known[piece] = array("I", [self.words.special[piece]]).tobytes()
-        for part, pieces in zip(fresh, split):
-            parts_known[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        if not (fresh := self.parts.missing(parts)):
+            return
+        split = self._split(fresh)
+        new = self.pieces.missing(set(split))
+        ordinary = [piece for piece in new if piece not in self.fixed]
+        known = self.pieces.now
+        known.update(zip(ordinary, self.words.encode_words(ordinary)))
+        known.update((piece, self.fixed[piece]) for piece in new if piece in self.fixed)
+        self.parts.now.update(zip(fresh, b"".join(map(known.__getitem__, split)).split(BETWEEN)))
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
