@@ -27,7 +27,7 @@ from opsweave.llm.common import CACHES, WordCache, bytes_of, leave, release
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each generation of a cache.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 120_000
 #: Bytes of text whose new words are merged together.
 BATCH_BYTES = 1 << 20
 #: Bytes of a word beyond which it is encoded by itself.
