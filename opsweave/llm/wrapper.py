@@ -75,6 +75,11 @@ TABLE_CELLS = 1 << 20
 #: Shapes, and pairs of shapes with their weight, that a worker keeps for one host.
 MAX_SHAPES = 200_000
 MAX_WEIGHTS = 1_000_000
+#: Children of two elements, together, up to which their matching is kept, and matchings kept for one host.
+SHORT_LIST = 50
+MAX_PAIRINGS = 500
+#: Characters of attributes up to which what they say is kept.
+SHORT_ATTRIBUTES = 200
 #: Reference pages up to this many bytes in all are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 64 << 20
 
@@ -87,7 +92,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -112,6 +116,7 @@ def _names_waste(value: str) -> bool:
     return False
 
 
+@functools.lru_cache(maxsize=4096)
 def _judge(name: str, attrs: str, main: bool) -> tuple[bool, bool]:
     """(no main text by element or because it is hidden, no main text by a name it carries)."""
     if name in NOT_MAIN or name in NOT_MAIN_OUTSIDE and not main:
@@ -135,34 +140,35 @@ def parse(page: str) -> Node:
     run: list[str] = []
 
     def flush() -> None:
-        if run:
-            text = "".join(run)
-            run.clear()
-            if "&" in text:
-                text = html.unescape(text)
-            text = _SPACE.sub(" ", text).strip()
-            if text:
-                top = stack[-1]
-                top.children.append(Node("#", top.main, top.waste, text, top.named))
+        text = "".join(run)
+        run.clear()
+        if "&" in text:
+            text = html.unescape(text)
+        text = " ".join(text.split())
+        if text:
+            top = stack[-1]
+            top.children.append(Node("#", top.main, top.waste, text, top.named))
 
     at = 0
     for found in _TOKEN.finditer(page):
-        if found.start() > at:
-            run.append(page[at : found.start()])
-        at = found.end()
-        name = found["name"] or found["name2"]
+        start, after = found.span()
+        if start > at:
+            run.append(page[at:start])
+        at = after
+        end, name, attrs, end2, name2, attrs2 = found.group("end", "name", "attrs", "end2", "name2", "attrs2")
+        name = name or name2
         if name is None:
-            token = found[0]
-            if token.startswith("<![CDATA["):
-                run.append(html.escape(token[9:].removesuffix("]]>")))
+            if page.startswith("<![CDATA[", start):
+                run.append(html.escape(found[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if name not in BLOCKS:
             if name == "br":
                 run.append(" ")
             continue
-        flush()
-        if found["end"] or found["end2"]:
+        if run:
+            flush()
+        if end or end2:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     del stack[i:]
@@ -179,7 +185,8 @@ def parse(page: str) -> Node:
             elif not scope:
                 break
         top = stack[-1]
-        waste, named = _judge(name, found["attrs"] or found["attrs2"] or "", top.main)
+        attrs = attrs or attrs2 or ""
+        waste, named = (_judge if len(attrs) <= SHORT_ATTRIBUTES else _judge.__wrapped__)(name, attrs, top.main)
         # A name around the main element tells of the page, not of the main element.
         node = Node(name, top.main or name in MAIN, top.waste or waste, "", named or top.named and name not in MAIN)
         top.children.append(node)
@@ -198,6 +205,8 @@ class Shapes:
         self.parts: list[tuple] = []
         self.sizes: list[int] = []
         self.weights: dict[tuple[int, int], int] = {}
+        #: Matchings of short child lists, which pages of one layout share.
+        self.pairings: dict[tuple[tuple, tuple], list[tuple[int, int]]] = {}
 
     def number(self, key: tuple) -> int:
         found = self.numbers.get(key)
@@ -241,8 +250,8 @@ class Shapes:
 
     def _rows(self, x: tuple, y: tuple) -> Iterator[np.ndarray]:
         """Rows of the table whose cell [i][j] is the best matching of the first i and first j children."""
-        kinds, which = np.unique(np.array(y, np.int64), return_inverse=True)
-        kinds = kinds.tolist()
+        numbers = {q: k for k, q in enumerate(dict.fromkeys(y))}
+        kinds, which = list(numbers), np.array([numbers[q] for q in y], np.int64)
         weights: dict[int, np.ndarray] = {}
         above = np.zeros(len(y) + 1, np.int64)
         for p in x:
@@ -298,8 +307,14 @@ class Shapes:
             low, high_x, high_y = _trim([c.shape for c in x], [c.shape for c in y])
             pending += zip(x[:low], y[:low])
             pending += zip(x[high_x:], y[high_y:])
-            inner = self._pairs(tuple(c.shape for c in x[low:high_x]), tuple(c.shape for c in y[low:high_y]))
-            pending += [(x[low + i], y[low + j]) for i, j in inner]
+            if low < high_x and low < high_y:
+                key = tuple([c.shape for c in x[low:high_x]]), tuple([c.shape for c in y[low:high_y]])
+                inner = self.pairings.get(key)
+                if inner is None:
+                    inner = self._pairs(*key)
+                    if high_x - low + high_y - low <= SHORT_LIST and len(self.pairings) < MAX_PAIRINGS:
+                        self.pairings[key] = inner
+                pending += [(x[low + i], y[low + j]) for i, j in inner]
 
 
 def _trim(x, y) -> tuple[int, int, int]:
@@ -386,7 +401,7 @@ def _wrapper(reference: str) -> LayoutWrapper:
     return LayoutWrapper(reference)
 
 
-CACHES.append(_wrapper.cache_clear)
+CACHES += [_wrapper.cache_clear, _judge.cache_clear]
 
 
 def slots_of(tree: Node) -> Iterator[tuple[int, Node]]:
