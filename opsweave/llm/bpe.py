@@ -73,7 +73,6 @@ class PairIndexEncoder:
         model = spec["model"]
         vocabulary: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (vocabulary | self.special).items()}
         suffix = model["end_of_word_suffix"]
         letters = byte_alphabet()
         self.inner = np.array([vocabulary[c] for c in letters], np.int32)
@@ -336,11 +335,17 @@ class TextEncoder:
             yield b"".join(map(self.parts.now.__getitem__, parts))
 
 
+@functools.cache
+def _pair_index(path: str) -> PairIndexEncoder:
+    """The vocabulary's arrays, some 5 MB, which a worker keeps from task to task; words are dropped."""
+    return PairIndexEncoder(path)
+
+
 @functools.cache
 def encoder(kind: str, vocabulary: str = VOCABULARY) -> TextEncoder:
     """One encoder for each Python worker, with its caches."""
     path = public_tokenizers.path(vocabulary)
-    found = TextEncoder({"index": PairIndexEncoder, "library": LibraryEncoder}[kind](path), path)
+    found = TextEncoder({"index": _pair_index, "library": LibraryEncoder}[kind](path), path)
     release()
     return found
 
@@ -350,7 +355,9 @@ CACHES += [encoder.cache_clear, _library.cache_clear]
 
 @functools.cache
 def _tokens(vocabulary: str) -> dict[int, str]:
-    return PairIndexEncoder(public_tokenizers.path(vocabulary)).tokens
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        spec = json.load(file)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
 def decode_bytes(ids: bytes, vocabulary: str = VOCABULARY) -> str:

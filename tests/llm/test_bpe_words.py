@@ -70,3 +70,16 @@ def test_new_words_cost_little_more_than_a_call_each():
             runs.append(time.process_time() - start)
         took[kind] = min(runs)
     assert took[bpe.PairIndexEncoder] < 2 * took[bpe.LibraryEncoder]
+
+
+def test_the_vocabulary_is_read_once_by_a_worker(monkeypatch):
+    """Words are dropped at the end of a task; the arrays of the vocabulary stay."""
+    made = []
+    whole = bpe.PairIndexEncoder.__init__
+    monkeypatch.setattr(bpe.PairIndexEncoder, "__init__", lambda self, path: made.append(path) or whole(self, path))
+    bpe._pair_index.cache_clear()
+    for _ in range(3):
+        bpe.encoder.cache_clear()
+        worker = bpe.encoder("index")
+        assert not worker.parts.now and list(worker.encode([b"one word"])) == list(bpe.encoder("library").encode([b"one word"]))
+    assert len(made) == 1
