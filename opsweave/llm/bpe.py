@@ -14,28 +14,27 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from opsweave.llm.common import CACHES, WordCache, bytes_of, leave, release
+from opsweave.llm.common import CACHES, bytes_of, leave, release
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in each generation of a cache.
-CACHE_WORDS = 120_000
+#: Words that a cache holds besides those of the last batch.
+CACHE_WORDS = 400_000
 #: Bytes of text whose new words are merged together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of a word beyond which it is encoded by itself.
 LONG_WORD = 64
 #: Bits of a slot's number in the hash table of pairs, five slots for each pair of the vocabulary.
 SLOT_BITS = 18
-#: Stands between the ids of two parts; every four bytes in a row of ids have two of zero.
-BETWEEN = b"\xff\xff\xff\xff"
 
 # Fixed value of the vocabulary's file: its split pattern; here a line feed, which no part has, stands by itself.
 SPLIT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -262,11 +261,52 @@ class LibraryEncoder:
         return [array("I", [token.id for token in self.model.tokenize(word)]).tobytes() for word in as_letters]
 
 
+def _binary(values: list) -> pa.Array:
+    return pa.array(values, pa.large_binary())
+
+
+class IdCache:
+    """Ids of words as Arrow arrays: ``now`` has the words and ``ids`` theirs.  Once there are more than ``limit``,
+    only those of the last call stay."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now = self.ids = _binary([])
+
+    def ids_of(self, words: pa.Array, work_out: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of distinct words; ``work_out`` gives those of words that are not held."""
+        at = pc.index_in(words, value_set=self.now)
+        places = pc.fill_null(at, 0).to_numpy().copy()
+        if at.null_count:
+            absent = at.is_null()
+            fresh = words.filter(absent)
+            places[absent.to_numpy(zero_copy_only=False)] = len(self.now) + np.arange(len(fresh))
+            self.now, self.ids = pa.concat_arrays([self.now, fresh]), pa.concat_arrays([self.ids, work_out(fresh)])
+        found = self.ids.take(pa.array(places))
+        if len(self.now) > self.limit:
+            self.now, self.ids = words, found
+        return found
+
+
+def _numbered(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The distinct words, and the number of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.view(pa.large_binary()), coded.indices
+
+
+def _joined(ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Joins rows up to each of ``ends``."""
+    _, offsets, data = ids.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[np.append(0, ends)] if len(ids) else np.zeros(len(ends) + 1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), data])
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by way of cached words.
 
     No match of the split pattern spans white space, so a text is the sequence of its
-    white-space-separated parts, and each distinct part is encoded once.
+    white-space-separated parts, and each distinct part is encoded once.  Arrow splits and numbers
+    them; only distinct parts pass through Python, and their ids take the place of the numbers.
     """
 
     def __init__(self, words: PairIndexEncoder | LibraryEncoder, path: str):
@@ -274,16 +314,15 @@ class TextEncoder:
         self.path = path
         self.bytes_of_letters = {letter: i for i, letter in enumerate(byte_alphabet())}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, words.special)) + ")")
-        self.fixed = {piece: array("I", [i]).tobytes() for piece, i in words.special.items()} | {"\n": BETWEEN}
-        self.parts = WordCache(CACHE_WORDS)
-        self.pieces = WordCache(CACHE_WORDS)
+        self.fixed = {piece: array("I", [i]).tobytes() for piece, i in words.special.items()} | {"\n": b""}
+        self.parts = IdCache(CACHE_WORDS)
+        self.pieces = IdCache(CACHE_WORDS)
 
-    def _split(self, parts: list[bytes]) -> list[str]:
-        """The pieces of all parts, with a line feed between one part's and the next's."""
-        text = b"\n".join(parts).decode()
+    def _split(self, text: str) -> list[str]:
+        """The pieces of parts with a line feed between one and the next, which stays between their pieces."""
         if self.specials.search(text) or not text.isascii() and not _newer().isdisjoint(set(text)):
             found: list[str] = []
-            for part in parts:
+            for part in text.split("\n"):
                 found += ["\n", *self._split_rare(part)]
             return found[1:]
         return self._pieces(text)
@@ -293,9 +332,9 @@ class TextEncoder:
         # A capital sigma becomes a plain one wherever it stands, as in the library.
         return SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _split_rare(self, part: bytes) -> list[str]:
+    def _split_rare(self, part: str) -> list[str]:
         found = []
-        for span in self.specials.split(part.decode()):
+        for span in self.specials.split(part):
             if span in self.words.special:
                 found.append(span)
             elif _newer().isdisjoint(span):
@@ -306,33 +345,35 @@ class TextEncoder:
                 found += [bytes(map(self.bytes_of_letters.__getitem__, piece)).decode() for piece, _ in letters]
         return found
 
-    def learn(self, parts: set[bytes]) -> None:
-        if not (fresh := self.parts.missing(parts)):
-            return
-        split = self._split(fresh)
-        new = self.pieces.missing(set(split))
-        ordinary = [piece for piece in new if piece not in self.fixed]
-        known = self.pieces.now
-        known.update(zip(ordinary, self.words.encode_words(ordinary)))
-        known.update((piece, self.fixed[piece]) for piece in new if piece in self.fixed)
-        self.parts.now.update(zip(fresh, b"".join(map(known.__getitem__, split)).split(BETWEEN)))
+    def _ids_of_parts(self, parts: pa.Array) -> pa.Array:
+        split = pa.array(self._split(b"\n".join(parts.to_numpy(zero_copy_only=False)).decode()), pa.large_string())
+        pieces, numbers = _numbered(split)
+        borders = np.flatnonzero(pc.equal(split, "\n").to_numpy(zero_copy_only=False))
+        return _joined(self.pieces.ids_of(pieces, self._ids_of_pieces).take(numbers), np.append(borders, len(split)))
+
+    def _ids_of_pieces(self, pieces: pa.Array) -> pa.Array:
+        words = pieces.view(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        found = iter(self.words.encode_words([word for word in words if word not in self.fixed]))
+        return _binary([self.fixed[word] if word in self.fixed else next(found) for word in words])
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        batch: list[list[bytes]] = []
+        batch: list[bytes | None] = []
         held = 0
         for text in texts:
-            batch.append(text.split() if text else [])
+            batch.append(text)
             held += len(text or b"")
             if held > BATCH_BYTES:
                 yield from self._flush(batch)
                 batch, held = [], 0
         yield from self._flush(batch)
 
-    def _flush(self, batch: list[list[bytes]]) -> Iterator[bytes]:
-        self.learn(set().union(*batch))
-        for parts in batch:
-            yield b"".join(map(self.parts.now.__getitem__, parts))
+    def _flush(self, batch: list[bytes | None]) -> Iterator[bytes]:
+        # Arrow has an empty part at either end of a text that begins or ends with white space; it has no ids.
+        split = pc.ascii_split_whitespace(_binary(batch).view(pa.large_string()))
+        parts, numbers = _numbered(split.flatten())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        yield from _joined(self.parts.ids_of(parts, self._ids_of_parts).take(numbers), ends).to_numpy(zero_copy_only=False)
 
 
 @functools.cache
