@@ -29,8 +29,10 @@ from opsweave.llm.common import CACHES, bytes_of, leave, release
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a cache holds besides those of the last batch.
 CACHE_WORDS = 400_000
-#: Bytes of text whose new words are merged together.
-BATCH_BYTES = 8 << 20
+#: Bytes of text whose words are numbered together.
+BATCH_BYTES = 4 << 20
+#: New words that are merged together.
+WORDS_TOGETHER = 1 << 14
 #: Bytes of a word beyond which it is encoded by itself.
 LONG_WORD = 64
 #: Bits of a slot's number in the hash table of pairs, five slots for each pair of the vocabulary.
@@ -353,8 +355,12 @@ class TextEncoder:
 
     def _ids_of_pieces(self, pieces: pa.Array) -> pa.Array:
         words = pieces.view(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
-        found = iter(self.words.encode_words([word for word in words if word not in self.fixed]))
-        return _binary([self.fixed[word] if word in self.fixed else next(found) for word in words])
+        found = []
+        for first in range(0, len(words), WORDS_TOGETHER):
+            some = words[first : first + WORDS_TOGETHER]
+            new = iter(self.words.encode_words([word for word in some if word not in self.fixed]))
+            found.append(_binary([self.fixed[word] if word in self.fixed else next(new) for word in some]))
+        return pa.concat_arrays(found)
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""

@@ -116,3 +116,16 @@ def test_caches_that_turn_over_and_batches_of_any_size(monkeypatch):
             assert list(bpe.encoder(kind).encode(data)) == want
     assert list(bpe.encoder("index").encode([])) == []
     bpe.encoder.cache_clear()
+
+
+def test_new_words_are_merged_in_portions(monkeypatch):
+    """The arrays of all new words of a batch at once took most of a worker's memory."""
+    sizes = []
+    whole = bpe.PairIndexEncoder.encode_words
+    monkeypatch.setattr(bpe.PairIndexEncoder, "encode_words", lambda self, words: sizes.append(len(words)) or whole(self, words))
+    monkeypatch.setattr(bpe, "WORDS_TOGETHER", 100)
+    bpe.encoder.cache_clear()
+    text = " ".join(["<|endoftext|>", *made_words(1_000)]).encode()
+    assert list(bpe.encoder("index").encode([text])) == list(bpe.encoder("library").encode([text]))
+    assert len(sizes) > 5 and max(sizes) <= 100
+    bpe.encoder.cache_clear()
