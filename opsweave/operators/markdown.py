@@ -10,6 +10,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -303,6 +305,13 @@ EXTRACTS = {
     "endpoints": (r"https?://[a-zA-Z0-9\-\.]+(?::[0-9]+)?(?:/[a-zA-Z0-9\-\._/]*)?", r"/api/v[0-9]+/[a-zA-Z0-9\-\._/]*", r"/[a-zA-Z0-9\-_]+/v[0-9]+/[a-zA-Z0-9\-\._/]*"),
     "errors": (r"(?i)Error:?\s*[^\n]+", r"(?i)Exception:?\s*[^\n]+", r"(?i)Failed:?\s*[^\n]+", r"(?i)\d{3}\s+(?:Bad Request|Unauthorized|Forbidden|Not Found|Internal Server Error)", r"(?i)exit code\s+\d+"),
 }
+_NAME = r"[a-zA-Z0-9\-_]"  # as the configs' patterns have it
+# Of each pattern what a text must have one of, so that most texts need no search; errors, of any case, are searched for.
+NEEDED = {
+    "commands": (("kubectl",), ("docker",), ("helm",), ("curl",), ("wget",), ("ssh",), ("scp",)),
+    "configs": ((".yaml", ".yml"), (".json",), (".conf",), (".ini",), (".properties",), ("Dockerfile",), ("docker-compose.",)),
+    "endpoints": (("http",), ("/api/v",), ("/v",)),
+}
 
 
 def _let(value: Column, body) -> Column:
@@ -321,13 +330,15 @@ def concepts(text: Column, most: int = 20) -> Column:
     Words are read once; only the words with a hyphen are searched for in the text.
     """
     rows = [(term, domain) for domain, levels in CONCEPTS.items() for level in levels for term in level]
-    simple = F.array(*[F.lit(t) for t in dict.fromkeys(t for t, _ in rows if "-" not in t)])
+    simple = [*dict.fromkeys(t for t, _ in rows if "-" not in t)]
 
     def counted(lowered: Column) -> Column:
-        words = F.filter(F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.array_contains(simple, w))
+        words = F.filter(F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: w.isin(simple))
 
         def times(words: Column, term: str) -> Column:
-            return F.regexp_count(lowered, F.lit(rf"(?U)\b{re.escape(term)}\b")) if "-" in term else F.size(F.filter(words, lambda w: w == term))
+            if "-" not in term:
+                return F.size(F.filter(words, lambda w: w == term))
+            return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(rf"(?U)\b{re.escape(term)}\b"))).otherwise(0)
 
         def of(words: Column) -> Column:
             found = []
@@ -352,9 +363,28 @@ def contexts(text: Column, term: Column, most: int = 2) -> Column:
     return _let(F.split(text, "\n"), around)
 
 
+def _quick(pattern: str) -> str:
+    """A pattern that finds the same in Java without recursion and second looks.
+
+    Java repeats a group by recursion, a frame for each word of a command, and by a loop where nothing may be given
+    back; at a pattern's end nothing ever is.  A name before a dot begins where its characters begin or where the match
+    before ended: a later start has the same end.
+    """
+    if pattern.startswith(_NAME + r"+\."):
+        pattern = rf"(?:(?<!{_NAME})|\G){_NAME}++" + pattern[len(_NAME) + 1 :]
+    return pattern + "+" if pattern.endswith(")*") else pattern
+
+
 def extracts(text: Column, kind: str, most: int = 10) -> Column:
     """Distinct matches of a kind's patterns in order of first sight, pattern by pattern."""
-    return F.slice(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in EXTRACTS[kind]])), 1, most)
+    found = []
+    for i, pattern in enumerate(EXTRACTS[kind]):
+        matches = F.regexp_extract_all(text, F.lit(f"({_quick(pattern)})"), F.lit(1))
+        if kind in NEEDED:
+            has = reduce(or_, (F.contains(text, F.lit(t)) for t in NEEDED[kind][i]))
+            matches = F.when(~has, F.array().cast("array<string>")).otherwise(matches)
+        found.append(matches)
+    return F.slice(F.array_distinct(F.concat(*found)), 1, most)
 
 
 def counts(text: Column) -> dict[str, Column]:

@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from opsweave.operators import markdown as M
 
@@ -103,3 +106,24 @@ def test_scaled_weights(spark):
     rows = [(1, 1.0, 2.0), (1, 3.0, 2.0), (1, 2.0, 2.0)]
     got = M.scaled_weights(spark.createDataFrame(rows, "doc_id long, semantic_weight double, structural_weight double")).collect()
     assert sorted(r.semantic_weight for r in got) == [0.5, 0.75, 1.0] and {r.structural_weight for r in got} == {2.0}
+
+
+def test_a_command_of_many_words_is_found(spark):
+    long = "kubectl get" + " word-1.x" * 20_000
+    rows = [(1, long), (2, f"{long}\nhelm list a\ndocker run b"), (3, None)]
+    got = {r.doc_id: r for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", M.extracts(F.col("text"), "commands").alias("found")).collect()}
+    assert got[1].found == [long]
+    assert got[2].found == [f"{long}\nhelm list a\ndocker run b", "docker run b", "helm list a\ndocker run b"]
+    assert got[3].found is None
+
+
+def test_extracts_are_those_of_the_patterns(spark):
+    rng = random.Random(5)
+    parts = ["kubectl", "docker", "helm", "Dockerfile", "a.yaml", ".yml", "b_", "-", ".json", "x.conf", "y.ini", ".properties", "docker-compose.yml", " ", "\n", "  ", "é", "/", "9", "http://", "/api/v1", "/v2/"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(300)] + ["a.yamlb.yaml-.json.json", "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind in ("commands", "configs", "endpoints"):
+        for r in df.select("text", M.extracts(F.col("text"), kind).alias("found")).collect():
+            # Python gives the engines' result: these patterns take the leftmost match and as much as they can.
+            want = [m[0] for p in M.EXTRACTS[kind] for m in re.finditer(p, r.text, re.ASCII)] if len(r.text) < 1000 else []
+            assert r.found == list(dict.fromkeys(want))[:10]
