@@ -329,23 +329,27 @@ def concepts(text: Column, most: int = 20) -> Column:
 
     Words are read once; only the words with a hyphen are searched for in the text.
     """
-    rows = [(term, domain) for domain, levels in CONCEPTS.items() for level in levels for term in level]
-    simple = [*dict.fromkeys(t for t, _ in rows if "-" not in t)]
+    rows = [(i, term, domain) for i, (term, domain) in enumerate((t, domain) for domain, levels in CONCEPTS.items() for level in levels for t in level)]
+    simple = [*dict.fromkeys(t for _, t, _ in rows if "-" not in t)]
+    uses = [F.array(*[F.struct(F.lit(i).alias("place"), F.lit(domain).alias("domain")) for i, t, domain in rows if t == term]) for term in simple]
+    places = F.map_from_arrays(F.array(*map(F.lit, simple)), F.array(*uses))
+
+    def counts_as(place: Column, term: Column, domain: Column, many: Column) -> Column:
+        return F.struct((-many).alias("less"), place.alias("place"), term.alias("concept"), domain.alias("domain"), many.alias("frequency"))
 
     def counted(lowered: Column) -> Column:
         words = F.filter(F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: w.isin(simple))
 
-        def times(words: Column, term: str) -> Column:
-            if "-" not in term:
-                return F.size(F.filter(words, lambda w: w == term))
-            return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(rf"(?U)\b{re.escape(term)}\b"))).otherwise(0)
-
         def of(words: Column) -> Column:
-            found = []
-            for i, (term, domain) in enumerate(rows):
-                many = times(words, term)
-                found.append(F.struct((-many).alias("less"), F.lit(i).alias("place"), F.lit(term).alias("concept"), F.lit(domain).alias("domain"), many.alias("frequency")))
-            return F.array_sort(F.filter(F.array(*found), lambda x: x["frequency"] > 0))
+            def used(term: Column) -> Column:
+                return _let(F.size(F.filter(words, lambda w: w == term)), lambda n: F.transform(F.element_at(places, term), lambda x: counts_as(x["place"], term, x["domain"], n)))
+
+            found = [F.flatten(F.transform(F.array_distinct(words), used))]
+            for i, term, domain in rows:
+                if "-" in term:
+                    many = F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(rf"(?U)\b{re.escape(term)}\b"))).otherwise(0)
+                    found.append(F.filter(F.array(counts_as(F.lit(i), F.lit(term), F.lit(domain), many)), lambda x: x["frequency"] > 0))
+            return F.array_sort(F.concat(*found))
 
         return _let(words, of)
 

@@ -127,3 +127,15 @@ def test_extracts_are_those_of_the_patterns(spark):
             # Python gives the engines' result: these patterns take the leftmost match and as much as they can.
             want = [m[0] for p in M.EXTRACTS[kind] for m in re.finditer(p, r.text, re.ASCII)] if len(r.text) < 1000 else []
             assert r.found == list(dict.fromkeys(want))[:10]
+
+
+def test_concepts_are_those_of_a_plain_count(spark):
+    rng = random.Random(6)
+    rows = [(t, domain) for domain, levels in M.CONCEPTS.items() for level in levels for t in level]
+    texts = [" ".join(rng.choices([t for t, _ in rows], k=rng.randrange(60))).title() for _ in range(100)] + ["", "no such words", None]
+    for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text", M.concepts(F.col("text")).alias("found")).collect():
+        lowered = (r.text or "").lower()
+        words = re.findall(r"\w+", lowered)
+        counts = [len(re.findall(rf"\b{t}\b", lowered)) if "-" in t else words.count(t) for t, _ in rows]
+        best = sorted((i for i, n in enumerate(counts) if n), key=lambda i: (-counts[i], i))[:20]
+        assert [tuple(x) for x in r.found or []] == [(*rows[i], counts[i]) for i in best]
