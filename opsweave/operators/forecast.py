@@ -101,8 +101,21 @@ def cost_change(act: Column, instances: Column) -> Column:
     return F.when(act == "scale_up", up).when(act == "scale_down", down).otherwise(0.0)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """``value`` with no digit or one, by the double's exact value and halves to even, as C and DuckDB print it.  Java's
+    format rounds the shortest decimal instead, and halves up."""
+    size, scale, bits = F.abs(value), 10**digits, 58  # what 58 bits lose of a fraction is far below a half
+    whole = F.floor(size)
+    units = ((size - whole) * float(1 << bits)).cast("long") * scale
+    number, rest, half = whole * scale + F.shiftright(units, bits), units.bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+    number = number + ((rest > half) | (rest == half) & (number % 2 == 1)).cast("long")
+    tail = F.concat(F.lit("."), (number % scale).cast("string")) if digits else F.lit("")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), ((number - number % scale) / scale).cast("long").cast("string"), tail)
+    return F.when(size < float(1 << 48), text).when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+
+
 def reason(act: Column, kind: Column, value: Column, instances: Column) -> Column:
-    name, whole, tenth = F.upper(kind), F.format_string("%.0f", value), F.format_string("%.1f", value)
+    name, whole, tenth = F.upper(kind), fixed(value, 0), fixed(value, 1)
     up = F.when(kind == "qps", F.concat(name, F.lit("预测值("), whole, F.lit(")超过阈值，建议扩容至"), instances.cast("string"), F.lit("个实例"))).otherwise(F.concat(name, F.lit("利用率预测值("), tenth, F.lit("%)过高，建议增加资源")))
     down = F.when(kind == "qps", F.concat(name, F.lit("预测值("), whole, F.lit(")低于阈值，可以缩容至"), instances.cast("string"), F.lit("个实例"))).otherwise(F.concat(name, F.lit("利用率预测值("), tenth, F.lit("%)较低，可以减少资源节省成本")))
     return F.when(act == "scale_up", up).when(act == "scale_down", down).otherwise(F.concat(name, F.lit("预测值("), tenth, F.lit(")在正常范围内，维持当前配置")))

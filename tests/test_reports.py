@@ -1,12 +1,13 @@
 """Units, recommendations, reports, cache keys and reranking on rows made by hand."""
 
 import hashlib
+import random
 
 import __spark_entry__ as E
 from pyspark.sql import functions as F
 
 from opsweave.functions import quantity as Q, text as X
-from opsweave.operators import inspection as I, retrieval as R
+from opsweave.operators import forecast, inspection as I, retrieval as R
 
 
 def test_units(spark):
@@ -102,3 +103,13 @@ def test_listings_from_files(spark, tmp_path):
     assert sorted((r.resource, r.hard, r.used) for r in L.quota_rows(maps).collect()) == [("cpu", None, "1"), ("pods", "4", None)]
     scaler = '{%s,"spec":{"scale_target_ref":{"kind":"Deployment","name":"web"},"max_replicas":3}}' % (meta % "{}")
     assert L.autoscalers(read(scaler, L.AUTOSCALERS)).first() == ("n", "a", "Deployment/web", None, 3, None, None)
+
+
+def test_numbers_in_reasons_are_rounded_by_their_exact_value(spark):
+    rng = random.Random(9)
+    values = [704.25, 612.65, 18.15, 0.05, 0.25, 0.5, 1.5, 2.5, 99.95, 99.5, 0.0, 1e-9, 0.15, 0.35, 4503599627370497.5, -0.25, -2.675, 100000.0]
+    values += [rng.randrange(10**7) / 100 for _ in range(2000)] + [rng.randrange(10**6) / 64 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", *[forecast.fixed(F.col("v"), n).alias(f"f{n}") for n in (0, 1)])
+    for r in df.collect():
+        if r.v is None or abs(r.v) < 1e15:
+            assert (r.f0, r.f1) == ((None, None) if r.v is None else (f"{r.v:.0f}", f"{r.v:.1f}"))
