@@ -17,6 +17,8 @@ from opsweave.operators.tiles import BUCKET_SECONDS, OF, ROW, SERIES, SIZE
 from opsweave.sources.shared import written
 
 NEXT, ANCHOR = "_next", "_anchor"
+#: How rows of all series meet: their files are so small, of repeating values, that Spark would broadcast millions of them.
+SORTED = "merge"
 #: Doubled jumps: more tiles than 2 ** 60 there are not.
 MOST_ROUNDS = 60
 
@@ -40,8 +42,8 @@ def first_from(rows: DataFrame, since: Column, ts: str = "ts", bucket_seconds: i
     offsets = counts.select(SERIES, "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"))
     so_far = Window.partitionBy(SERIES, "_bucket").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("_inside", F.sum("_is").over(so_far)).where("_is = 0")
-    found = inside.join(offsets, [SERIES, "_bucket"]).select(SERIES, F.col("_of").alias(ROW), (F.col("_before") + F.col("_inside") + 1).alias(NEXT))
-    return rows.join(found, [SERIES, ROW]).withColumn(NEXT, F.greatest(NEXT, F.col(ROW) + 1))
+    found = inside.join(offsets.hint(SORTED), [SERIES, "_bucket"]).select(SERIES, F.col("_of").alias(ROW), (F.col("_before") + F.col("_inside") + 1).alias(NEXT))
+    return rows.join(found.hint(SORTED), [SERIES, ROW]).withColumn(NEXT, F.greatest(NEXT, F.col(ROW) + 1))
 
 
 def next_change(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -51,7 +53,7 @@ def next_change(rows: DataFrame, value: str, name: str) -> DataFrame:
     marked = tiles.dealt(rows, before=1).withColumn("_changed", changed).where(tiles.OWN).drop(tiles.OWN)
     after = Window.partitionBy(SERIES, OF).orderBy(F.desc(ROW)).rowsBetween(Window.unboundedPreceding, -1)
     later = tiles.carry(marked.drop(OF), F.col("_changed"), "_later", later=True)
-    here = marked.withColumn("_here", F.last("_changed", ignorenulls=True).over(after)).join(later, [SERIES, OF])
+    here = marked.withColumn("_here", F.last("_changed", ignorenulls=True).over(after)).join(later.hint(SORTED), [SERIES, OF])
     return here.withColumn(name, F.coalesce("_here", "_later", F.col(SIZE) + 1)).drop(OF, "_changed", "_here", "_later")
 
 
@@ -73,19 +75,19 @@ def exits(rows: DataFrame) -> DataFrame:
 
 
 def entered(rows: DataFrame) -> DataFrame:
-    """(_series, _tile, _entry): the tiles that the chain from row 1 enters, and where."""
-    out = written(exits(rows), "exits")
+    """(_series, _tile, _entry): the tiles that the chain from row 1 enters, and where.  A series of one tile has no jumps."""
+    out = written(exits(rows.where(F.col(SIZE) > tiles.TILE)), "exits")
     sizes = rows.select(SERIES, SIZE).distinct()
-    places = out.select(SERIES, F.col("_exit").alias("_row")).distinct().unionByName(sizes.select(SERIES, F.lit(1).cast("long").alias("_row"))).distinct()
-    jump = written(places.join(out, [SERIES, ROW]).join(sizes, SERIES).where(F.col("_exit") <= F.col(SIZE)).select(SERIES, F.col(ROW).alias("_from"), F.col("_exit").alias("_to")), "jumps")
+    places = out.select(SERIES, F.col("_exit").alias("_row")).distinct().unionByName(sizes.where(F.col(SIZE) > tiles.TILE).select(SERIES, F.lit(1).cast("long").alias("_row"))).distinct()
+    jump = written(places.join(out.hint(SORTED), [SERIES, ROW]).join(sizes.hint(SORTED), SERIES).where(F.col("_exit") <= F.col(SIZE)).select(SERIES, F.col(ROW).alias("_from"), F.col("_exit").alias("_to")), "jumps")
     reached = sizes.select(SERIES, F.lit(1).cast("long").alias("_entry"))
     for _ in range(MOST_ROUNDS):
         if jump.isEmpty():
             break
-        further = reached.join(jump, (reached[SERIES] == jump[SERIES]) & (F.col("_entry") == F.col("_from"))).select(reached[SERIES], F.col("_to").alias("_entry"))
+        further = reached.join(jump.hint(SORTED), (reached[SERIES] == jump[SERIES]) & (F.col("_entry") == F.col("_from"))).select(reached[SERIES], F.col("_to").alias("_entry"))
         reached = written(reached.unionByName(further), "entries")
         second = jump.select(F.col(SERIES).alias("_s"), F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
-        jump = written(jump.join(second, (F.col(SERIES) == F.col("_s")) & (F.col("_to") == F.col("_mid"))).select(SERIES, "_from", F.col("_end").alias("_to")), "jumps")
+        jump = written(jump.join(second.hint(SORTED), (F.col(SERIES) == F.col("_s")) & (F.col("_to") == F.col("_mid"))).select(SERIES, "_from", F.col("_end").alias("_to")), "jumps")
     else:
         raise RuntimeError("the chain did not end")
     return reached.select(SERIES, F.floor((F.col("_entry") - 1) / tiles.TILE).alias(OF), "_entry")
@@ -107,10 +109,10 @@ def accepted(rows: DataFrame) -> DataFrame:
             now = int(to[now - first])
         return pa.table({SERIES: group[SERIES], ROW: at, ANCHOR: hit})
 
-    dealt = rows.withColumn(OF, F.floor((F.col(ROW) - 1) / tiles.TILE)).select(SERIES, OF, ROW, NEXT).join(starts, [SERIES, OF])
+    dealt = rows.withColumn(OF, F.floor((F.col(ROW) - 1) / tiles.TILE)).select(SERIES, OF, ROW, NEXT).join(starts.hint(SORTED), [SERIES, OF])
     kind = rows.schema[SERIES].dataType.simpleString()
     marks = dealt.groupBy(SERIES, OF).applyInArrow(mark, f"{SERIES} {kind}, {ROW} long, {ANCHOR} boolean")
-    return rows.join(marks.where(ANCHOR), [SERIES, ROW], "left").withColumn(ANCHOR, F.coalesce(ANCHOR, F.lit(False)))
+    return rows.join(marks.where(ANCHOR).hint(SORTED), [SERIES, ROW], "left").withColumn(ANCHOR, F.coalesce(ANCHOR, F.lit(False)))
 
 
 def anchor_of(rows: DataFrame, name: str) -> DataFrame:
@@ -118,4 +120,4 @@ def anchor_of(rows: DataFrame, name: str) -> DataFrame:
     marked = rows.withColumn("_own_anchor", F.when(F.col(ANCHOR), F.col(ROW))).withColumn(OF, F.floor((F.col(ROW) - 1) / tiles.TILE))
     before = tiles.carry(marked.drop(OF), F.col("_own_anchor"), "_earlier")
     here = F.last("_own_anchor", ignorenulls=True).over(tiles.in_tile().rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_here", here).join(before, [SERIES, OF]).withColumn(name, F.coalesce("_here", "_earlier")).drop(OF, "_here", "_earlier", "_own_anchor")
+    return marked.withColumn("_here", here).join(before.hint(SORTED), [SERIES, OF]).withColumn(name, F.coalesce("_here", "_earlier")).drop(OF, "_here", "_earlier", "_own_anchor")

@@ -41,7 +41,8 @@ def numbered(df: DataFrame, by: str | list[str], ts: str = "ts", tie: tuple[str,
     total = F.sum("_count").over(Window.partitionBy(SERIES))
     offsets = counts.select(SERIES, "_bucket", total.alias(SIZE), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(SERIES, "_bucket").orderBy(ts, *tie))
-    return rows.withColumn("_inside", inside).join(offsets, [SERIES, "_bucket"]).withColumn(ROW, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
+    # Rows are sorted by series and bucket already; the counts of many short series are too many to broadcast.
+    return rows.withColumn("_inside", inside).join(offsets.hint("merge"), [SERIES, "_bucket"]).withColumn(ROW, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
 def dealt(rows: DataFrame, before: int = 0, after: int = 0, tile: int | None = None) -> DataFrame:

@@ -70,3 +70,10 @@ def test_folds(spark, monkeypatch, tile, cases):
 def test_folds_of_nothing(spark):
     frame = spark.createDataFrame([(None, None, "scale_up", 1)], "series string, ts timestamp, action string, instances int")
     assert forecast.apply_cooldown(frame, "series").count() == 0 and forecast.merge_recommendations(frame, "series").count() == 0
+
+
+def test_no_rows_are_broadcast(spark):
+    """Their files are small, since values repeat, where the rows are millions."""
+    frame = spark.createDataFrame(drawn(50, 3), "series string, ts timestamp, action string, instances int")
+    for out in (forecast.apply_cooldown(frame, "series", 90), forecast.merge_recommendations(frame, "series")):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
