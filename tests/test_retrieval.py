@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsweave.operators import ivf, postings, retrieval
+from opsweave.operators import hierarchy, ivf, postings, retrieval
 
 QUERIES = E.queries()
 K = 10
@@ -202,3 +202,29 @@ def test_priority(spark):
     frame = spark.createDataFrame(rows, schema)
     value = retrieval.document_priority(F.col("query"), F.col("source"), F.col("text"), F.col("score"), names=("tool name",))
     assert all(r.got == pytest.approx(r.want) for r in frame.select("want", value.alias("got")).collect())
+
+
+def test_coarse_is_the_best_of_each_chosen_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(300)} | {300: None, 301: [0.0] * 4, 302: [1.0, None, 0.0, 0.0]}
+    members = spark.createDataFrame([(i, i % 4, v) for i, v in vectors.items()] + [(400, None, [1.0] * 4)], "doc_id long, cluster int, embedding array<double>").repartition(5)
+    asked = [(q, rng.normal(size=4).tolist(), c) for q, c in zip(range(1000, 1040), ["simple", "moderate", "complex", None] * 10)]
+    chosen = [(q, c) for q, _, _ in asked for c in (q % 4, (q + 1) % 4)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, class string")
+    for block in (4096, 7):
+        out = hierarchy.coarse(queries, spark.createDataFrame(chosen, "query_id long, cluster int"), members, complexity="class", block=block)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # no row for each query and member
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+        for q, v, c in asked:
+            want = []
+            for cluster in (q % 4, (q + 1) % 4):
+                scores = []
+                for i, w in vectors.items():
+                    if i % 4 == cluster:
+                        w = np.zeros(4) if w is None or None in w else np.array(w)
+                        scores.append((-round(float(w @ v / (np.linalg.norm(w) or 1) / np.linalg.norm(v)), 9), i))
+                want += [(i, round(-s, 6)) for s, i in sorted(scores)[: {"simple": 3, "complex": 8}.get(c, 5)]]
+            assert sorted(i for i, _ in got[q]) == sorted(i for i, _ in want)
+            assert all(abs(s - dict(want)[i]) < 2e-6 for i, s in got[q])
