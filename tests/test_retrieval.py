@@ -228,3 +228,10 @@ def test_coarse_is_the_best_of_each_chosen_cluster(spark, monkeypatch):
                 want += [(i, round(-s, 6)) for s, i in sorted(scores)[: {"simple": 3, "complex": 8}.get(c, 5)]]
             assert sorted(i for i, _ in got[q]) == sorted(i for i, _ in want)
             assert all(abs(s - dict(want)[i]) < 2e-6 for i, s in got[q])
+
+
+def test_confidence_reads_the_search_once(spark):
+    rows = [(1, 0.9, 1, "a" * 600), (1, 0.6, 2, "b"), (1, 0.3, 3, "c"), (1, 0.1, 4, "d"), (2, 0.5, 1, "e" * 100)]
+    out = retrieval.answer_confidence(spark.createDataFrame(rows, "query_id long, score double, rank int, text string"), F.length("text"))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.query_id: round(r.confidence, 9) for r in out.collect()} == {1: round(0.3 + 0.4 * 0.6 + 0.15, 9), 2: round(0.1 + 0.2 + 0.03, 9)}
